@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pfor, quality
+from . import mixing, packing, pfor, quality, secrets, vptree, warc
 
 
 def queries() -> dict:
     return {
         "op3_packing": packing.op3_packing,
         "op5_token_files": pfor.op5_token_files,
+        "op6_warc": warc.op6_warc,
+        "op7_secrets": secrets.op7_secrets,
         "op8_mixing": mixing.op8_mixing,
+        "op9_nearest": vptree.op9_nearest,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
