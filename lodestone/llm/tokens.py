@@ -2,63 +2,101 @@
 
 Both vocabularies part texts at a single space between other characters, so a text's ids are those of its chunks
 (a word, with the space before it where the vocabulary keeps it). A chunk is encoded by the library once and kept in
-a dictionary of bounded size. Texts where a space stands beside another space or at the end go to the library whole.
+a dictionary of bounded size. Texts where a space follows a space, or ends the text after other white space, go to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+MARK = "\x01"
+
+
+class _Numbers(dict):
+    """Numbers chunks as they come."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
+
 
 class Encoder:
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.spaced = bool(self.library.encode("a b", add_special_tokens=False).ids != [*self.library.encode("a", add_special_tokens=False).ids, *self.library.encode("b", add_special_tokens=False).ids])
-        self.keep, self.known, self.heads = keep, {}, {}
-
-    def _learn(self, table: dict, words: set, lead: str) -> None:
-        new = [w for w in words if w not in table]
-        if not new:
-            return
-        if len(table) + len(new) > self.keep:
-            table.clear()
-            new = list(words)
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            for w, e in zip(part, self.library.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
-                table[w] = tuple(e.ids)
+        a, b, both = (self._direct(x) for x in ("a", "b", "a b"))
+        self.lead = " " if both != a + b else ""
+        #: What stands between chunks when many are encoded at once: a character's own pretoken.
+        self.mark = self._direct(self.lead + MARK)
+        self.keep = keep
+        self._forget()
+
+    def _direct(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _forget(self) -> None:
+        self.numbers, self.flat, self.ends, self.n_flat, self.n = _Numbers(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Appends the ids of the chunks numbered last."""
+        for i in range(0, len(chunks), 4000):
+            part = chunks[i : i + 4000]
+            if any(MARK in x for x in part) or len(self.mark) > 2:
+                found = [np.array(self._direct(self.lead + x if x or self.lead else x), np.uint32) for x in part]
+            else:
+                said = [f"{self.lead or ' '}{x} {MARK}" for x in part]
+                texts = ["".join(said[j : j + 40]) for j in range(0, len(said), 40)]  # short ones are encoded fastest
+                ids = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+                stops = np.flatnonzero(ids == self.mark[-1])
+                starts = np.append(0, stops[:-1] + 1)
+                found = [ids[a : b + 1 - len(self.mark)] for a, b in zip(starts, stops)]
+            lengths = np.array([len(x) for x in found])
+            need = self.n_flat + int(lengths.sum())
+            while need > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while self.n + len(part) > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.flat[self.n_flat : need] = np.concatenate(found)
+            self.ends[self.n : self.n + len(part)] = self.n_flat + np.cumsum(lengths)
+            self.n_flat, self.n = need, self.n + len(part)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers."""
+        """The ids of each text, as unsigned 32-bit integers. Texts should come in blocks()."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        whole, parts = [], []
+        which, parts = [], []
         for i, t in enumerate(texts):
-            if self.spaced and ("  " in t or t.endswith(" ")):
-                whole.append(i)
+            if self.lead and ("  " in t or t[-1:] == " " and t[-2:-1].isspace()):
+                out[i] = np.array(self._direct(t), np.uint32)
             elif t:
-                parts.append((i, t.split(" ")))
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        if self.spaced:
-            self._learn(self.heads, {w[0] for _, w in parts}, "")
-            self._learn(self.known, set(chain.from_iterable(w[1:] for _, w in parts)), " ")
-            heads, get = self.heads, self.known.__getitem__
-            for i, w in parts:
-                out[i] = np.fromiter(chain(heads[w[0]], chain.from_iterable(map(get, w[1:]))), np.uint32)
-        else:
-            self._learn(self.known, set(chain.from_iterable(w for _, w in parts)), "")
-            get = self.known.__getitem__
-            for i, w in parts:
-                out[i] = np.fromiter(chain.from_iterable(map(get, w)), np.uint32)
-        for table in (self.known, self.heads):  # very long chunks are not kept
-            if len(texts) and any(len(t) > 20_000 for t in texts):
-                for w in [w for w in table if len(w) > 1000]:
-                    del table[w]
+                which.append(i)
+                parts.append(t.split(" "))
+        if not which:
+            return out
+        if len(self.numbers) > self.keep:
+            self._forget()
+        heads = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([w[0] for w in parts], add_special_tokens=False)]
+        counts = np.array([len(w) - 1 for w in parts])
+        before = len(self.numbers)
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(w[1:] for w in parts)), np.int64, int(counts.sum()))
+        new = [c for c, _ in zip(reversed(self.numbers), range(len(self.numbers) - before))][::-1]
+        self._learn(new)
+        ends = self.ends[numbers]
+        starts = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        lengths = ends - starts
+        after = np.cumsum(lengths)
+        total = int(after[-1]) if len(after) else 0
+        ids = self.flat[np.arange(total) + np.repeat(starts - (after - lengths), lengths)]
+        cuts = np.append(0, after)[np.append(0, np.cumsum(counts))]
+        for j, (i, head) in enumerate(zip(which, heads)):
+            out[i] = np.concatenate([head, ids[cuts[j] : cuts[j + 1]]])
+        if any(len(c) > 1000 for c in new):  # very long chunks are not kept
+            self._forget()
         return out
 
 
