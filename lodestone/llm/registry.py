@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pfor, quality, secrets, vptree, warc
+from . import licenses, mixing, packing, pfor, pii, quality, secrets, vptree, warc
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.op2_pii,
         "op3_packing": packing.op3_packing,
+        "op4_licenses": licenses.op4_licenses,
         "op5_token_files": pfor.op5_token_files,
         "op6_warc": warc.op6_warc,
         "op7_secrets": secrets.op7_secrets,
