@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import blocks, encoder
+from .tokens import blocks, encoder, slices
 
 
 def configurations(sizes: list[int], counts: list[int], most: int):
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame
 
         made, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in blocks(texts):
                 rows: list[tuple] = []

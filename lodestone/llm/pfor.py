@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, open_fs, stored
-from .tokens import blocks, encoder
+from .tokens import blocks, encoder, slices
 
 MAGIC, BLOCK = b"PFOR0001", 4096
 PERCENTILES = (1.0, 0.99, 0.97, 0.95, 0.9, 0.8, 0.6)
@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
         name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfor"
         made, end = encoder(tokenizer), np.array([end_id], np.uint32)
         out = writer = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if not ids:
                 continue

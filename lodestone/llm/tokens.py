@@ -8,7 +8,7 @@ a dictionary of bounded size. Texts where a space follows a space, or ends the t
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 
@@ -25,7 +25,7 @@ class _Numbers(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -42,6 +42,21 @@ class Encoder:
 
     def _forget(self) -> None:
         self.numbers, self.flat, self.ends, self.n_flat, self.n = _Numbers(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+        self.seen = np.zeros(1 << 14, np.int32)
+
+    def _shrink(self) -> None:
+        """Keeps the chunks that came more than once, or more often still, if they are at most half of what may be kept."""
+        least = 2
+        while (stay := self.seen[: self.n] >= least).sum() > self.keep // 2:
+            least *= 2
+        lengths = np.diff(self.ends[: self.n], prepend=0)
+        flat = self.flat[: self.n_flat][np.repeat(stay, lengths)]
+        numbers, seen, ends = _Numbers((c, i) for i, c in enumerate(compress(self.numbers, stay))), self.seen[: self.n][stay], np.cumsum(lengths[stay])
+        self._forget()
+        self.numbers, self.n, self.n_flat = numbers, len(ends), len(flat)
+        self.flat = np.concatenate([flat, self.flat])
+        self.ends = np.concatenate([ends, self.ends])
+        self.seen = np.concatenate([seen, self.seen])
 
     def _learn(self, chunks: list[str]) -> None:
         """Appends the ids of the chunks numbered last."""
@@ -62,6 +77,7 @@ class Encoder:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while self.n + len(part) > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
             self.flat[self.n_flat : need] = np.concatenate(found)
             self.ends[self.n : self.n + len(part)] = self.n_flat + np.cumsum(lengths)
             self.n_flat, self.n = need, self.n + len(part)
@@ -79,13 +95,14 @@ class Encoder:
         if not which:
             return out
         if len(self.numbers) > self.keep:
-            self._forget()
+            self._shrink()
         heads = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([w[0] for w in parts], add_special_tokens=False)]
         counts = np.array([len(w) - 1 for w in parts])
         before = len(self.numbers)
         numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(w[1:] for w in parts)), np.int64, int(counts.sum()))
         new = [c for c, _ in zip(reversed(self.numbers), range(len(self.numbers) - before))][::-1]
         self._learn(new)
+        np.add.at(self.seen, numbers, 1)
         ends = self.ends[numbers]
         starts = np.where(numbers > 0, self.ends[numbers - 1], 0)
         lengths = ends - starts
@@ -109,6 +126,12 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
+def slices(batch, rows: int = 256):
+    """An Arrow batch in slices, so that few of its texts are Python strings at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def blocks(texts: list[str], chars: int = 500_000):
     """Slices of texts of about so many characters."""
     at, total = 0, 0
