@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, pfor, pii, quality, secrets, vptree, warc
+from . import jaccard, licenses, mixing, packing, pfor, pii, quality, secrets, vptree, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
         "op2_pii": pii.op2_pii,
         "op3_packing": packing.op3_packing,
         "op4_licenses": licenses.op4_licenses,
