@@ -61,6 +61,7 @@ def _odd_powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+CHUNK = 1 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _POWER = _odd_powers(64)
 _SPACE = np.zeros(256, bool)
@@ -93,22 +94,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER
     rows = len(offsets) - 1
     if not n:
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), np.zeros(0, np.int64)
-    mapped = table[data]
-    inside = ~space[mapped]
+    inside = ~space[table][data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     at = offsets[:-1][offsets[:-1] < n]
     first[at] = inside[at]
     starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), starts
-    kept = np.flatnonzero(inside)
-    word = np.cumsum(first[kept]) - 1
-    place = kept - starts[word]
-    value = _BYTE[mapped[kept]]
-    if place.max() < len(_POWER):
-        value *= _POWER[place]
-    else:
-        value *= _odd_powers(int(place.max()) + 1)[place]
-    hashes = mix(np.add.reduceat(value, np.searchsorted(kept, starts)) + np.uint64(1))
+    hashes = np.empty(len(starts), np.uint64)
+    # In chunks of words of about a megabyte, for the wide arrays' sake.
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, n + CHUNK, CHUNK)))
+    for a, b in zip(cuts, cuts[1:]):
+        lo, hi = starts[a], starts[b] if b < len(starts) else n
+        kept = np.flatnonzero(inside[lo:hi])
+        own = starts[a:b] - lo
+        word = np.cumsum(first[lo:hi][kept], dtype=np.int32) - 1
+        place = kept - own[word]
+        value = _BYTE[table[data[lo:hi][kept]]]
+        value *= (_POWER if place.max() < len(_POWER) else _odd_powers(int(place.max()) + 1))[place]
+        hashes[a:b] = mix(np.add.reduceat(value, np.searchsorted(kept, own)) + np.uint64(1))
     return hashes, np.searchsorted(starts, offsets), starts
