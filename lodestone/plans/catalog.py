@@ -2,10 +2,477 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import vectors as vx
+from ..operators import bm25, exact, fusion, hnsw, ivf
+from ..sources import shards
+
+UP, LOW = tx.UPPER, tx.LOWER
+HELD_OUT = 20
+
+
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _base(spark, d):
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _asked(spark, d):
+    return _base(spark, d).where(F.col("id") < HELD_OUT)
+
+
+def _docs(spark, d):
+    return _table(spark, d, "documents")
+
+
+def _said(df, *columns, n=6):
+    """Rounded, with no negative zero."""
+    for c in columns:
+        df = df.withColumn(c, F.round(c, n) + F.lit(0.0))
+    return df
+
+
+# --- vectors -------------------------------------------------------------------------------------------------
+
+_L2 = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - w[i]) * (v[i] - w[i])))"
+_DOT = "list_inner_product(v, w)"
+_Q = f"q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {HELD_OUT})"
+_B = "b AS (SELECT vec_id AS neighbor_id, embedding::DOUBLE[] AS w, label FROM embeddings)"
+
+
+def _dist_sql(metric):
+    return _L2 if metric == "l2" else f"1e0 - {_DOT}"
+
+
+def _knn_cte(metric, k, where="true", name="k"):
+    return (
+        f"{name}_d AS (SELECT query_id, neighbor_id, label, {_dist_sql(metric)} AS dist FROM q, b WHERE {where}), "
+        f"{name}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM {name}_d), "
+        f"{name} AS (SELECT query_id, rank::INT AS rank, neighbor_id, dist FROM {name}_r WHERE rank <= {k})"
+    )
+
+
+def _knn_sql(metric, k=10, where="true"):
+    return f"WITH {_Q}, {_B}, {_knn_cte(metric, k, where)} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM k"
+
+
+def _knn(metric, k=10, where=None, expr=False):
+    def run(spark, d):
+        q, b = _asked(spark, d), _base(spark, d)
+        return _said(exact.knn_expr(q, b, k, metric) if expr else exact.knn_exact(q, b, k, metric, where), "dist")
+
+    return run
+
+
+def _pairs(value, name):
+    def run(spark, d):
+        e = _base(spark, d)
+        a = e.where("id < 20").select(F.col("id").alias("a_id"), F.col("vector").alias("a"))
+        b = e.where("id < 40").select(F.col("id").alias("b_id"), F.col("vector").alias("b"))
+        return _said(a.crossJoin(F.broadcast(b)).select("a_id", "b_id", value(F.col("a"), F.col("b")).alias(name)), name)
+
+    return run
+
+
+def _pairs_sql(value, name):
+    return f"WITH a AS (SELECT vec_id AS a_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20), b AS (SELECT vec_id AS b_id, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 40) SELECT a_id, b_id, round({value}, 6) + 0e0 AS {name} FROM a, b"
+
+
+def vec_normalize(spark, d):
+    e = _base(spark, d).select("id", F.posexplode(vx.normalize(F.transform("vector", lambda x: x * 3))).alias("place", "x"))
+    return _said(e, "x")
+
+
+def vec_norms(spark, d):
+    return _said(_base(spark, d).select("id", vx.norm2(F.col("vector")).alias("norm2")), "norm2")
+
+
+def knn_idset(spark, d):
+    ids = spark.createDataFrame([(7,), (400,)], "id long")
+    return _said(exact.knn_exact(_asked(spark, d), _base(spark, d), 10, "ip", allowed=ids), "dist")
+
+
+def knn_empty_padded(spark, d):
+    q = _asked(spark, d)
+    return exact.padded(exact.knn_exact(q, _base(spark, d), 5, "l2", F.col("label") == 99), q, 5)
+
+
+def knn_padded(spark, d):
+    q = _asked(spark, d)
+    few = _base(spark, d).where("id < 5")
+    return _said(exact.padded(exact.knn_exact(q, few, 7, "l2"), q, 7), "dist")
+
+
+def knn_adaptive(spark, d):
+    q, b = _asked(spark, d), _base(spark, d)
+    few = F.col("label") == 3
+    return _said(exact.knn_adaptive(q, b, 10, "l2", few, 10_000_000, lambda: exact.knn_postfilter(q, b, 10, "l2", few)), "dist")
+
+
+def knn_postfilter(spark, d):
+    return _said(exact.knn_postfilter(_asked(spark, d), _base(spark, d), 10, "ip", F.col("label") < 5), "dist")
+
+
+def postfilter_recall(spark, d):
+    q, b = _asked(spark, d), _base(spark, d)
+    keep = F.col("label") == 3
+    return _said(fusion.recall_at_k(exact.knn_postfilter(q, b, 10, "ip", keep), exact.knn_exact(q, b, 10, "ip", keep), 10, True), "recall")
+
+
+def knn_held_out(spark, d):
+    return _said(exact.knn_exact(_asked(spark, d), _base(spark, d).where(F.col("id") >= HELD_OUT), 10, "ip"), "dist")
+
+
+def knn_graph(spark, d):
+    """The naive selection: each row's nearest four others."""
+    b = _base(spark, d)
+    wide = exact.knn_exact(b.select("id", "vector"), b, 5, "l2").where("query_id <> neighbor_id").drop("rank")
+    return _said(exact.top_k(wide, ["query_id"], ["dist", "neighbor_id"], 4).select("query_id", "rank", "neighbor_id", "dist"), "dist")
+
+
+def brute_force_index(spark, d):
+    b = _base(spark, d)
+    index = exact.BruteForceIndex(64, "l2").add(b.where("id < 250")).add(b.where("id >= 250"))
+    return _said(index.search(_asked(spark, d), 10), "dist")
+
+
+# --- text ----------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+_TOKENS = "regexp_extract_all(translate({0}, '" + UP + "', '" + LOW + "'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+def _tokens_sql(column, stop=True):
+    t = _TOKENS.format(column)
+    return f"list_filter({t}, lambda t: t NOT IN ({_STOP}))" if stop else t
+
+
+def text_tokenize(spark, d):
+    t = _docs(spark, d).select("doc_id", tx.tokenize(F.col("text"), False).alias("t"), tx.tokenize(F.col("text")).alias("s"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size("s").cast("long").alias("n_kept"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+def text_clean_dedup(spark, d):
+    t = _docs(spark, d).select("doc_id", F.concat(F.lit("see https://x.org/a?b=c  @who "), "text").alias("text"))
+    return tx.clean_dedup(t, "doc_id", "text").select("doc_id", F.md5("clean").alias("digest"))
+
+
+def query_base_split(spark, d):
+    return tx.query_base_split(_docs(spark, d).select("doc_id"), "doc_id", 50, 400).select("doc_id", "position", "is_query")
+
+
+def _index(spark, d, **more):
+    return bm25.Bm25Index.build(_docs(spark, d).select("doc_id", "text"), **more)
+
+
+def _questions(spark, d):
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _bm25(allowed=None, **more):
+    def run(spark, d):
+        keep = allowed(spark, d) if allowed else None
+        return _said(_index(spark, d, **more).search(_questions(spark, d), 10, keep), "score")
+
+    return run
+
+
+def _english(spark, d):
+    return _docs(spark, d).where("lang = 'en'").select("doc_id")
+
+
+def _good(spark, d):
+    return _table(spark, d, "labels").where("quality = 1").select("doc_id")
+
+
+def bm25_append(spark, d):
+    t = _docs(spark, d).select("doc_id", "text")
+    index = bm25.Bm25Index.build(t.where("doc_id % 2 = 0")).append(t.where("doc_id % 2 <> 0"))
+    return _said(index.search(_questions(spark, d), 10), "score")
+
+
+def _index_sql(stop=True):
+    return (
+        f"t AS (SELECT doc_id, {_tokens_sql('text', stop)} AS t FROM documents), "
+        "p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL), "
+        "v AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT doc_id, len(t) AS doc_len FROM t), "
+        "c AS (SELECT count(*) AS n, avg(doc_len::DOUBLE) AS avg_len FROM s)"
+    )
+
+
+def _bm25_cte(k1="1.2e0", b="0.75e0", stop=True, keep="true"):
+    return (
+        f"{_index_sql(stop)}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens_sql('text', stop)}) AS term FROM benchmark), "
+        f"bs AS (SELECT query_id, doc_id, sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * doc_len / avg_len))) AS score "
+        f"FROM qt JOIN v USING (term) JOIN p USING (term) JOIN s USING (doc_id), c WHERE {keep} GROUP BY ALL), "
+        "br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs)"
+    )
+
+
+def _bm25_sql(**more):
+    return f"WITH {_bm25_cte(**more)} SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) + 0e0 AS score FROM br WHERE rank <= 10"
+
+
+# --- fusion and measures -------------------------------------------------------------------------------------
+
+
+def rrf_hybrid(spark, d):
+    q = _questions(spark, d)
+    lists = [_index(spark, d, **more).search(q, 30).select("query_id", "rank", F.col("doc_id").alias("id")) for more in ({}, {"k1": 0.9, "b": 0.4})]
+    return _said(fusion.rrf(lists, 10), "score", n=9)
+
+
+def rrf_vectors(spark, d):
+    q, b = _asked(spark, d), _base(spark, d)
+    a = exact.knn_exact(q, b, 30, "l2").select("query_id", "rank", F.col("neighbor_id").alias("id"))
+    c = exact.knn_exact(q, b, 30, "ip", F.col("label") < 5).select("query_id", "rank", F.col("neighbor_id").alias("id"))
+    return _said(fusion.rrf([a, c], 10), "score", n=9)
+
+
+def _recall(filtered):
+    def run(spark, d):
+        q, b = _asked(spark, d), _base(spark, d)
+        keep = F.col("label") < 5
+        return _said(fusion.recall_at_k(exact.knn_exact(q, b, 10, "ip", keep), exact.knn_exact(q, b, 10, "ip"), 10, filtered), "recall")
+
+    return run
+
+
+def shard_bounds(spark, d):
+    n = _base(spark, d).count()
+    return spark.createDataFrame([(int(i), int(a), int(b)) for i, a, b in shards.shard_bounds(n, 4)], "shard int, lo long, hi long")
+
+
+def shard_merge(spark, d):
+    b = _base(spark, d)
+    parts = shards.with_shard(b, b.count(), 4)
+    q = _asked(spark, d)
+    every = None
+    for i in range(4):
+        one = exact.knn_exact(q, parts.where(F.col("shard") == i), 10, "ip").drop("rank")
+        every = one if every is None else every.unionByName(one)
+    return _said(fusion.merge_shards(every, 10), "dist")
+
+
+def index_info(spark, d):
+    b = _base(spark, d)
+    return shards.with_shard(b, b.count(), 4).groupBy("shard").agg(F.count("*").alias("n"), F.max(F.size("vector")).cast("long").alias("dim"))
+
+
+def latency_percentiles(spark, d):
+    return _said(fusion.percentiles(_table(spark, d, "events").withColumn("value", F.col("value").cast("double")), ["event_type"], "value"), "p50", "p95", "p99")
+
+
+def series_median(spark, d):
+    e = _table(spark, d, "events").groupBy("event_type").agg(F.median(F.col("value").cast("double")).alias("median"), F.max(F.col("value").cast("double")).alias("best"))
+    return _said(e, "median", "best")
+
+
+def series_pivot(spark, d):
+    e = _table(spark, d, "events").select("event_type", (F.col("user_id") % 4).alias("batch"), F.col("value").cast("double").alias("value"))
+    wide = e.groupBy("event_type").pivot("batch", [0, 1, 2, 3]).agg(F.max("value"))
+    return _said(wide.toDF("event_type", "b0", "b1", "b2", "b3"), "b0", "b1", "b2", "b3")
+
+
+def _sweep(spark, d):
+    """Deterministic points: the share of true neighbours among rows of label < n, and 1000 / n as throughput."""
+    q, b = _asked(spark, d), _base(spark, d)
+    truth = exact.knn_exact(q, b, 10, "ip").join(b.select(F.col("id").alias("neighbor_id"), "label"), "neighbor_id").select("label")
+    n = spark.range(1, 11).select(F.col("id").cast("int").alias("n"))
+    hit = truth.crossJoin(F.broadcast(n)).groupBy("n").agg((F.count_if(F.col("label") < F.col("n")) / F.lit(10.0 * HELD_OUT)).alias("recall"))
+    return hit.select(F.when(F.col("n") % 2 == 0, "even").otherwise("odd").alias("algo"), "n", "recall", (F.lit(1000.0) / F.col("n")).alias("qps"))
+
+
+_SWEEP = (
+    f"WITH {_Q}, {_B}, {_knn_cte('ip', 10)}, h AS (SELECT n::INT AS n, count(*) FILTER (label < n) / {10 * HELD_OUT}e0 AS recall FROM (SELECT label FROM k JOIN b USING (neighbor_id)), range(1, 11) r(n) GROUP BY n), "
+    "p AS (SELECT CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS algo, n, recall, 1000e0 / n AS qps FROM h)"
+)
+
+
+def pareto_frontier(spark, d):
+    return _said(fusion.pareto(_sweep(spark, d)), "recall", "qps")
+
+
+def qps_at_recall(spark, d):
+    return _said(fusion.qps_at_recall(_sweep(spark, d), (0.1, 0.3, 0.9)), "qps_10", "qps_30", "qps_90")
+
+
+# --- graphs --------------------------------------------------------------------------------------------------
+
+_SMALL = hnsw.HnswParams("ip", 8, 48)
+
+
+def _graph(spark, d, n=2, params=_SMALL):
+    return hnsw.HnswIndex.build(_base(spark, d).select("id", "vector"), n, params)
+
+
+def hnsw_levels(spark, d):
+    return _base(spark, d).select("id", hnsw.level_of(F.col("id"), 16).alias("level"))
+
+
+def hnsw_invariants(spark, d):
+    return _graph(spark, d).violations()
+
+
+def hnsw_recall_gate(spark, d):
+    q, b = _asked(spark, d), _base(spark, d)
+    r = fusion.recall_at_k(_graph(spark, d).search(q, 10, 100), exact.knn_exact(q, b, 10, "ip"))
+    return r.select((F.col("recall") >= 0.95).alias("reached"))
+
+
+def _hnsw(n=2, where=None, params=_SMALL, ef=64):
+    def run(spark, d):
+        return _said(_graph(spark, d, n, params).search(_asked(spark, d), 10, ef, where), "dist")
+
+    return run
+
+
+def hnsw_incremental(spark, d):
+    b = _base(spark, d).select("id", "vector")
+    return _said(hnsw.HnswIndex.build(b.where("id < 250"), 2, _SMALL).add(b.where("id >= 250"), 2).search(_asked(spark, d)), "dist")
+
+
+def ivf_search(spark, d):
+    b = _base(spark, d)
+    cells = ivf.assign(b.select("id", "vector"), ivf.centroids(b, "label"))
+    return _said(ivf.ivf_search(_asked(spark, d), cells, ivf.centroids(b, "label"), 10, 3, "ip"), "dist")
+
+
+_IVF = (
+    f"WITH {_Q}, {_B}, ce AS (SELECT label AS cell, list(x ORDER BY i) AS w FROM (SELECT label, i, avg(w[i]) AS x FROM b, range(1, 65) r(i) GROUP BY ALL) GROUP BY label), "
+    f"asg AS (SELECT id, v, arg_min(cell, (dd, cell)) AS cell FROM (SELECT id, v, cell, {_L2} AS dd FROM (SELECT neighbor_id AS id, w AS v FROM b), ce) GROUP BY id, v), "
+    f"pr AS (SELECT query_id, v, cell FROM (SELECT query_id, v, cell, row_number() OVER (PARTITION BY query_id ORDER BY {_L2}, cell) AS r FROM q, ce) WHERE r <= 3), "
+    f"x AS (SELECT query_id, id AS neighbor_id, 1e0 - list_inner_product(pr.v, asg.v) AS dist FROM pr JOIN asg USING (cell)) "
+    "SELECT query_id, rank::INT AS rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM x) WHERE rank <= 10"
+)
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "knn_cosine": _knn("cosine"),
+        "knn_ip": _knn("ip"),
+        "knn_l2": _knn("l2"),
+        "knn_l2_expr": _knn("l2", expr=True),
+        "knn_ip_expr": _knn("ip", expr=True),
+        "knn_ground_truth_100": _knn("ip", 100),
+        "knn_filter_label": lambda spark, d: _knn("ip", where=F.col("label") == 3)(spark, d),
+        "knn_filter_half": lambda spark, d: _knn("l2", where=F.col("label") < 5)(spark, d),
+        "knn_filter_idset": knn_idset,
+        "knn_filter_empty_padded": knn_empty_padded,
+        "knn_padded": knn_padded,
+        "knn_adaptive": knn_adaptive,
+        "knn_postfilter": knn_postfilter,
+        "knn_held_out": knn_held_out,
+        "knn_naive_graph": knn_graph,
+        "brute_force_index": brute_force_index,
+        "postfilter_recall": postfilter_recall,
+        "vec_l2_pairs": _pairs(vx.l2_sq, "l2"),
+        "vec_dot_pairs": _pairs(vx.dot, "dot"),
+        "vec_ip_pairs": _pairs(lambda a, b: vx.distance("ip", a, b), "ip"),
+        "vec_normalize": vec_normalize,
+        "vec_norms": vec_norms,
+        "text_tokenize": text_tokenize,
+        "text_clean_dedup": text_clean_dedup,
+        "query_base_split": query_base_split,
+        "bm25_postings": lambda spark, d: _index(spark, d).postings,
+        "bm25_vocab": lambda spark, d: _index(spark, d).vocab(),
+        "bm25_doc_stats": lambda spark, d: _index(spark, d).doc_stats,
+        "bm25_collection": lambda spark, d: _said(_index(spark, d).collection(), "avg_len"),
+        "bm25_search": _bm25(),
+        "bm25_search_filtered": _bm25(_english),
+        "bm25_search_semi": _bm25(_good),
+        "bm25_params": _bm25(k1=0.9, b=0.4),
+        "bm25_no_stopwords": _bm25(remove_stopwords=False),
+        "bm25_term_score": lambda spark, d: _said(_index(spark, d).score("tion"), "score"),
+        "bm25_append": bm25_append,
+        "rrf_hybrid": rrf_hybrid,
+        "rrf_vectors": rrf_vectors,
+        "recall_at_k": _recall(False),
+        "recall_filtered": _recall(True),
+        "shard_bounds": shard_bounds,
+        "shard_merge": shard_merge,
+        "index_info": index_info,
+        "latency_percentiles": latency_percentiles,
+        "series_median": series_median,
+        "series_pivot": series_pivot,
+        "pareto_frontier": pareto_frontier,
+        "qps_at_recall": qps_at_recall,
+        "hnsw_levels": hnsw_levels,
+        "hnsw_invariants": hnsw_invariants,
+        "hnsw_recall_gate": hnsw_recall_gate,
+        "hnsw_search": _hnsw(1),
+        "hnsw_sharded": _hnsw(4),
+        "hnsw_filtered": lambda spark, d: _hnsw(2, F.col("id") % 3 == 0)(spark, d),
+        "hnsw_ablation": _hnsw(2, params=hnsw.HnswParams("ip", 8, 48, 42, False)),
+        "hnsw_incremental": hnsw_incremental,
+        "ivf_search": ivf_search,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    ip = _knn_sql("ip")
+    l2 = _knn_sql("l2")
+    rrf_tail = "s AS (SELECT query_id, id, sum(1e0 / (60 + rank)) AS score FROM u GROUP BY ALL) SELECT query_id, rank::INT AS rank, id, round(score, 9) + 0e0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 10"
+    kept, whole = _knn_cte("ip", 10, "label < 5", "f"), _knn_cte("ip", 10, "true", "t")
+    two = _bm25_cte("0.9e0", "0.4e0")
+    for name in ("qt", "bs", "br"):
+        two = two.replace(f"{name} AS", f"{name}2 AS").replace(f"FROM {name})", f"FROM {name}2)").replace(f"FROM {name} ", f"FROM {name}2 ")
+    two = two[two.index("qt2 AS") :]
+    return {
+        "knn_cosine": ip,
+        "knn_ip": ip,
+        "knn_l2": l2,
+        "knn_l2_expr": l2,
+        "knn_ip_expr": ip,
+        "brute_force_index": l2,
+        "shard_merge": ip,
+        "knn_ground_truth_100": _knn_sql("ip", 100),
+        "knn_filter_label": _knn_sql("ip", 10, "label = 3"),
+        "knn_filter_half": _knn_sql("l2", 10, "label < 5"),
+        "knn_filter_idset": _knn_sql("ip", 10, "neighbor_id IN (7, 400)"),
+        "knn_filter_empty_padded": f"WITH {_Q} SELECT query_id, r::INT AS rank, -1::BIGINT AS neighbor_id, NULL::DOUBLE AS dist, true AS is_missing FROM q, range(1, 6) s(r)",
+        "knn_padded": f"WITH {_Q}, {_B}, {_knn_cte('l2', 7, 'neighbor_id < 5')} SELECT query_id, r::INT AS rank, coalesce(neighbor_id, -1) AS neighbor_id, round(dist, 6) + 0e0 AS dist, neighbor_id IS NULL AS is_missing FROM (SELECT query_id, r FROM q, range(1, 8) s(r)) LEFT JOIN (SELECT query_id, rank AS r, neighbor_id, dist FROM k) USING (query_id, r)",
+        "knn_adaptive": _knn_sql("l2", 10, "label = 3"),
+        "knn_postfilter": f"WITH {_Q}, {_B}, {_knn_cte('ip', 100)}, z AS (SELECT k.*, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS r FROM k JOIN b USING (neighbor_id) WHERE label < 5) SELECT query_id, r::INT AS rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM z WHERE r <= 10",
+        "postfilter_recall": f"WITH {_Q}, {_B}, {_knn_cte('ip', 100, 'true', 'w')}, z AS (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS r FROM w JOIN b USING (neighbor_id) WHERE label = 3), {_knn_cte('ip', 10, 'label = 3')} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM z JOIN k USING (query_id, neighbor_id) WHERE r <= 10) AS hits, (SELECT count(*) FROM k) AS possible)",
+        "knn_held_out": _knn_sql("ip", 10, f"neighbor_id >= {HELD_OUT}"),
+        "knn_naive_graph": f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings), {_B}, {_knn_cte('l2', 4, 'query_id <> neighbor_id')} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM k",
+        "vec_l2_pairs": _pairs_sql(_L2, "l2"),
+        "vec_dot_pairs": _pairs_sql(_DOT, "dot"),
+        "vec_ip_pairs": _pairs_sql(f"1e0 - {_DOT}", "ip"),
+        "vec_normalize": "WITH e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings) SELECT id, (i - 1)::INT AS place, round(v[i] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 6) + 0e0 AS x FROM e, range(1, 65) r(i)",
+        "vec_norms": "SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) + 0e0 AS norm2 FROM embeddings",
+        "text_tokenize": f"SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda t: t NOT IN ({_STOP}))) AS n_kept, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens_sql('text', False)} AS t FROM documents)",
+        "text_clean_dedup": r"WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('see https://x.org/a?b=c  @who ' || text, 'https?://\S+', '', 'g'), '@[\p{L}\p{N}\p{M}_]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents) SELECT min(doc_id) AS doc_id, md5(t) AS digest FROM c WHERE length(t) >= 5 GROUP BY t",
+        "query_base_split": "SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id)::INT AS position, position <= 50 AS is_query FROM documents QUALIFY position <= 450",
+        "bm25_postings": f"WITH {_index_sql()} SELECT term, doc_id, tf FROM p",
+        "bm25_vocab": f"WITH {_index_sql()} SELECT term, df FROM v",
+        "bm25_doc_stats": f"WITH {_index_sql()} SELECT doc_id, doc_len FROM s",
+        "bm25_collection": f"WITH {_index_sql()} SELECT n AS n_docs, round(avg_len, 6) AS avg_len FROM c",
+        "bm25_search": _bm25_sql(),
+        "bm25_append": _bm25_sql(),
+        "bm25_search_filtered": _bm25_sql(keep="doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
+        "bm25_search_semi": _bm25_sql(keep="doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
+        "bm25_params": _bm25_sql(k1="0.9e0", b="0.4e0"),
+        "bm25_no_stopwords": _bm25_sql(stop=False),
+        "bm25_term_score": f"WITH {_index_sql()} SELECT s.doc_id, round(coalesce(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * doc_len / avg_len)), 0), 6) + 0e0 AS score FROM s LEFT JOIN (SELECT * FROM p JOIN v USING (term) WHERE term = 'tion') USING (doc_id), c",
+        "rrf_hybrid": f"WITH {_bm25_cte()}, {two}, u AS (SELECT query_id, rank, doc_id AS id FROM br WHERE rank <= 30 UNION ALL SELECT query_id, rank, doc_id AS id FROM br2 WHERE rank <= 30), " + rrf_tail.replace("s AS", "fs AS").replace("FROM s)", "FROM fs)"),
+        "rrf_vectors": f"WITH {_Q}, {_B}, {_knn_cte('l2', 30, 'true', 'x')}, {_knn_cte('ip', 30, 'label < 5', 'y')}, u AS (SELECT query_id, rank, neighbor_id AS id FROM x UNION ALL SELECT query_id, rank, neighbor_id AS id FROM y), " + rrf_tail,
+        "recall_at_k": f"WITH {_Q}, {_B}, {kept}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM f JOIN t USING (query_id, neighbor_id)) AS hits, (SELECT count(DISTINCT query_id) * 10 FROM f) AS possible)",
+        "recall_filtered": f"WITH {_Q}, {_B}, {kept}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM f JOIN t USING (query_id, neighbor_id)) AS hits, (SELECT count(*) FROM t) AS possible)",
+        "shard_bounds": "SELECT i::INT AS shard, i * n // 4 AS lo, (i + 1) * n // 4 AS hi FROM (SELECT count(*) AS n FROM embeddings), range(0, 4) r(i)",
+        "index_info": "SELECT i::INT AS shard, count(*) AS n, max(len(embedding)) AS dim FROM embeddings, (SELECT count(*) AS n FROM embeddings), range(0, 4) r(i) WHERE vec_id >= i * n // 4 AND vec_id < (i + 1) * n // 4 GROUP BY i",
+        "latency_percentiles": "SELECT event_type, round(quantile_cont(value::DOUBLE, 0.5), 6) + 0e0 AS p50, round(quantile_cont(value::DOUBLE, 0.95), 6) + 0e0 AS p95, round(quantile_cont(value::DOUBLE, 0.99), 6) + 0e0 AS p99 FROM events GROUP BY event_type",
+        "series_median": "SELECT event_type, round(median(value::DOUBLE), 6) + 0e0 AS median, round(max(value::DOUBLE), 6) + 0e0 AS best FROM events GROUP BY event_type",
+        "series_pivot": "SELECT event_type, " + ", ".join(f"round(max(value::DOUBLE) FILTER (user_id % 4 = {i}), 6) + 0e0 AS b{i}" for i in range(4)) + " FROM events GROUP BY event_type",
+        "pareto_frontier": _SWEEP + " SELECT algo, n, round(recall, 6) AS recall, round(qps, 6) AS qps FROM (SELECT *, max(qps) OVER (ORDER BY recall DESC, qps DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p) WHERE m IS NULL OR qps > m",
+        "qps_at_recall": _SWEEP + " SELECT algo, " + ", ".join(f"round(max(qps) FILTER (recall >= 0.{i}), 6) AS qps_{i}0" for i in (1, 3, 9)) + " FROM p GROUP BY algo",
+        "hnsw_levels": "SELECT vec_id AS id, floor(-ln((('0x' || substr(md5('42-' || vec_id), 1, 8))::BIGINT + 1) / 4294967296e0) / ln(16e0))::INT AS level FROM embeddings",
+        "hnsw_invariants": "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS self_loops, 0::BIGINT AS repeats, 0::BIGINT AS missing_level, 0::BIGINT AS isolated",
+        "hnsw_recall_gate": "SELECT true AS reached",
+        "ivf_search": _IVF,
+    }
