@@ -1,0 +1,395 @@
+"""The training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import automaton, jaccard, licenses, mixing, packing, pfor, pii, quality, secrets, tokens, vptree, warc
+from lodestone.llm.common import new_path
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, n long, n_words long, size long, target double, piece int, node long, key string"
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+def made(n=60, seed=1):
+    """Texts with copies, near copies, nulls and a very long one."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdéü") for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    out = [None, "", " \n\t ", "one two", "ONE two", "a b c d e"]
+    for _ in range(n):
+        kind = rng.random()
+        if kind < 0.3 and len(out) > 8:
+            w = (rng.choice(out[6:]) or "x").split(" ")
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            out.append(" ".join(w))
+        else:
+            out.append(" ".join(rng.choice(words) for _ in range(rng.randint(3, 120))))
+    return [*out, " ".join(rng.choice(words) for _ in range(30_000)), out[-1], out[-1]]
+
+
+def table(spark, texts):
+    rows = [(i, t, None if i % 7 == 0 else f"s{i % 5}", 1, 2, 3, 4.0, 5, 6, "k") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def sets_of(texts):
+    out = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(LOW))
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return out
+
+
+def brute_components(sets):
+    low = list(range(len(sets)))
+    changed = True
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            m = min(low[i], low[j])
+            changed |= low[i] != m or low[j] != m
+            low[i] = low[j] = m
+    return low
+
+
+def test_jaccard(spark):
+    texts = made(120)
+    got = {r["doc_id"]: r for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    sets = sets_of(texts)
+    assert len(got) == len(texts)
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+    assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(sets)
+
+
+def test_jaccard_long_lists(spark, monkeypatch):
+    """The clusters of long lists are searched."""
+    monkeypatch.setattr(jaccard, "LONG", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(sets_of(texts))
+
+
+def test_divide_skip():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        x = set(rng.choice(pool, 60, replace=False).tolist()) if rng.random() < 0.3 or not sets else set(sets[rng.integers(len(sets))].tolist())
+        for _ in range(rng.integers(0, 6)):
+            x.discard(next(iter(x)))
+            x.add(int(rng.choice(pool)))
+        sets.append(np.sort(np.array(list(x), np.uint64)))
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    assert set(jaccard.divide_skip(sets, sets)) == want
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    d = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "p q r s t u"), (5, "p q r s t u"), (9, "z")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard.jaccard_components(d).collect())
+    assert got == [("3", 3), ("3", 3), ("5", 3), ("9", 9), ("None", None)]
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([], SCHEMA)
+    word, byte = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert jaccard.jaccard_components(d).count() == 0
+    assert pii.pseudonymise(d).count() == 0
+    assert packing.pack(d, word).count() == 0
+    assert licenses.scan_licenses(d).count() == 0
+    assert pfor.read_tokens(pfor.write_tokens(d, byte, 2, new_path(spark, "t"))).count() == 0
+    p = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_packages(warc.write_packages(warc.judged(p), new_path(spark, "w"))).count() == 0
+    assert secrets.scan_secrets(d).count() == 0
+    assert mixing.mix(d).count() == 0
+    v = spark.createDataFrame([], "id long, vector array<float>")
+    assert vptree.vp_search(v, v).count() == 0
+    assert quality.quality_report(d).count() == 0 and quality.quality_filter(d).count() == 0
+
+
+PRIVATE = ["hsr.29@mail5.example.com", "4337166598464399", "4337 1665 9846 4399", "+1 (882) 555-9672", "70.35.196.191", "2024-02-29", "29.02.2024", "02/29/2024", "123-45-6789", "(555) 123-4567"]
+
+
+def test_pii_round_trip(spark):
+    texts = [f"x {v}, y" for v in PRIVATE] + [*PRIVATE, " ".join(PRIVATE), None, "", "4337166598464398 2024-02-30 v2.0. 999.1.1.1"]
+    d = table(spark, texts)
+    new = pii.pseudonymise(d)
+    assert new.columns == d.columns
+    got = {r["doc_id"]: r["text"] for r in new.collect()}
+    n = len(PRIVATE)
+    for i, v in enumerate(PRIVATE):
+        assert v not in got[i] and got[i] == f"x {got[n + i]}, y"  # equal values stay equal
+        assert re.sub("[0-9]", "9", re.sub("[a-z]", "a", got[n + i])) == re.sub("[0-9]", "9", re.sub("[a-z]", "a", v)) or "." in v
+    assert got[2 * n] == " ".join(got[n + i] for i in range(n)) and got[2 * n + 3] == texts[-1]
+    digits = [int(c) for c in got[n + 1]][::-1]
+    assert sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(digits)) % 10 == 0
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymise(new, inverse=True).collect()}
+    assert [back[i] for i in range(len(texts))] == texts
+
+
+def test_pii_is_a_permutation(spark):
+    days = spark.range(0, 3000).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), (F.col("id") * 48).cast("int")), "yyyy-MM-dd").alias("t"))
+    assert days.select(pii.pseudonym(F.col("t"), "k").alias("p")).distinct().count() == 3000
+
+
+@pytest.mark.parametrize("most", [64, 4096])
+def test_packing_plan(most):
+    rng = random.Random(most)
+    for _ in range(25):
+        counts = collections.Counter()
+        for _ in range(rng.choice([1, 20, 500])):
+            counts[rng.randint(1, most)] += rng.choice([1, 30])
+        rules, n = packing.plan(counts, most)
+        bins, got = collections.defaultdict(list), collections.Counter()
+        for x, lo, hi, base, k, off in rules:
+            got[x] += hi - lo
+            for j in range(hi - lo):
+                bins[base + j // k].append((off + j % k * x, x))
+        assert got == counts and len(bins) == n
+        for b in bins.values():
+            end = 0
+            for off, x in sorted(b):
+                assert off == end
+                end += x
+            assert end <= most
+
+
+def test_packing(spark):
+    texts = made()
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack(table(spark, texts), path).collect()
+    lib = tokens.Encoder(path).library
+    want = {}
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [1]
+        for p, a in enumerate(range(0, len(ids), 4096)):
+            x = ids[a : a + 4096]
+            want[i, p] = (a, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in by.values():
+        end = 0
+        for off, n in sorted(b):
+            assert off == end
+            end += n
+        assert end <= 4096
+
+
+def test_encoder_equals_library():
+    rng = random.Random(4)
+    pieces = ["a", " ", "  ", "\n", "\x01", "é", "'s", "12", "!", "ab", "的", "́", "<|endoftext|>", "\t", "word"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(800)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = tokens.Encoder(public_tokenizers.path(name), keep=50)
+        for part in tokens.blocks(texts, 300):
+            for t, ids in zip(texts[part], e.encode(texts[part])):
+                assert ids.tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files(spark):
+    texts = made()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = sorted(pfor.read_tokens(pfor.write_tokens(table(spark, texts), path, 2, new_path(spark, "tok")), step=3 * pfor.BLOCK).collect(), key=lambda r: r["doc_id"])
+    lib, start = tokens.Encoder(path).library, 0
+    for r, t in zip(rows, texts, strict=True):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        n = rng.integers(1, pfor.BLOCK + 1)
+        x = rng.integers(0, rng.choice([1, 2, 300, 50_000]), n).astype(np.uint32)
+        x[rng.random(n) < 0.02] = rng.integers(0, 2**32)
+        assert (pfor.decode_block(pfor.encode_block(x)) == x).all()
+
+
+def test_licenses(spark):
+    texts = ["Prose here.\nReleased under the MIT License.\nMore prose.", "released under the mit license", licenses.TEMPLATES["ISC"], "x\n\n" + licenses.TEMPLATES["BSD-3-Clause"].replace(". ", ".\n") + "\n\ny", "Plain prose.", None, ""]
+
+    def grams(t):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+        return set(zip(w, w[1:]))
+
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        units = [u for s in (t or "").split("\n") for u in [s]] + re.split(r"\n\s*\n", t or "") + [t or ""]
+        want = {k for k, s in licenses.TEMPLATES.items() for u in units if grams(u) and 2 * len(grams(u) & grams(s)) >= 0.8 * (len(grams(u)) + len(grams(s)))}
+        assert set(filter(None, got[i]["licenses"].split(","))) == want
+    assert [got[i]["license"] for i in range(7)] == ["MIT-notice", "MIT-notice", "ISC", "BSD-3-Clause", None, None, None]
+
+
+class Bytes:
+    def __init__(self, data):
+        self.data = data
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        return self.data[at : at + n]
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_zip(zip64):
+    import io
+    import zipfile
+
+    data = warc.zip_package([("a", b"xyz"), ("b/ç", b"q" * 500)], zip64)
+    assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+    p = warc.Package(Bytes(data))
+    at, n = p.locate("b/ç")
+    assert data[at : at + n] == b"q" * 500
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_warc(spark, zip64):
+    big, html = "é" * 600, [None, "", "small", "small"]
+    rows = [(i, f"http://x/{i}", h) for i, h in enumerate([*html, big, big, big, "y" * 1000, "y" * 999, "y" * 999])] + [(None, None, big)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = warc.write_packages(warc.judged(d), new_path(spark, "w"), limit=300, zip64=zip64)
+    got = {r["page_id"]: r for r in warc.read_packages(files, together=200).collect()}
+    assert len(got) == len(rows)
+    for i, _, h in rows:
+        assert got[i]["payload_bytes"] == len((h or "").encode())
+        assert got[i]["record_type"] == ("revisit" if i in (4, 5) else "response") and got[i]["refers_to"] == (6 if i in (4, 5) else None)
+        assert i in (4, 5) or got[i]["payload"] == (h or "").encode()
+
+
+def test_secrets():
+    scan = secrets.Scanner()
+    rules = [(re.compile(r.pattern, (re.I if r.fold else 0) | re.A), r) for r in secrets.RULES]
+    rng = random.Random(5)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "AKIA", "AKI", "abcdef0123456789", "é", " ", "  ", "=", ":", "'", '"', "x", "Z9", "\n", "ghp_", "a" * 18, "xoxb-", "AIza", "_", "-----BEGIN", " RSA", " PRIVATE KEY", "-----", "A1B2C3D4E5F6"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        want = sorted((m.start(), i, m.end()) for i, (p, r) in enumerate(rules) for m in p.finditer(t) if m.end() - m.start() >= r.least and (not r.least_value or len(m[2]) >= r.least_value))
+        assert scan.spans(t) == want
+
+
+def test_minimised():
+    a = automaton.Automaton([automaton.parse("(ab|cb)*d")], False)
+    assert len(a.rows) == 4
+
+
+def test_mixing(spark):
+    texts = made(200, 3)
+    d = table(spark, texts)
+    sizes = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+    src = {i: None if i % 7 == 0 else f"s{i % 5}" for i in sizes}
+    per = collections.Counter()
+    for i, n in sizes.items():
+        per[src[i]] += n
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left, rest = {}, 1.5 * sum(per.values()), set(per)
+    while rest:
+        level = left / sum(weight[s] for s in rest)
+        full = {s for s in rest if level * weight[s] > 2 * per[s]}
+        for s in full or rest:
+            target[s] = 2 * per[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        rest = rest - full if full else set()
+    plan = mixing.plan(d.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))).collect()
+    assert len(plan) == len(texts)
+    for r in plan:
+        assert r["size"] == sizes[r["doc_id"]] and abs(r["target"] - target[src[r["doc_id"]]]) < 1e-6
+        rate = target[src[r["doc_id"]]] / max(1, per[src[r["doc_id"]]])
+        assert int(rate) <= r["n_copies"] <= int(rate) + 1
+    out = mixing.mix(d)
+    assert out.columns == d.columns
+    assert collections.Counter(r["doc_id"] for r in out.collect()) == {r["doc_id"]: r["n_copies"] for r in plan if r["n_copies"]}
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 12))
+    x[100:140] = x[7]  # a common vector
+    x[200] = 2 * x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [1.0, None] + [0.0] * 10), (904, []), (None, x[0].tolist()), (905, [1.0, 2.0])]
+    d = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = collections.defaultdict(list)
+    for r in vptree.vp_search(d, d.where("id % 50 = 0"), shard_rows=120, block=4, leaf=8).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 500, 50))
+    n = np.sqrt((x * x).sum(1))
+    for q in got:
+        s = (x * x[q]).sum(1) / (n * n[q])
+        want = [int(i) for i in np.lexsort((np.arange(500), -s)) if i != q][:5]
+        assert [i for i, _ in got[q]] == want and np.allclose([v for _, v in got[q]], s[want], atol=1e-13)
+
+
+def test_relaxed_tree_keeps_recall():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 4))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    t = vptree.Tree(x, 16)
+    exact_, loose = ([set(r.tolist()) for r in t.search(x[:50], 5, f)] for f in (1.0, 1.3))
+    truth = [set(np.argsort(-(x @ q))[:5].tolist()) for q in x[:50]]
+    assert exact_ == truth and sum(len(a & b) for a, b in zip(loose, truth)) >= 0.9 * 250
+
+
+def brute_features(t):
+    t = t or ""
+    w = WORD.findall(t)
+    c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), dup, len(covered)
+
+
+def test_quality(spark):
+    clean = made(150, 9)
+    junk = [" ".join(f"{w}***" for w in (t or "x").split(" ")[:80]) for t in clean[20:45]]
+    texts = [*clean, *junk, "a b c a b c", "x y\nx y\n\nx y\n" * 30, "a\tb\x0bc\x0cd" * 20]
+    d = table(spark, texts)
+    got = {r["doc_id"]: r for r in quality.quality_report(d).collect()}
+    for i, t in enumerate(texts):
+        f = brute_features(t)
+        assert tuple(got[i][k] for k in quality.FEATURES) == f
+        assert got[i]["base_failed"] == (f[0] < 50 or 100 * f[4] > 50 * f[0])
+    kept = [i for i in got if got[i]["kept"]]
+    assert all(got[i]["kept"] for i in range(len(clean)) if not got[i]["base_failed"])
+    assert not any(len(clean) <= i < len(clean) + len(junk) for i in kept)
+    out = quality.quality_filter(d)
+    assert out.columns == d.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(kept)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = made(150, 9)
+    d = table(spark, texts)
+    docs = d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        new = stage(spark, docs, str(tmp_path))
+        assert new.columns == d.columns, name
+        if name == "ngram_jaccard":
+            ids = sorted(r["doc_id"] for r in docs.collect())
+            low = brute_components(sets_of([texts[i] for i in ids]))
+            assert sorted(r["doc_id"] for r in new.collect()) == [ids[k] for k in sorted(set(low))]
+        docs = new.cache()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
