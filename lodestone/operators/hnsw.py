@@ -153,12 +153,14 @@ class HnswIndex:
         """The index of the old rows and the new ones; shards are built anew."""
         return HnswIndex.build(self.nodes.select("id", "vector").unionByName(rows.select("id", "vector")), n_shards, self.params)
 
-    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None) -> DataFrame:
-        """Each shard is searched with the whole k and ef; the results are merged. where is a condition on id.
+    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """Each shard is searched with the whole k and ef; the results are merged. where is a condition on id, allowed a table of ids.
 
         Queries are grouped with the shards by a table of shard numbers, so none is broadcast."""
-        params, filtered = self.params, where is not None
+        params, filtered = self.params, where is not None or allowed is not None
         nodes = self.nodes.withColumn("allowed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+        if allowed is not None:
+            nodes = nodes.join(allowed.select("id").distinct().withColumn("_in", F.lit(True)), "id", "left").withColumn("allowed", F.col("allowed") & F.col("_in").isNotNull()).drop("_in")
         joined = nodes.join(self.links.groupBy("shard", "id").agg(F.sort_array(F.collect_list(F.struct("level", "neighbors"))).alias("near")), ["shard", "id"])
         asked = self.nodes.select(F.col("shard").alias("at")).distinct().crossJoin(queries.select(F.col("id").alias("query_id"), F.col("vector").cast("array<float>").alias("q")))
 
@@ -175,10 +177,10 @@ class HnswIndex:
                 tops = [len(x) - 1 for x in g.links]
                 g.top = max(tops)
                 g.entry = tops.index(g.top)
-                allowed = own["allowed"].to_numpy() if filtered else None
-                if allowed is None or allowed.any():
+                mask = own["allowed"].to_numpy() if filtered else None
+                if mask is None or mask.any():
                     for i, q in zip(queries_["query_id"].to_pylist(), queries_["q"].to_pylist()):
-                        out += [(i, int(ids[x]), float(d)) for d, x in g.search(np.array(q, np.float64), k, ef, allowed)]
+                        out += [(i, int(ids[x]), float(d)) for d, x in g.search(np.array(q, np.float64), k, ef, mask)]
             return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "neighbor_id": pa.array([x[1] for x in out], pa.int64()), "dist": pa.array([x[2] for x in out], pa.float64())})
 
         found = joined.groupBy("shard").cogroup(asked.groupBy("at")).applyInArrow(run, "query_id long, neighbor_id long, dist double")

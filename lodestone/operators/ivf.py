@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
-from .exact import knn_exact, top_k
+from .exact import BROADCAST_BYTES, knn_exact, measured, nearest_rows, rows_of, taken, top_k
 
 
 def centroids(rows: DataFrame, cell: str) -> DataFrame:
@@ -17,9 +17,25 @@ def centroids(rows: DataFrame, cell: str) -> DataFrame:
 
 
 def assign(rows: DataFrame, cents: DataFrame) -> DataFrame:
-    """rows with the column cell: the nearest centroid."""
-    near = knn_exact(cents.sparkSession.createDataFrame([], "id long, vector array<double>") if rows is None else rows, cents, 1, "l2")
-    return rows.join(near.select(F.col("query_id").alias("id"), F.col("neighbor_id").alias("cell")), "id")
+    """rows(id, vector) with the column cell: the nearest centroid.
+
+    Centroids are sent to the tasks if they measure small, and rows aren't shuffled; more of them meet the rows in blocks."""
+    n, dim = measured(cents)
+    if n * dim * 8 > BROADCAST_BYTES:
+        near = knn_exact(rows, cents, 1, "l2")
+        return rows.select("id", "vector").join(near.select(F.col("query_id").alias("id"), F.col("neighbor_id").alias("cell")), "id")
+    sent = rows.sparkSession.sparkContext.broadcast(taken(cents))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, v = sent.value
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                _, which, _ = nearest_rows(rows_of(batch.column(1), dim), ids, v, 1, "l2")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids[which])], ["id", "vector", "cell"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, "id long, vector array<float>, cell long")
 
 
 def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, nprobe: int, metric: str) -> DataFrame:

@@ -10,7 +10,8 @@ from ..operators import bm25, exact, fusion, hnsw, ivf
 from ..sources import shards
 
 UP, LOW = tx.UPPER, tx.LOWER
-HELD_OUT = 20
+#: The queries of searches: each row whose id is divisible by this.
+EVERY = 100
 
 
 def _table(spark, d, name):
@@ -22,7 +23,7 @@ def _base(spark, d):
 
 
 def _asked(spark, d):
-    return _base(spark, d).where(F.col("id") < HELD_OUT)
+    return _base(spark, d).where(F.col("id") % EVERY == 0)
 
 
 def _docs(spark, d):
@@ -40,7 +41,7 @@ def _said(df, *columns, n=6):
 
 _L2 = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - w[i]) * (v[i] - w[i])))"
 _DOT = "list_inner_product(v, w)"
-_Q = f"q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {HELD_OUT})"
+_Q = f"q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {EVERY} = 0)"
 _B = "b AS (SELECT vec_id AS neighbor_id, embedding::DOUBLE[] AS w, label FROM embeddings)"
 
 
@@ -69,17 +70,19 @@ def _knn(metric, k=10, where=None, expr=False):
 
 
 def _pairs(value, name):
+    """Each vector and the one of the next id."""
+
     def run(spark, d):
         e = _base(spark, d)
-        a = e.where("id < 20").select(F.col("id").alias("a_id"), F.col("vector").alias("a"))
-        b = e.where("id < 40").select(F.col("id").alias("b_id"), F.col("vector").alias("b"))
-        return _said(a.crossJoin(F.broadcast(b)).select("a_id", "b_id", value(F.col("a"), F.col("b")).alias(name)), name)
+        a = e.select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), F.col("vector").alias("a"))
+        b = e.select(F.col("id").alias("b_id"), F.col("vector").alias("b"))
+        return _said(a.join(b, "b_id").select("a_id", "b_id", value(F.col("a"), F.col("b")).alias(name)), name)
 
     return run
 
 
 def _pairs_sql(value, name):
-    return f"WITH a AS (SELECT vec_id AS a_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20), b AS (SELECT vec_id AS b_id, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 40) SELECT a_id, b_id, round({value}, 6) + 0e0 AS {name} FROM a, b"
+    return f"WITH a AS (SELECT vec_id AS a_id, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT vec_id AS b_id, embedding::DOUBLE[] AS w FROM embeddings) SELECT a_id, b_id, round({value}, 6) + 0e0 AS {name} FROM a JOIN b ON b_id = a_id + 1"
 
 
 def vec_normalize(spark, d):
@@ -92,7 +95,7 @@ def vec_norms(spark, d):
 
 
 def knn_idset(spark, d):
-    ids = spark.createDataFrame([(7,), (400,)], "id long")
+    ids = _labelled(spark, d)
     return _said(exact.knn_exact(_asked(spark, d), _base(spark, d), 10, "ip", allowed=ids), "dist")
 
 
@@ -103,8 +106,7 @@ def knn_empty_padded(spark, d):
 
 def knn_padded(spark, d):
     q = _asked(spark, d)
-    few = _base(spark, d).where("id < 5")
-    return _said(exact.padded(exact.knn_exact(q, few, 7, "l2"), q, 7), "dist")
+    return _said(exact.padded(exact.knn_exact(q, _base(spark, d), 100, "l2", F.col("label") == 3), q, 100), "dist")
 
 
 def knn_adaptive(spark, d):
@@ -124,7 +126,7 @@ def postfilter_recall(spark, d):
 
 
 def knn_held_out(spark, d):
-    return _said(exact.knn_exact(_asked(spark, d), _base(spark, d).where(F.col("id") >= HELD_OUT), 10, "ip"), "dist")
+    return _said(exact.knn_exact(_asked(spark, d), _base(spark, d).where(F.col("id") % EVERY != 0), 10, "ip"), "dist")
 
 
 def knn_graph(spark, d):
@@ -136,7 +138,7 @@ def knn_graph(spark, d):
 
 def brute_force_index(spark, d):
     b = _base(spark, d)
-    index = exact.BruteForceIndex(64, "l2").add(b.where("id < 250")).add(b.where("id >= 250"))
+    index = exact.BruteForceIndex(64, "l2").add(b.where("label < 5")).add(b.where("label >= 5"))
     return _said(index.search(_asked(spark, d), 10), "dist")
 
 
@@ -283,12 +285,12 @@ def _sweep(spark, d):
     q, b = _asked(spark, d), _base(spark, d)
     truth = exact.knn_exact(q, b, 10, "ip").join(b.select(F.col("id").alias("neighbor_id"), "label"), "neighbor_id").select("label")
     n = spark.range(1, 11).select(F.col("id").cast("int").alias("n"))
-    hit = truth.crossJoin(F.broadcast(n)).groupBy("n").agg((F.count_if(F.col("label") < F.col("n")) / F.lit(10.0 * HELD_OUT)).alias("recall"))
+    hit = truth.crossJoin(F.broadcast(n)).groupBy("n").agg((F.count_if(F.col("label") < F.col("n")) / F.count("*")).alias("recall"))
     return hit.select(F.when(F.col("n") % 2 == 0, "even").otherwise("odd").alias("algo"), "n", "recall", (F.lit(1000.0) / F.col("n")).alias("qps"))
 
 
 _SWEEP = (
-    f"WITH {_Q}, {_B}, {_knn_cte('ip', 10)}, h AS (SELECT n::INT AS n, count(*) FILTER (label < n) / {10 * HELD_OUT}e0 AS recall FROM (SELECT label FROM k JOIN b USING (neighbor_id)), range(1, 11) r(n) GROUP BY n), "
+    f"WITH {_Q}, {_B}, {_knn_cte('ip', 10)}, h AS (SELECT n::INT AS n, count(*) FILTER (label < n) / count(*)::DOUBLE AS recall FROM (SELECT label FROM k JOIN b USING (neighbor_id)), range(1, 11) r(n) GROUP BY n), "
     "p AS (SELECT CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS algo, n, recall, 1000e0 / n AS qps FROM h)"
 )
 
@@ -324,16 +326,42 @@ def hnsw_recall_gate(spark, d):
     return r.select((F.col("recall") >= 0.95).alias("reached"))
 
 
-def _hnsw(n=2, where=None, params=_SMALL, ef=64):
+def _hnsw(n=2, params=_SMALL, ef=64):
     def run(spark, d):
-        return _said(_graph(spark, d, n, params).search(_asked(spark, d), 10, ef, where), "dist")
+        return _said(_graph(spark, d, n, params).search(_asked(spark, d), 10, ef), "dist")
 
     return run
 
 
+def _labelled(spark, d):
+    """The mask of the filtered searches: ids of the rows of labels that say good."""
+    return _good(spark, d).select(F.col("doc_id").alias("id"))
+
+
+def hnsw_filtered(spark, d):
+    return _said(_graph(spark, d).search(_asked(spark, d), 10, 64, allowed=_labelled(spark, d)), "dist")
+
+
+def hnsw_filtered_gate(spark, d):
+    q, b, keep = _asked(spark, d), _base(spark, d), _labelled(spark, d)
+    r = fusion.recall_at_k(_graph(spark, d).search(q, 10, 100, allowed=keep), exact.knn_exact(q, b, 10, "ip", allowed=keep), 10, True)
+    return r.select((F.col("recall") >= 0.9).alias("reached"))
+
+
+def hnsw_adaptive(spark, d):
+    """As many rows as are allowed here are scanned exactly."""
+    q, b = _asked(spark, d), _base(spark, d)
+    few = F.col("label") == 3
+    return _said(exact.knn_adaptive(q, b, 10, "ip", few, 1_000_000, lambda: _graph(spark, d).search(q, 10, 64, allowed=b.where(few))), "dist")
+
+
+def hnsw_info(spark, d):
+    return _graph(spark, d, 1).info().select("n", "dim", "max_level")
+
+
 def hnsw_incremental(spark, d):
-    b = _base(spark, d).select("id", "vector")
-    return _said(hnsw.HnswIndex.build(b.where("id < 250"), 2, _SMALL).add(b.where("id >= 250"), 2).search(_asked(spark, d)), "dist")
+    b = _base(spark, d)
+    return _said(hnsw.HnswIndex.build(b.where("label < 5"), 2, _SMALL).add(b.where("label >= 5"), 2).search(_asked(spark, d)), "dist")
 
 
 def ivf_search(spark, d):
@@ -406,7 +434,10 @@ def queries() -> dict:
         "hnsw_recall_gate": hnsw_recall_gate,
         "hnsw_search": _hnsw(1),
         "hnsw_sharded": _hnsw(4),
-        "hnsw_filtered": lambda spark, d: _hnsw(2, F.col("id") % 3 == 0)(spark, d),
+        "hnsw_filtered": hnsw_filtered,
+        "hnsw_filtered_gate": hnsw_filtered_gate,
+        "hnsw_adaptive": hnsw_adaptive,
+        "hnsw_info": hnsw_info,
         "hnsw_ablation": _hnsw(2, params=hnsw.HnswParams("ip", 8, 48, 42, False)),
         "hnsw_incremental": hnsw_incremental,
         "ivf_search": ivf_search,
@@ -433,13 +464,13 @@ def oracle_sql() -> dict[str, str]:
         "knn_ground_truth_100": _knn_sql("ip", 100),
         "knn_filter_label": _knn_sql("ip", 10, "label = 3"),
         "knn_filter_half": _knn_sql("l2", 10, "label < 5"),
-        "knn_filter_idset": _knn_sql("ip", 10, "neighbor_id IN (7, 400)"),
+        "knn_filter_idset": _knn_sql("ip", 10, "neighbor_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
         "knn_filter_empty_padded": f"WITH {_Q} SELECT query_id, r::INT AS rank, -1::BIGINT AS neighbor_id, NULL::DOUBLE AS dist, true AS is_missing FROM q, range(1, 6) s(r)",
-        "knn_padded": f"WITH {_Q}, {_B}, {_knn_cte('l2', 7, 'neighbor_id < 5')} SELECT query_id, r::INT AS rank, coalesce(neighbor_id, -1) AS neighbor_id, round(dist, 6) + 0e0 AS dist, neighbor_id IS NULL AS is_missing FROM (SELECT query_id, r FROM q, range(1, 8) s(r)) LEFT JOIN (SELECT query_id, rank AS r, neighbor_id, dist FROM k) USING (query_id, r)",
+        "knn_padded": f"WITH {_Q}, {_B}, {_knn_cte('l2', 100, 'label = 3')} SELECT query_id, r::INT AS rank, coalesce(neighbor_id, -1) AS neighbor_id, round(dist, 6) + 0e0 AS dist, neighbor_id IS NULL AS is_missing FROM (SELECT query_id, r FROM q, range(1, 101) s(r)) LEFT JOIN (SELECT query_id, rank AS r, neighbor_id, dist FROM k) USING (query_id, r)",
         "knn_adaptive": _knn_sql("l2", 10, "label = 3"),
         "knn_postfilter": f"WITH {_Q}, {_B}, {_knn_cte('ip', 100)}, z AS (SELECT k.*, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS r FROM k JOIN b USING (neighbor_id) WHERE label < 5) SELECT query_id, r::INT AS rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM z WHERE r <= 10",
         "postfilter_recall": f"WITH {_Q}, {_B}, {_knn_cte('ip', 100, 'true', 'w')}, z AS (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS r FROM w JOIN b USING (neighbor_id) WHERE label = 3), {_knn_cte('ip', 10, 'label = 3')} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM z JOIN k USING (query_id, neighbor_id) WHERE r <= 10) AS hits, (SELECT count(*) FROM k) AS possible)",
-        "knn_held_out": _knn_sql("ip", 10, f"neighbor_id >= {HELD_OUT}"),
+        "knn_held_out": _knn_sql("ip", 10, f"neighbor_id % {EVERY} <> 0"),
         "knn_naive_graph": f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings), {_B}, {_knn_cte('l2', 4, 'query_id <> neighbor_id')} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM k",
         "vec_l2_pairs": _pairs_sql(_L2, "l2"),
         "vec_dot_pairs": _pairs_sql(_DOT, "dot"),
@@ -474,5 +505,8 @@ def oracle_sql() -> dict[str, str]:
         "hnsw_levels": "SELECT vec_id AS id, floor(-ln((('0x' || substr(md5('42-' || vec_id), 1, 8))::BIGINT + 1) / 4294967296e0) / ln(16e0))::INT AS level FROM embeddings",
         "hnsw_invariants": "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS self_loops, 0::BIGINT AS repeats, 0::BIGINT AS missing_level, 0::BIGINT AS isolated",
         "hnsw_recall_gate": "SELECT true AS reached",
+        "hnsw_filtered_gate": "SELECT true AS reached",
+        "hnsw_adaptive": _knn_sql("ip", 10, "label = 3"),
+        "hnsw_info": "SELECT count(*) AS n, max(len(embedding))::INT AS dim, max(floor(-ln((('0x' || substr(md5('42-' || vec_id), 1, 8))::BIGINT + 1) / 4294967296e0) / ln(8e0)))::INT AS max_level FROM embeddings",
         "ivf_search": _IVF,
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions import text, vectors
-from lodestone.operators import bm25, exact, fusion, hnsw
+from lodestone.operators import bm25, exact, fusion, hnsw, ivf
 from lodestone.sources import shards
 from lodestone.streaming import append
 
@@ -136,3 +136,28 @@ def test_against_sql(spark, name):
     assert cols == sorted(df.columns)
     want = sorted(str([r[q.columns.index(x)] for x in cols]) for r in q.fetchall())
     assert sorted(str([r[x] for x in cols]) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_many_queries_meet_the_base_in_blocks(spark, monkeypatch, metric):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)], "id long, vector array<float>")
+    sent = sorted(map(tuple, exact.knn_exact(rows, rows, 7, metric).collect()))
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact, "BLOCK_ROWS", 64)
+    met = sorted(map(tuple, exact.knn_exact(rows, rows, 7, metric).collect()))
+    assert [x[:3] for x in met] == [x[:3] for x in sent] and np.allclose([x[3] for x in met], [x[3] for x in sent])
+    with pytest.raises(Exception, match="dimension"):
+        exact.knn_exact(rows, spark.createDataFrame([(1, [1.0])], "id long, vector array<float>"), 7, metric).collect()
+
+
+def test_cells_are_the_same_sent_or_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(200)], "id long, vector array<float>")
+    cents = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "id long, vector array<double>")
+    sent = sorted((r["id"], r["cell"]) for r in ivf.assign(rows, cents).collect())
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", 0)
+    assert sorted((r["id"], r["cell"]) for r in ivf.assign(rows, cents).collect()) == sent
+    c = np.array([r["vector"] for r in cents.orderBy("id").collect()])
+    assert sent == [(r["id"], int(((c - np.array(r["vector"])) ** 2).sum(1).argmin())) for r in rows.orderBy("id").collect()]
