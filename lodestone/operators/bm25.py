@@ -1,4 +1,4 @@
-"""Okapi BM25 over index tables: postings(term, doc_id, tf) and doc_stats(doc_id, doc_len).
+"""Okapi BM25 over index tables: postings(term, doc_id, tf, doc_len) and doc_stats(doc_id, doc_len).
 
 Term statistics are taken from all documents when a query runs, so appended documents and filters change nothing
 about them but what they should."""
@@ -34,7 +34,8 @@ class Bm25Index:
     def build(cls, docs: DataFrame, k1: float = 1.2, b: float = 0.75, remove_stopwords: bool = True) -> Bm25Index:
         """docs(doc_id, text). Empty documents count."""
         t = docs.select("doc_id", tokenize(F.coalesce("text", F.lit("")), remove_stopwords).alias("_t"))
-        postings = t.select("doc_id", F.explode("_t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
+        words = t.select("doc_id", F.size("_t").cast("long").alias("doc_len"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL")  # an inner explode would test the tokens first, taking them twice
+        postings = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")).select("term", "doc_id", "tf", "doc_len")
         return cls(postings, t.select("doc_id", F.size("_t").cast("long").alias("doc_len")), k1, b, remove_stopwords)
 
     def append(self, docs: DataFrame) -> Bm25Index:
@@ -47,20 +48,22 @@ class Bm25Index:
     def collection(self) -> DataFrame:
         return self.doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"))
 
-    def _weighted(self, postings: DataFrame) -> DataFrame:
-        """postings(term, doc_id, tf, ...) with the contribution of each; the collection is one row."""
-        df = self.postings.join(postings.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    def _weighted(self, found: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+        """Postings found, all of their terms, with the contribution w of each allowed one; the collection is one row."""
+        # All columns are named, so that both uses of found are one exchange.
+        df = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("doc_len") > 0)).alias("df"))
         share = F.when(F.col("avg_len") > 0, F.col("doc_len") / F.col("avg_len")).otherwise(0.0)
         weight = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * share))
-        full = postings.join(df, "term").join(self.doc_stats, "doc_id").crossJoin(F.broadcast(self.collection()))
-        return full.withColumn("w", idf(F.col("n_docs"), F.col("df")) * weight)
+        if allowed is not None:
+            found = found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        full = found.join(df, "term").crossJoin(F.broadcast(self.collection()))
+        return full.select("term", "doc_id", (idf(F.col("n_docs"), F.col("df")) * weight).alias("w"))
 
     def search(self, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, rank, doc_id, score) for queries(query_id, text); allowed restricts documents, not statistics."""
         terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit("")), self.remove_stopwords))).alias("term"))
-        postings = self.postings if allowed is None else self.postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-        weighted = self._weighted(postings.join(terms.select("term").distinct(), "term", "left_semi"))
-        scores = weighted.select("term", "doc_id", "w").join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+        found = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        scores = self._weighted(found, allowed).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
         return top_k(scores, ["query_id"], [F.round("score", 9).desc(), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
 
     def score(self, term: str) -> DataFrame:

@@ -406,7 +406,7 @@ def queries() -> dict:
         "text_tokenize": text_tokenize,
         "text_clean_dedup": text_clean_dedup,
         "query_base_split": query_base_split,
-        "bm25_postings": lambda spark, d: _index(spark, d).postings,
+        "bm25_postings": lambda spark, d: _index(spark, d).postings.drop("doc_len"),
         "bm25_vocab": lambda spark, d: _index(spark, d).vocab(),
         "bm25_doc_stats": lambda spark, d: _index(spark, d).doc_stats,
         "bm25_collection": lambda spark, d: _said(_index(spark, d).collection(), "avg_len"),
