@@ -4,8 +4,8 @@ Vectors are scaled to unit length, where the order by distance is that by cosine
 again by their distance from a vantage point (the row that spreads a few probes most), down to leaves. For a query,
 each node on the way to a leaf bounds from below, by the triangle inequality, how near the leaf's rows can be;
 leaves are visited nearest bound first until factor * bound exceeds the distance of the k-th found. Factor 1 is
-exact; larger factors prune more and may lose neighbours. Queries come in blocks, as rows of bytes, and meet each
-shard's rows; each block and shard gives k rows a query, which are merged.
+exact; larger factors prune more and may lose neighbours. Shards and blocks of queries are bounded in bytes and each
+block meets each shard in a group of its own, which gives k rows a query; these are merged.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id; rows of
 different dimension are not compared; equal vectors tie and go by id, of which a shard keeps the k + 1 smallest for
@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import met, packed
 from .common import stored
 
 
@@ -106,42 +107,27 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return out
 
 
-def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = 2048, block: int = 256, leaf: int = 64) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest of rows(id, vector) for each of queries(id, vector)."""
-    fit = "id IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vector, x -> x <> 0)"
-
-    def packed(df: DataFrame, size: int, name: str) -> DataFrame:
-        """Rows (dim, name, ids, vectors), each of about `size` vectors as bytes."""
-        df = df.selectExpr("cast(id as bigint) AS id", "cast(vector as array<double>) AS vector").where(fit)
-        df = stored(df.withColumn("dim", F.size("vector")), name)
-        parts = max(1, -(-df.count() // size))
-        df = df.withColumn(name, F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int"))
-
-        def join(group):
-            import pyarrow as pa
+def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = 16384, block: int = 4096, leaf: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest of rows(id, vector) for each of queries(id, vector).
 
-            v = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return pa.table({"dim": group["dim"][:1], name: group[name][:1], "ids": [group["id"].to_numpy().tobytes()], "vectors": [v.tobytes()]})
-
-        return stored(df.groupBy("dim", name).applyInArrow(join, f"dim int, {name} int, ids binary, vectors binary"), name)
+    shard_rows and block bound the rows of a shard and of a block of queries, as most_bytes does for either."""
+    fit = "id IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vector, x -> x <> 0)"
 
-    shards = packed(rows, shard_rows, "shard").withColumnsRenamed({"ids": "s_ids", "vectors": "s_vectors"})
-    asked = packed(queries, block, "block")
-    # Each block goes to each shard of its dimension: an equality join on the dimension, of a few large rows.
-    pairs = shards.join(asked, "dim").select("dim", "s_ids", "s_vectors", "ids", "vectors")
-    n = max(1, min(20_000, shards.count() * asked.count()))
+    def dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        """df in blocks of about so many rows at most; of fewer where tasks would be without work."""
+        df = stored(df.selectExpr("cast(id as bigint) AS id", "cast(vector as array<double>) AS vector").where(fit), name)
+        n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
+        size = min(size, max(1, most_bytes // (8 * (dim or 1))), max(16 * leaf, n // df.sparkSession.sparkContext.defaultParallelism))
+        parts = max(1, -(-n // size))
+        return stored(packed(df, parts), f"{name}-blocks"), parts
 
-    def search(batches):
+    def search(ids, vectors, query_ids, asked):
         import pyarrow as pa
 
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dim, s_ids, s_vec, q_ids, q_vec = (batch.column(i)[r].as_py() for i in range(5))
-                got = nearest(np.frombuffer(s_ids, np.int64), np.frombuffer(s_vec).reshape(-1, dim), np.frombuffer(q_ids, np.int64), np.frombuffer(q_vec).reshape(-1, dim), k, factor, leaf)
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+        got = nearest(ids, vectors, query_ids, asked, k, factor, leaf)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*got) if got else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = pairs.repartition(n).mapInArrow(search, "query_id long, vec_id long, score double")
+    found = met(*dealt(rows, shard_rows, "shards"), *dealt(queries, block, "queries"), search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
