@@ -107,7 +107,7 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return out
 
 
-def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = 16384, block: int = 4096, leaf: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = 16384, block: int = 4096, leaf: int = 256, most_bytes: int = 16 << 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of rows(id, vector) for each of queries(id, vector).
 
     shard_rows and block bound the rows of a shard and of a block of queries, as most_bytes does for either."""
