@@ -121,6 +121,8 @@ class Graph:
         return self.beam(q, self.descend(q, 0), max(ef, k), 0, allowed)[:k]
 
 
+QUERIES_A_GROUP = 1 << 16
+
 NODES, LINKS = "shard int, id long, level int, vector array<float>", "shard int, id long, level int, neighbors array<long>"
 
 
@@ -156,7 +158,8 @@ class HnswIndex:
     def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
         """Each shard is searched with the whole k and ef; the results are merged. where is a condition on id, allowed a table of ids.
 
-        Queries are grouped with the shards by a table of shard numbers, so none is broadcast."""
+        Queries are grouped with the shards by a table of shard numbers, so none is broadcast; a group holds one shard
+        and about QUERIES_A_GROUP queries."""
         params, filtered = self.params, where is not None or allowed is not None
         nodes = self.nodes.withColumn("allowed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
         if allowed is not None:
@@ -164,6 +167,10 @@ class HnswIndex:
         joined = nodes.join(self.links.groupBy("shard", "id").agg(F.sort_array(F.collect_list(F.struct("level", "neighbors"))).alias("near")), ["shard", "id"])
         asked = self.nodes.select(F.col("shard").alias("at")).distinct().crossJoin(queries.select(F.col("id").alias("query_id"), F.col("vector").cast("array<float>").alias("q")))
 
+        groups = max(1, -(-queries.count() // QUERIES_A_GROUP))
+        joined = joined.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+
         def run(own, queries_):
             import pyarrow as pa
 
@@ -183,7 +190,7 @@ class HnswIndex:
                         out += [(i, int(ids[x]), float(d)) for d, x in g.search(np.array(q, np.float64), k, ef, mask)]
             return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "neighbor_id": pa.array([x[1] for x in out], pa.int64()), "dist": pa.array([x[2] for x in out], pa.float64())})
 
-        found = joined.groupBy("shard").cogroup(asked.groupBy("at")).applyInArrow(run, "query_id long, neighbor_id long, dist double")
+        found = joined.groupBy("shard", "part").cogroup(asked.groupBy("at", "part")).applyInArrow(run, "query_id long, neighbor_id long, dist double")
         return merge_shards(found, k)
 
     def neighbors(self, id_: int, level: int = 0) -> DataFrame:

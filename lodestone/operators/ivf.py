@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,23 @@ def centroids(rows: DataFrame, cell: str) -> DataFrame:
     return means.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("vector"))
 
 
+def train(rows: DataFrame, nlist: int | None = None, rounds: int = 5, seed: int = 42) -> DataFrame:
+    """(id, vector): nlist centroids (4 * sqrt(n) if not given) after so many rounds of moving each to its rows' mean.
+
+    They start from the rows that come first by a seeded digest of the id. Cells that lose all rows disappear."""
+    n, _ = measured(rows)
+    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))
+    cents = rows.orderBy(order, "id").limit(nlist or max(1, round(4 * n**0.5)))
+    cents = cents.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    for _ in range(rounds):
+        cents = centroids(assign(rows, cents), "cell")
+        if spilled := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+            path = f"{spilled.rstrip('/')}/cells-{uuid.uuid4().hex}"  # cuts the lineage of the rounds
+            cents.write.parquet(path)
+            cents = rows.sparkSession.read.parquet(path)
+    return cents
+
+
 def assign(rows: DataFrame, cents: DataFrame) -> DataFrame:
     """rows(id, vector) with the column cell: the nearest centroid.
 

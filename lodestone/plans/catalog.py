@@ -370,6 +370,25 @@ def ivf_search(spark, d):
     return _said(ivf.ivf_search(_asked(spark, d), cells, ivf.centroids(b, "label"), 10, 3, "ip"), "dist")
 
 
+def _trained(spark, d):
+    b = _base(spark, d).select("id", "vector")
+    cents = ivf.train(b, 16, 3)
+    return ivf.assign(b, cents), cents
+
+
+def ivf_trained_whole(spark, d):
+    """With all cells read, trained cells lose nothing."""
+    cells, cents = _trained(spark, d)
+    return _said(ivf.ivf_search(_asked(spark, d), cells, cents, 10, 16, "ip"), "dist")
+
+
+def ivf_trained_gate(spark, d):
+    cells, cents = _trained(spark, d)
+    q = _asked(spark, d)
+    r = fusion.recall_at_k(ivf.ivf_search(q, cells, cents, 10, 8, "ip"), exact.knn_exact(q, _base(spark, d), 10, "ip"))
+    return r.select((F.col("recall") >= 0.7).alias("reached"))
+
+
 _IVF = (
     f"WITH {_Q}, {_B}, ce AS (SELECT label AS cell, list(x ORDER BY i) AS w FROM (SELECT label, i, avg(w[i]) AS x FROM b, range(1, 65) r(i) GROUP BY ALL) GROUP BY label), "
     f"asg AS (SELECT id, v, arg_min(cell, (dd, cell)) AS cell FROM (SELECT id, v, cell, {_L2} AS dd FROM (SELECT neighbor_id AS id, w AS v FROM b), ce) GROUP BY id, v), "
@@ -441,6 +460,8 @@ def queries() -> dict:
         "hnsw_ablation": _hnsw(2, params=hnsw.HnswParams("ip", 8, 48, 42, False)),
         "hnsw_incremental": hnsw_incremental,
         "ivf_search": ivf_search,
+        "ivf_trained_whole": ivf_trained_whole,
+        "ivf_trained_gate": ivf_trained_gate,
     }
 
 
@@ -509,4 +530,6 @@ def oracle_sql() -> dict[str, str]:
         "hnsw_adaptive": _knn_sql("ip", 10, "label = 3"),
         "hnsw_info": "SELECT count(*) AS n, max(len(embedding))::INT AS dim, max(floor(-ln((('0x' || substr(md5('42-' || vec_id), 1, 8))::BIGINT + 1) / 4294967296e0) / ln(8e0)))::INT AS max_level FROM embeddings",
         "ivf_search": _IVF,
+        "ivf_trained_whole": ip,
+        "ivf_trained_gate": "SELECT true AS reached",
     }

@@ -161,3 +161,16 @@ def test_cells_are_the_same_sent_or_in_blocks(spark, monkeypatch):
     assert sorted((r["id"], r["cell"]) for r in ivf.assign(rows, cents).collect()) == sent
     c = np.array([r["vector"] for r in cents.orderBy("id").collect()])
     assert sent == [(r["id"], int(((c - np.array(r["vector"])) ** 2).sum(1).argmin())) for r in rows.orderBy("id").collect()]
+
+
+def test_graph_search_in_groups_of_queries_with_an_id_mask(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = vecs(spark, [(i, rng.normal(size=8)) for i in range(150)])
+    index = hnsw.HnswIndex.build(rows, 2, hnsw.HnswParams("l2", 8, 48))
+    whole = sorted(map(tuple, index.search(rows, 5, 40).collect()))
+    monkeypatch.setattr(hnsw, "QUERIES_A_GROUP", 20)
+    assert sorted(map(tuple, index.search(rows, 5, 40).collect())) == whole
+    few = rows.where("id % 7 = 0")
+    found = index.search(rows, 5, 150, allowed=few)
+    assert {r["neighbor_id"] % 7 for r in found.collect()} == {0}
+    assert fusion.recall_at_k(found, exact.knn_exact(rows, rows, 5, "l2", allowed=few), 5, True).first()["recall"] > 0.95
