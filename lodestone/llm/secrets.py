@@ -96,7 +96,11 @@ class Scanner:
         data = text.encode()
         found = self.scan(data)
         if found and len(data) != len(text):
-            found = [(len(data[:a].decode()), r, len(data[:b].decode())) for a, r, b in found]
+            place, at, n = {}, 0, 0
+            for x in sorted({x for a, _, b in found for x in (a, b)}):  # each byte is decoded once, however many spans
+                n += len(data[at:x].decode())
+                at, place[x] = x, n
+            found = [(place[a], r, place[b]) for a, r, b in found]
         return found
 
 
