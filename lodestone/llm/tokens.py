@@ -2,7 +2,7 @@
 
 Both vocabularies part texts at a single space between other characters, so a text's ids are those of its chunks
 (a word, with the space before it where the vocabulary keeps it). A chunk is encoded by the library once and kept in
-a dictionary of bounded size. Texts where a space follows a space, or ends the text after other white space, go to the library whole.
+a dictionary of bounded size. Texts where a space follows a space, or ends the text after other white space, go to the library whole, as do those that name an added token.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Texts that hold one of the vocabulary's added tokens go to the library whole: it looks for them first.
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         a, b, both = (self._direct(x) for x in ("a", "b", "a b"))
         self.lead = " " if both != a + b else ""
         #: What stands between chunks when many are encoded at once: a character's own pretoken.
@@ -87,7 +88,7 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         which, parts = [], []
         for i, t in enumerate(texts):
-            if self.lead and ("  " in t or t[-1:] == " " and t[-2:-1].isspace()):
+            if any(x in t for x in self.added) or self.lead and ("  " in t or t[-1:] == " " and t[-2:-1].isspace()):
                 out[i] = np.array(self._direct(t), np.uint32)
             elif t:
                 which.append(i)

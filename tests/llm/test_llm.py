@@ -393,3 +393,20 @@ def test_pipeline_stages(spark, tmp_path):
             assert sorted(r["doc_id"] for r in new.collect()) == [ids[k] for k in sorted(set(low))]
         docs = new.cache()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_remembered_ids_are_the_librarys(name):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.tokens import Encoder
+
+    path = public_tokenizers.path(name)
+    library, made, rng = Tokenizer.from_file(path), Encoder(path, keep=500), random.Random(7)
+    bits = ["a", "the", "Hello", " ", "  ", "\n", " \n", "\t", "\xa0", "\u3000", "\x01", "\x00", "e\u0301", "\U0001f600", "1", "4567", "'s", "...", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "\u0130", "\u4e2d"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(50)]
+        assert [x.tolist() for x in made.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
