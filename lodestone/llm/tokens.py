@@ -8,7 +8,7 @@ a dictionary of bounded size. Texts where a space follows a space, or ends the t
 from __future__ import annotations
 
 import os
-from itertools import chain, compress
+from itertools import chain, compress, islice
 
 import numpy as np
 
@@ -63,23 +63,26 @@ class Encoder:
         """Appends the ids of the chunks numbered last."""
         for i in range(0, len(chunks), 4000):
             part = chunks[i : i + 4000]
-            if any(MARK in x for x in part) or len(self.mark) > 2:
+            if MARK in "".join(part) or len(self.mark) > 2:
                 found = [np.array(self._direct(self.lead + x if x or self.lead else x), np.uint32) for x in part]
+                ids, lengths = np.concatenate(found), np.array([len(x) for x in found])
             else:
                 said = [f"{self.lead or ' '}{x} {MARK}" for x in part]
                 texts = ["".join(said[j : j + 40]) for j in range(0, len(said), 40)]  # short ones are encoded fastest
                 ids = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
                 stops = np.flatnonzero(ids == self.mark[-1])
                 starts = np.append(0, stops[:-1] + 1)
-                found = [ids[a : b + 1 - len(self.mark)] for a, b in zip(starts, stops)]
-            lengths = np.array([len(x) for x in found])
+                lengths, stay = stops + 1 - len(self.mark) - starts, np.ones(len(ids), bool)
+                for k in range(len(self.mark)):
+                    stay[stops - k] = False
+                ids = ids[stay]
             need = self.n_flat + int(lengths.sum())
             while need > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while self.n + len(part) > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
                 self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
-            self.flat[self.n_flat : need] = np.concatenate(found)
+            self.flat[self.n_flat : need] = ids
             self.ends[self.n : self.n + len(part)] = self.n_flat + np.cumsum(lengths)
             self.n_flat, self.n = need, self.n + len(part)
 
@@ -101,7 +104,7 @@ class Encoder:
         counts = np.array([len(w) - 1 for w in parts])
         before = len(self.numbers)
         numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(w[1:] for w in parts)), np.int64, int(counts.sum()))
-        new = [c for c, _ in zip(reversed(self.numbers), range(len(self.numbers) - before))][::-1]
+        new = list(islice(reversed(self.numbers), len(self.numbers) - before))[::-1]
         self._learn(new)
         np.add.at(self.seen, numbers, 1)
         ends = self.ends[numbers]
@@ -113,7 +116,7 @@ class Encoder:
         cuts = np.append(0, after)[np.append(0, np.cumsum(counts))]
         for j, (i, head) in enumerate(zip(which, heads)):
             out[i] = np.concatenate([head, ids[cuts[j] : cuts[j + 1]]])
-        if any(len(c) > 1000 for c in new):  # very long chunks are not kept
+        if new and max(map(len, new)) > 1000:  # very long chunks are not kept
             self._forget()
         return out
 
