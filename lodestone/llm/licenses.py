@@ -11,12 +11,14 @@ length are read whole; repeated rows give their result each; an empty table give
 
 from __future__ import annotations
 
+import pkgutil
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import LOWER, SPACES, mix, text_buffer, word_hashes
 
-# Notices and opening texts of public licenses.
+# Notices, standard headers and openings of public licenses; their full texts follow from license_texts.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT-file": "Licensed under the MIT License. See LICENSE file in the project root for license information.",
@@ -26,9 +28,11 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
@@ -39,6 +43,10 @@ TEMPLATES = {
     "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
+FULL = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MPL-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")
+TEMPLATES |= {k + "-full" if k in TEMPLATES else k: pkgutil.get_data(__package__, f"license_texts/{k}.txt").decode() for k in FULL}
+#: An opening that several licenses share: told only where none of their full texts is.
+SHARED = {"BSD-opening": {"BSD-3-Clause", "BSD-2-Clause"}}
 SCOPES = ("line", "paragraph", "text")
 
 _TABLE = LOWER.copy()
@@ -60,18 +68,35 @@ class Matcher:
         self.sets = [np.unique(_bigrams(h[a:b])) for a, b in zip(at, at[1:])]
         self.sizes = np.array([len(s) for s in self.sets])
         self.known = np.unique(np.concatenate(self.sets))
-
-    def _unit(self, grams: np.ndarray):
+        # The templates of each known bigram, one after the other.
+        pairs = np.array(sorted((int(p), i) for i, x in enumerate(self.sets) for p in np.searchsorted(self.known, x)))
+        self.of, self.from_ = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.known) + 1))
+        # As the smaller of two sizes is at most what both share: 2 s >= least (s + size)
+        self.need = self.sizes * least / (2 - least) - 1e-9
+        self.shared = [(self.names.index(k), {self.names.index(x) for x in v}) for k, v in SHARED.items() if k in self.names and v <= set(self.names)]
+
+    def _possible(self, row: np.ndarray, known: np.ndarray, rows: int):
+        """(row, templates) where a row's distinct bigrams are enough for a template."""
+        key = np.unique(row * len(self.known) + known)
+        row, known = np.divmod(key, len(self.known))
+        many = self.from_[known + 1] - self.from_[known]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.from_[known], many)
+        n = len(self.names)
+        counts = np.bincount(np.repeat(row, many) * n + self.of[at], minlength=rows * n).reshape(rows, n)
+        enough = counts >= self.need
+        for r in np.flatnonzero(enough.any(axis=1)):
+            yield int(r), np.flatnonzero(enough[r])
+
+    def _unit(self, grams: np.ndarray, among: np.ndarray):
         """(dice, template) for the templates that the unit reaches."""
         grams = np.unique(grams)
         a = len(grams)
-        near = np.flatnonzero(2 * np.minimum(self.sizes, a) >= self.least * (self.sizes + a))
-        for i in near:
+        for i in among[2 * np.minimum(self.sizes[among], a) >= self.least * (self.sizes[among] + a)]:
             s = self.sets[i]
             p = np.searchsorted(s, grams)
             both = int((s[np.minimum(p, len(s) - 1)] == grams).sum())
             if 2 * both >= self.least * (a + len(s)):
-                yield 2 * both / (a + len(s)), i
+                yield 2 * both / (a + len(s)), int(i)
 
     def match(self, column) -> list[list[tuple[float, int, int]]]:
         """For each text of an Arrow column: (dice, template, scope), best first."""
@@ -83,20 +108,21 @@ class Matcher:
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         line = np.searchsorted(np.flatnonzero(data == 10), starts)
         grams = _bigrams(h)
-        p = np.searchsorted(self.known, grams)
-        shared = (self.known[np.minimum(p, len(self.known) - 1)] == grams) & (row[1:] == row[:-1])
-        if not shared.any():
-            return out
-        new_row = np.append(True, row[1:] != row[:-1])
-        step = np.append(0, np.diff(line))
-        for scope, new in enumerate((new_row | (step > 0), new_row | (step > 1), new_row)):
-            first = np.append(np.flatnonzero(new), len(h))
-            unit = np.cumsum(new) - 1
+        p = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        shared = np.flatnonzero((self.known[p] == grams) & (row[1:] == row[:-1]))
+        for r, among in self._possible(row[shared], p[shared], len(out)):
+            a, b = int(at[r]), int(at[r + 1])
+            found = set()
+            step = np.diff(line[a:b])
             # A bigram lies within a unit if both words do.
-            for u in np.unique(unit[1:][shared & (unit[1:] == unit[:-1])]):
-                a, b = int(first[u]), int(first[u + 1])
-                out[row[a]] += [(d, int(i), scope) for d, i in self._unit(grams[a : b - 1])]
-        return [sorted(set(x), key=lambda t: (-t[0], t[1], t[2])) for x in out]
+            for scope, cuts in enumerate((np.flatnonzero(step > 0), np.flatnonzero(step > 1), [])):
+                first = [a, *(a + 1 + int(c) for c in cuts), b]
+                for x, y in zip(first, first[1:]):
+                    found.update((d, i, scope) for d, i in self._unit(grams[x : y - 1], among))
+            told = {i for _, i, _ in found}
+            hidden = {i for i, full in self.shared if told & full}
+            out[r] = sorted((x for x in found if x[1] not in hidden), key=lambda t: (-t[0], t[1], t[2]))
+        return out
 
 
 def scan_licenses(docs: DataFrame, least: float = 0.8) -> DataFrame:

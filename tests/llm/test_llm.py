@@ -239,6 +239,24 @@ def test_licenses(spark):
     assert [got[i]["license"] for i in range(7)] == ["MIT-notice", "MIT-notice", "ISC", "BSD-3-Clause", None, None, None]
 
 
+def test_whole_license_files():
+    """Full texts in usual layouts, each by its own template and none by a relative's."""
+    import textwrap
+
+    import pyarrow as pa
+
+    made = licenses.Matcher()
+    for name in (k if k in licenses.SHARED["BSD-opening"] else k + "-full" for k in licenses.FULL):
+        full = licenses.TEMPLATES[name]
+        layouts = [full, full.replace("\n", "\r\n"), " ".join(full.split()), re.sub(r"\n\s*\n", "\n", full), "\n".join(textwrap.wrap(full, 60)), "Copyright (c) 2020 A. Author\nAll rights reserved.\n\n" + full, "\n".join(" * " + x for x in full.split("\n"))]
+        for found in made.match(pa.array(layouts)):
+            best = {}
+            for d, i, _ in found:
+                best.setdefault(made.names[i], d)
+            assert best[name] > 0.95 and all(d < best[name] for k, d in best.items() if k != name and (k.endswith("-full") or k.startswith("BSD")))
+    assert made.names[made.match(pa.array([licenses.TEMPLATES["BSD-opening"]]))[0][0][1]] == "BSD-opening"
+
+
 class Bytes:
     def __init__(self, data):
         self.data = data
