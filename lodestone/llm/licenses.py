@@ -1,9 +1,10 @@
 """License scans: text compared with license templates by the Dice coefficient over word bigrams.
 
 Text is normalised (A-Z lower-cased, ASCII punctuation dropped). Units are a text's lines, its paragraphs (between lines
-without words) and the whole; a unit's set is that of its distinct word bigrams. 2 |A and B| / (|A| + |B|) reaches the
-threshold only if the smaller size is at least t / (2 - t) of the larger: this bound leaves few templates for a unit, and units that share no bigram
-with any template are passed over before that.
+without words), the whole, and its windows: runs of words wherever they start and end, of up to (2 - t) / t times a
+template's words. A unit's set is that of its distinct word bigrams. 2 |A and B| / (|A| + |B|) reaches the threshold t
+only if both sizes, and what they share, are at least t / (2 - t) of the larger: texts that share fewer distinct bigrams with
+a template are passed over, and few templates are left for the rest.
 
 Cases: null and empty texts match nothing; ties go to the earlier template, then the narrower unit; texts of any
 length are read whole; repeated rows give their result each; an empty table gives no rows; other columns are ignored.
@@ -47,7 +48,7 @@ FULL = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "BSD-3-Clause", "
 TEMPLATES |= {k + "-full" if k in TEMPLATES else k: pkgutil.get_data(__package__, f"license_texts/{k}.txt").decode() for k in FULL}
 #: An opening that several licenses share: told only where none of their full texts is.
 SHARED = {"BSD-opening": {"BSD-3-Clause", "BSD-2-Clause"}}
-SCOPES = ("line", "paragraph", "text")
+SCOPES = ("line", "paragraph", "text", "window")
 
 _TABLE = LOWER.copy()
 _TABLE[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -59,6 +60,15 @@ def _bigrams(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * np.uint64(3) + h[1:])
 
 
+def _previous(grams: np.ndarray) -> np.ndarray:
+    """Where each bigram stood before, -1 for the first time."""
+    order = np.argsort(grams, kind="stable")
+    out = np.full(len(grams), -1)
+    again = grams[order[1:]] == grams[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
+    return out
+
+
 class Matcher:
     def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = 0.8):
         import pyarrow as pa
@@ -66,6 +76,7 @@ class Matcher:
         self.names, self.least = list(templates), least
         h, at, _ = word_hashes(*text_buffer(pa.array(list(templates.values()), pa.string())), _TABLE, _SPACE)
         self.sets = [np.unique(_bigrams(h[a:b])) for a, b in zip(at, at[1:])]
+        self.lengths = np.diff(at) - 1
         self.sizes = np.array([len(s) for s in self.sets])
         self.known = np.unique(np.concatenate(self.sets))
         # The templates of each known bigram, one after the other.
@@ -98,6 +109,51 @@ class Matcher:
             if 2 * both >= self.least * (a + len(s)):
                 yield 2 * both / (a + len(s)), int(i)
 
+    def _window(self, grams: np.ndarray, prev: np.ndarray, i: int) -> float:
+        """The greatest Dice of template i with a run of words no longer than the bound on sizes allows; 0 where none reaches the threshold.
+
+        The best run starts with a shared bigram. Starts are taken in blocks: what the run from a block's first start shares
+        and the size of that from its last bound the block from above, and blocks are opened while their bound exceeds the best."""
+        s, n = self.sets[i], len(grams)
+        p = np.minimum(np.searchsorted(s, grams), len(s) - 1)
+        hit = s[p] == grams
+        length = max(1, int(self.lengths[i] * (2 - self.least) / self.least))
+        starts = np.flatnonzero(hit)
+        # Shared bigrams within reach, repeats and all, must be enough.
+        starts = starts[np.searchsorted(starts, starts + length) - np.arange(len(starts)) >= self.need[i]]
+        if not len(starts):
+            return 0.0
+        span = max(1, len(s) // 50)
+        cut = np.flatnonzero(np.append(True, np.diff(starts // span) > 0))
+        ends = np.append(cut[1:], len(starts)) - 1
+
+        def dice(first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+            """Of each pair of starts, the bound on runs from between them; exact where they are equal."""
+            out = np.empty(len(first))
+            rows = max(1, (1 << 19) // width)
+            for x in range(0, len(first), rows):
+                lo, hi = first[x : x + rows, None], last[x : x + rows, None]
+                at = lo + np.arange(width)
+                inside = (at < n) & (at < hi + length)
+                at = np.minimum(at, n - 1)
+                before = prev[at]
+                both = np.cumsum(inside & hit[at] & (before < lo), axis=1, dtype=np.int32)
+                size = np.cumsum(inside & (at >= hi) & (before < hi), axis=1, dtype=np.int32)
+                out[x : x + rows] = (2 * both / (np.maximum(size, both) + len(s))).max(axis=1)
+            return out
+
+        if span == 1:
+            best = float(dice(starts, starts, length).max())
+            return best if best >= self.least else 0.0
+        bound = dice(starts[cut], starts[ends], length + span)
+        best = 0.0
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] <= best or bound[j] < self.least:
+                break
+            own = starts[cut[j] : ends[j] + 1]
+            best = max(best, float(dice(own, own, length).max()))
+        return best if best >= self.least else 0.0
+
     def match(self, column) -> list[list[tuple[float, int, int]]]:
         """For each text of an Arrow column: (dice, template, scope), best first."""
         data, offsets = text_buffer(column)
@@ -119,6 +175,12 @@ class Matcher:
                 first = [a, *(a + 1 + int(c) for c in cuts), b]
                 for x, y in zip(first, first[1:]):
                     found.update((d, i, scope) for d, i in self._unit(grams[x : y - 1], among))
+            own = grams[a : b - 1]
+            prev = _previous(own)
+            for i in among:
+                d = self._window(own, prev, int(i))
+                if d >= self.least:
+                    found.add((d, int(i), 3))
             told = {i for _, i, _ in found}
             hidden = {i for i, full in self.shared if told & full}
             out[r] = sorted((x for x in found if x[1] not in hidden), key=lambda t: (-t[0], t[1], t[2]))

@@ -257,6 +257,39 @@ def test_whole_license_files():
     assert made.names[made.match(pa.array([licenses.TEMPLATES["BSD-opening"]]))[0][0][1]] == "BSD-opening"
 
 
+def test_license_windows():
+    """Texts next to others without a blank line, with blank lines of their own, or inside a line; the best run equals brute force."""
+    import pyarrow as pa
+
+    made = licenses.Matcher()
+    prose = "Some words of prose that say nothing of the kind and go on for a while, "
+    for name, t in licenses.TEMPLATES.items():
+        gaps = re.sub(r"\. ", ".\n\n", t)
+        for text in (prose * 9 + "\n" + t + "\n" + prose * 9, prose * 9 + "\n\n" + gaps + "\n\n" + prose * 9, prose * 9 + " ".join(t.split()) + " " + prose * 9):
+            found = [(d, i) for d, i, _ in made.match(pa.array([text]))[0]]
+            assert any(made.names[i] == name and d == 1 for d, i in found), name
+    rng = np.random.default_rng(3)
+    for least, size in ((0.8, 12), (0.6, 12), (0.8, 160), (0.7, 160)):
+        words = [f"w{i}" for i in range(size // 3)]
+        template = [words[j] for j in rng.integers(0, len(words), size)]
+        made = licenses.Matcher({"t": " ".join(template)}, least)
+        for _ in range(12):
+            text = [words[j] if rng.random() < 0.9 else "other" for j in rng.integers(0, len(words), 3 * size // 2)]
+            a = int(rng.integers(0, len(text) - size // 2))
+            text[a:a] = [w for w in template if rng.random() < 0.97]
+            wanted, most = set(zip(template, template[1:])), int((size - 1) * (2 - least) / least)
+            best = 0.0
+            for x in range(len(text) - 1):
+                own, both = set(), 0
+                for y in range(x, min(len(text) - 1, x + most)):
+                    g = (text[y], text[y + 1])
+                    both += g in wanted and g not in own
+                    own.add(g)
+                    best = max(best, 2 * both / (len(own) + len(wanted)))
+            got = [d for d, _, scope in made.match(pa.array([" ".join(text)]))[0] if scope == 3]
+            assert got == ([best] if best >= least else [])
+
+
 class Bytes:
     def __init__(self, data):
         self.data = data
