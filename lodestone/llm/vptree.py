@@ -8,8 +8,8 @@ exact; larger factors prune more and may lose neighbours. Shards and blocks of q
 block meets each shard in a group of its own, which gives k rows a query; these are merged.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id; rows of
-different dimension are not compared; equal vectors tie and go by id, of which a shard keeps the k + 1 smallest for
-each distinct vector; rows that repeat an id count once for each distinct vector; an empty table gives no rows; other columns are ignored.
+different dimension are not compared; equal scores tie and go by id: a shard ranks by exact score and id all vectors that rounding
+can't tell from the k-th, of each distinct one the k + 1 smallest ids; rows that repeat an id count once for each distinct vector; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ..operators.blocks import met, packed
 from .common import stored
 
+#: So many candidates of a block of queries are held at a time.
+MOST = 1 << 20
+
 
 class Tree:
     """leaves: arrays of row numbers. bounds: for each leaf, the (vantage, radius, inside) on the way to it."""
@@ -56,17 +59,29 @@ class Tree:
                     np.maximum(out[:, i], d[:, v] - radius if inside else radius - d[:, v], out=out[:, i])
         return out
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
-        """Row numbers by query, in no order, -1 where there are fewer than k."""
+    def reach(self, queries: np.ndarray, k: int, factor: float = 1.0, start: int = 0):
+        """Yields (query numbers, row numbers, cosines): of each query the k nearest rows and all that rounding can't tell from the k-th.
+
+        Where more than MOST of them would be held at a time, the queries are halved."""
         n = len(queries)
-        best, found = np.full((n, k), np.inf), np.full((n, k), -1)
+        best = np.full((n, k), -np.inf)
+        kth = best[:, 0].copy()
+        # How far a cosine may be off by rounding, and a bound made of distances.
+        off = 4 * (queries.shape[1] + 8) * np.finfo(float).eps
+        slack = 5 * np.sqrt(2 * off)
         low = self.bounds(queries)
         order = np.argsort(low, axis=1, kind="stable")
         active = np.arange(n)
+        held, total = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], 0
+
+        def kept():
+            q, r, c = (np.concatenate(x) for x in zip(*held))
+            near = c >= kth[q] - 2 * off
+            return q[near], r[near], c[near]
+
         for step in range(len(self.leaves)):
             at = order[active, step]
-            # 1e-7: distances by way of dot products are off by as much
-            active = active[factor * (low[active, at] - 1e-7) <= best[active].max(axis=1)]
+            active = active[factor * (low[active, at] - slack) <= np.sqrt(np.maximum(0, 2 - 2 * kth[active]))]
             if not len(active):
                 break
             at = order[active, step]
@@ -74,36 +89,68 @@ class Tree:
             values, cuts = np.unique(at[by], return_index=True)
             for x, a, b in zip(values, cuts, [*cuts[1:], len(by)]):
                 q, own = active[by[a:b]], self.leaves[x]
-                d = np.sqrt(np.maximum(0, 2 - 2 * queries[q] @ self.rows[own].T))
-                d = np.concatenate([best[q], d], axis=1)
-                names = np.concatenate([found[q], np.broadcast_to(own, (len(q), len(own)))], axis=1)
-                top = np.argpartition(d, k - 1, axis=1)[:, :k]
-                best[q], found[q] = np.take_along_axis(d, top, 1), np.take_along_axis(names, top, 1)
+                c = queries[q] @ self.rows[own].T
+                best[q] = np.partition(np.concatenate([best[q], c], axis=1), -k, axis=1)[:, -k:]
+                kth[q] = best[q].min(axis=1)
+                i, j = np.nonzero(c >= kth[q][:, None] - 2 * off)
+                held.append((q[i], own[j], c[i, j]))
+                total += len(i)
+                if total > MOST:
+                    held = [kept()]
+                    total = len(held[0][0])
+                    if total > MOST // 2 and n > 1:
+                        yield from self.reach(queries[: n // 2], k, factor, start)
+                        yield from self.reach(queries[n // 2 :], k, factor, start + n // 2)
+                        return
+        q, r, c = kept()
+        yield q + start, r, c
+
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
+        """Row numbers by query, nearest first, -1 where there are fewer than k."""
+        found = np.full((len(queries), k), -1)
+        for q, r, c in self.reach(queries, k, factor):
+            order = np.lexsort((r, -c, q))
+            q, r = q[order], r[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            found[q[rank < k], rank[rank < k]] = r[rank < k]
         return found
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, leaf: int, spare: int = 3):
+def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, leaf: int):
     """(query_id, vec_id, score) of the k best rows for each query; a row with the query's own id is left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
     _, first, same = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
     distinct = vectors[first]
-    by = np.argsort(same, kind="stable")
-    starts = np.append(np.searchsorted(same[by], np.arange(len(first))), len(by))
+    # Each id once for each distinct vector, by vector and id.
+    by = np.lexsort((ids, same))
+    by = by[np.append(True, (np.diff(same[by]) != 0) | (np.diff(ids[by]) != 0))]
+    same, ids = same[by], ids[by]
+    starts = np.searchsorted(same, np.arange(len(first)))
+    many = np.minimum(np.diff(np.append(starts, len(ids))), k + 1)
     lengths, q_lengths = np.sqrt((distinct * distinct).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     tree = Tree(distinct / lengths[:, None], leaf)
-    # A query's own vector takes a place; spare ones keep ties that rounding ranks otherwise.
-    found = tree.search(queries / q_lengths[:, None], k + 1 + spare, factor)
+    # Vectors with the query's own id take places.
+    sorted_ids = np.sort(ids)
+    places = k + np.maximum(1, np.searchsorted(sorted_ids, query_ids, "right") - np.searchsorted(sorted_ids, query_ids))
     out: list[tuple] = []
-    for i, row in enumerate(found):
-        row = row[row >= 0]
-        # left to right in double precision, alike for equal vectors
-        scores = (distinct[row] * queries[i]).sum(axis=1) / (lengths[row] * q_lengths[i])
-        near = []
-        for r, s in zip(row, scores):
-            own = ids[by[starts[r] : starts[r + 1]][: k + 1]]
-            near += [(-s, int(x)) for x in own if x != query_ids[i]]
-        out += [(int(query_ids[i]), x, float(-s)) for s, x in sorted(set(near))[:k]]
+    for place in np.unique(places):
+        asked = np.flatnonzero(places == place)
+        for q, row, _ in tree.reach(queries[asked] / q_lengths[asked, None], int(place), factor):
+            q = asked[q]
+            scores = np.empty(len(q))
+            size = max(1, (1 << 20) // vectors.shape[1])
+            for x in range(0, len(q), size):
+                # in double precision, alike for equal vectors
+                i, r = q[x : x + size], row[x : x + size]
+                scores[x : x + size] = (distinct[r] * queries[i]).sum(axis=1) / (lengths[r] * q_lengths[i])
+            n = many[row]
+            own = ids[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[row], n)]
+            q, scores = np.repeat(q, n), np.repeat(scores, n)
+            other = own != query_ids[q]
+            q, own, scores = q[other], own[other], scores[other]
+            order = np.lexsort((own, -scores, q))
+            q, own, scores = q[order], own[order], scores[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out += zip(query_ids[q[top]].tolist(), own[top].tolist(), scores[top].tolist())
     return out
 
 

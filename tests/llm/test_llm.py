@@ -390,6 +390,29 @@ def test_nearest(spark):
         assert [i for i, _ in got[q]] == want and np.allclose([v for _, v in got[q]], s[want], atol=1e-13)
 
 
+def test_nearest_ties_of_one_direction(monkeypatch):
+    """More rows of one direction than places, repeated ids, and a bound on what is held: equal scores go by id."""
+    rng = np.random.default_rng(5)
+    for most in (1 << 20, 40):
+        monkeypatch.setattr(vptree, "MOST", most)
+        for _ in range(20):
+            x = rng.normal(size=(120, 6))
+            x[20:60] = x[0] * 2.0 ** rng.integers(-9, 9, 40)[:, None]
+            x[60:80] = x[0]
+            ids = rng.permutation(120)
+            ids[100:112] = ids[0]
+            ids[60:70] = ids[60]
+            q = np.array([0, 1, 20, 60, 110, 100])
+            got = collections.defaultdict(list)
+            for i, j, s in vptree.nearest(ids, x, ids[q][:5], x[q][:5], 5, 1.0, 8):
+                got[i].append((j, s))
+            n = np.sqrt((x * x).sum(1))
+            for i in set(q[:5]) - {0, 110}:
+                s = (x * x[i]).sum(1) / (n * n[i])
+                rows = sorted({(-s[j], int(ids[j]), x[j].tobytes()) for j in range(120) if ids[j] != ids[i]})[:5]
+                assert [(j, -t) for j, t in got[ids[i]]] == [(j, t) for t, j, _ in rows]
+
+
 def test_relaxed_tree_keeps_recall():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 4))
