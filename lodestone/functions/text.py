@@ -32,9 +32,18 @@ def clean_dedup(df: DataFrame, id_col: str, text_col: str, least: int = 5) -> Da
     return out.groupBy("clean").agg(F.min(id_col).alias(id_col))
 
 
-def query_base_split(df: DataFrame, id_col: str, n_queries: int, limit: int, seed: int = 42) -> DataFrame:
-    """The first rows in an order by a seeded digest of the id: so many queries, then the base."""
+def query_base_split(df: DataFrame, id_col: str, n_queries: int, limit: int = 0, seed: int = 42) -> DataFrame:
+    """All rows in an order by a seeded digest of the id: so many queries, then the base, of which limit rows are kept (0: all).
+
+    Digests are spread evenly, so their first four digits make 65,536 small windows; only these windows' counts are added up in one task."""
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")))
-    first = df.withColumn("_k", key).orderBy("_k", id_col).limit(limit + n_queries)
-    order = F.row_number().over(Window.orderBy("_k", id_col))
-    return first.withColumn("position", order).withColumn("is_query", F.col("position") <= n_queries).drop("_k")
+    rows = df.withColumn("_k", key)
+    if limit:
+        rows = rows.orderBy("_k", id_col).limit(limit + n_queries)
+    rows = rows.withColumn("_p", F.substring("_k", 1, 4))
+    counts = rows.groupBy("_p").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_p", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("_k", id_col))
+    out = rows.withColumn("_own", own).join(F.broadcast(counts), "_p").withColumn("position", F.col("_before") + F.col("_own"))
+    return out.withColumn("is_query", F.col("position") <= n_queries).drop("_k", "_p", "_own", "_before")

@@ -164,7 +164,12 @@ def text_clean_dedup(spark, d):
 
 
 def query_base_split(spark, d):
-    return tx.query_base_split(_docs(spark, d).select("doc_id"), "doc_id", 50, 400).select("doc_id", "position", "is_query")
+    return tx.query_base_split(_docs(spark, d).select("doc_id"), "doc_id", 50, 400).select("doc_id", F.col("position").cast("int").alias("position"), "is_query")
+
+
+def query_base_split_all(spark, d):
+    """Of the whole table: the first 50 as queries, all others as base."""
+    return tx.query_base_split(_docs(spark, d).select("doc_id"), "doc_id", 50).select("doc_id", "position", "is_query")
 
 
 def _index(spark, d, **more):
@@ -425,6 +430,7 @@ def queries() -> dict:
         "text_tokenize": text_tokenize,
         "text_clean_dedup": text_clean_dedup,
         "query_base_split": query_base_split,
+        "query_base_split_all": query_base_split_all,
         "bm25_postings": lambda spark, d: _index(spark, d).postings.drop("doc_len"),
         "bm25_vocab": lambda spark, d: _index(spark, d).vocab(),
         "bm25_doc_stats": lambda spark, d: _index(spark, d).doc_stats,
@@ -501,6 +507,7 @@ def oracle_sql() -> dict[str, str]:
         "text_tokenize": f"SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda t: t NOT IN ({_STOP}))) AS n_kept, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens_sql('text', False)} AS t FROM documents)",
         "text_clean_dedup": r"WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('see https://x.org/a?b=c  @who ' || text, 'https?://\S+', '', 'g'), '@[\p{L}\p{N}\p{M}_]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents) SELECT min(doc_id) AS doc_id, md5(t) AS digest FROM c WHERE length(t) >= 5 GROUP BY t",
         "query_base_split": "SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id)::INT AS position, position <= 50 AS is_query FROM documents QUALIFY position <= 450",
+        "query_base_split_all": "SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS position, position <= 50 AS is_query FROM documents",
         "bm25_postings": f"WITH {_index_sql()} SELECT term, doc_id, tf FROM p",
         "bm25_vocab": f"WITH {_index_sql()} SELECT term, df FROM v",
         "bm25_doc_stats": f"WITH {_index_sql()} SELECT doc_id, doc_len FROM s",

@@ -174,3 +174,14 @@ def test_graph_search_in_groups_of_queries_with_an_id_mask(spark, monkeypatch):
     found = index.search(rows, 5, 150, allowed=few)
     assert {r["neighbor_id"] % 7 for r in found.collect()} == {0}
     assert fusion.recall_at_k(found, exact.knn_exact(rows, rows, 5, "l2", allowed=few), 5, True).first()["recall"] > 0.95
+
+
+def test_split_of_all_rows(spark):
+    import hashlib
+
+    ids = [*range(3000), 7, 7]
+    d = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    want = sorted(ids, key=lambda i: (hashlib.md5(f"42-{i}".encode()).hexdigest(), i))
+    for limit, n in ((0, len(ids)), (400, 450)):
+        got = text.query_base_split(d, "id", 50, limit).orderBy("position").collect()
+        assert [(r["id"], r["position"], r["is_query"]) for r in got] == [(i, p + 1, p < 50) for p, i in enumerate(want[:n])]
