@@ -6,8 +6,8 @@ values get equal pseudonyms in all documents, different ones different, and whoe
 (inverse=True). A round adds to one half, modulo its size, a SHA-256 value of key, round and other half.
 
 Formats: payment cards keep first digit and separators, and get a new check digit; phone numbers keep the country
-code and punctuation; social security numbers and IPv4 addresses are permuted whole; days are permuted within the 400 years from 1800,
-189 * 773 days in all; the local part of a mail address is permuted letter for letter and digit for digit.
+code or trunk digit and punctuation; social security numbers and IPv4 addresses are permuted whole; days are permuted within the 400 years from 1800,
+189 * 773 days in all, those with parts of one digit or a day above 12 before the month among those of the same shape; the local part of a mail address is permuted letter for letter and digit for digit.
 
 Cases: null text stays null, empty text empty; values that fail their check stay as they are; texts of any length
 are treated whole; repeated rows come out alike; an empty table gives no rows; other columns, whatever their names, pass through.
@@ -24,11 +24,36 @@ PATTERNS = {
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|(?<![0-9./])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9]|[.-][0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])",
+    "date": r"(?<![0-9-])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9-])|(?<![0-9./-])[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}(?![0-9/])|(?<![0-9./])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])|(?<![0-9./])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9])",
+    "phone": "|".join(
+        (
+            r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+            # 8 to 15 digits in groups of any size
+            r"(?<![0-9+])\+[1-9](?:(?: ?\(|\)[ -]?|[ .-])?[0-9]){7,14}(?![0-9]|[.-][0-9])",
+            r"(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9]|[.-][0-9])",
+            r"(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}(?![0-9])",
+            r"(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])",
+            r"(?<![0-9+-])1[ .-](?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])",
+            # national: 9 to 11 digits after a trunk 0, in groups of at least two
+            r"(?<![0-9A-Za-z_+.,/-])(?=(?:[ .()-]{0,2}[0-9]){9,11}(?![0-9]|[ .-][0-9]))(?:\(0[0-9]{1,4}\) ?|0[0-9]{1,4}[ .-])[0-9]{2,8}(?:[ .-][0-9]{2,8}){0,4}(?![0-9]|[.-][0-9])",
+            r"(?<![0-9A-Za-z_+.,/-])0[0-9]{9,10}(?![0-9A-Za-z_]|[.,-][0-9])",
+        )
+    ),
 }
 ANY = "|".join(PATTERNS.values())
 ROUNDS = 10
+_US = r"^(?:\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})$"
+
+
+def _days(day_first: bool, w: tuple[int, int], least: int = 1) -> str:
+    """The days of a common year as texts like 3/12, parts of so many digits (two: filled up with 0, one: 1 to 9)."""
+    lengths = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+    pairs = ((d, m) if day_first else (m, d) for m in range(1, 13) for d in range(least, lengths[m - 1] + 1))
+    return ",".join(f"{a:0{w[0]}}/{b:0{w[1]}}" for a, b in pairs if a < 10 ** w[0] and b < 10 ** w[1])
+
+
+_WIDTHS = ((1, 1), (1, 2), (2, 1), (2, 2))
+_LEAP = ",".join(str(y) for y in range(1800, 2200) if y % 4 == 0 and (y % 100 != 0 or y % 400 == 0))
 
 
 def _prf(key: str, *parts) -> Column:
@@ -93,7 +118,8 @@ def _card(x: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(x: Column, key: str, inverse: bool) -> Column:
-    lead = F.regexp_extract(x, r"^\+([0-9]{1,3})", 1)
+    # the country code, or the trunk digit of a national number
+    lead = F.when(x.startswith("+"), F.regexp_extract(x, r"^\+([0-9]{1,3})", 1)).when(x.rlike(_US), F.lit("")).otherwise(F.regexp_extract(x, "[0-9]", 0))
     d = F.regexp_replace(x, "[^0-9]", "")
     new = F.array(F.concat(lead, _digits(F.substr(d, F.length(lead) + 1), key, "phone", inverse)))
     return F.transform(new, lambda v: _refill(x, v))[0]
@@ -112,13 +138,41 @@ def _ipv4(x: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(x: Column, key: str, inverse: bool) -> Column:
-    first, form = F.lit("1800-01-01").cast("date"), F.when(x.contains("-"), "yyyy-MM-dd").when(x.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
-    iso = F.when(x.contains("-"), x).when(x.contains("."), F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2))).otherwise(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2)))
-    day = F.datediff(iso.try_cast("date"), first)
+    """Forms of fixed width whose order of month and day is one go through all days of 400 years; others keep the widths of their parts."""
+    first, sep = F.lit("1800-01-01").cast("date"), F.regexp_extract(x, "[-./]", 0)
+    ahead = x.rlike("^[0-9]{4}")
+    year = F.when(ahead, F.substring(x, 1, 4)).otherwise(F.substr(x, F.length(x) - 3)).cast("bigint")
+    part = F.translate(F.when(ahead, F.substr(x, F.lit(6))).otherwise(F.substr(x, F.lit(1), F.length(x) - 5)), "-.", "//")
+    a, b = F.split_part(part, F.lit("/"), F.lit(1)), F.split_part(part, F.lit("/"), F.lit(2))
+    # slashed and year last: month first, unless the first part can't be one
+    late = ~ahead & (sep == "/") & (a.cast("int") > 12)
+    day_first = (~ahead & (sep == ".")) | late
+    day = F.datediff(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(F.when(day_first, b).otherwise(a), 2, "0"), F.lpad(F.when(day_first, a).otherwise(b), 2, "0")).try_cast("date"), first)
+
+    def said(y, ab):
+        y, ab = y.cast("string"), F.regexp_replace(ab, "/", sep)
+        return F.when(ahead, F.concat(y, sep, ab)).otherwise(F.concat(ab, sep, y))
+
     out = F.array(_feistel(F.floor(day / 773), F.pmod(day, F.lit(773)), F.lit(189), F.lit(773), key, "date", inverse))
-    new = F.transform(out, lambda s: F.date_add(first, (s["l"] * 773 + s["r"]).cast("int")))[0]
-    said = F.when(form == "yyyy-MM-dd", F.date_format(new, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
-    return F.when((day >= 0) & (day < 146097), said).otherwise(x)
+    new = F.transform(out, lambda s: F.date_add(first, (s["l"] * 773 + s["r"]).cast("int")))
+    whole = F.transform(new, lambda n: said(F.year(n), F.when(day_first, F.date_format(n, "dd/MM")).otherwise(F.date_format(n, "MM/dd"))))[0]
+
+    days = None
+    for order, last in ((False, False), (True, False), (True, True)):
+        for w in _WIDTHS:
+            if w[0] == 2 if last else w != (2, 2):
+                fits = (day_first == F.lit(order)) & (late == F.lit(last)) & (F.length(a) == w[0]) & (F.length(b) == w[1])
+                days = (F.when if days is None else days.when)(fits, F.lit(_days(order, w, 13 if last else 1)))
+    days = F.split(days, ",")
+    at = F.array_position(days, part)
+    out = F.array(_feistel(year - 1800, at - 1, F.lit(400), F.size(days), key, F.concat(F.lit("day"), F.size(days).cast("string")), inverse))
+    common = F.transform(out, lambda s: said(s["l"] + 1800, F.get(days, s["r"].cast("int"))))[0]
+    # the 29th of February goes through the leap years
+    years = F.split(F.lit(_LEAP), ",")
+    out = F.array(_feistel(F.lit(0), F.array_position(years, year.cast("string")) - 1, F.lit(1), F.lit(_LEAP.count(",") + 1), key, "leap", inverse))
+    leap = F.transform(out, lambda s: said(F.get(years, s["r"].cast("int")), part))[0]
+    fixed = (F.length(part) == 5) & ~late
+    return F.when((day >= 0) & (day < 146097), F.when(fixed, whole).when(at > 0, common).otherwise(leap)).otherwise(x)
 
 
 def _email(x: Column, key: str, inverse: bool) -> Column:

@@ -143,6 +143,30 @@ def test_pii_round_trip(spark):
     assert [back[i] for i in range(len(texts))] == texts
 
 
+FORMS = {
+    "en": ["1-800-555-0199", "+1 800-555-0199", "020 7946 0958", "+61 2 9374 4000", "(02) 9374 4000", "3/4/2024", "12/3/2024", "3/14/2024", "2024/03/12"],
+    "fr": ["+33 6 12 34 56 78", "+33 1 42 68 53 00", "06 12 34 56 78", "06.12.34.56.78", "0612345678", "31/12/2024", "31/3/2024", "29/02/2024"],
+    "de": ["+49 170 1234567", "0170 1234567", "030 123456", "+43 1 58858 0", "1.2.2024", "31.1.2024", "3.12.2024", "29.2.2024"],
+    "nl, sv, es": ["+31 6 12345678", "06-12345678", "+46 8 123 456 78", "08-123 456 78", "+34 912 345 678", "2024-3-4", "2024/3/4", "2024/3/14"],
+}
+
+
+def test_pii_forms_by_language(spark):
+    values = [v for vs in FORMS.values() for v in vs]
+    kept = ["0.123456789 2024/13/45 32/13/2024 30.2.2024 12 34 56", "http://x.org/2024/03/12/y"]
+    d = table(spark, [f"a {v}, b" for v in values] + kept)
+    new = pii.pseudonymise(d)
+    got = {r["doc_id"]: r["text"] for r in new.collect()}
+    for i, v in enumerate(values):
+        assert v not in got[i] and re.sub("[0-9]", "9", got[i]) == re.sub("[0-9]", "9", f"a {v}, b"), (v, got[i])
+    assert [got[len(values) + i] for i in range(len(kept))] == kept
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymise(new, inverse=True).collect()}
+    assert [back[i] for i in range(len(values))] == [f"a {v}, b" for v in values]
+    days = spark.range(0, 4000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "M/d/yyyy").alias("t"))
+    new = days.select(F.col("t"), pii.pseudonym(F.col("t"), "k").alias("p")).collect()
+    assert len({r["p"] for r in new}) == 4000 and all(len(r["t"]) == len(r["p"]) for r in new)
+
+
 def test_pii_is_a_permutation(spark):
     days = spark.range(0, 3000).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), (F.col("id") * 48).cast("int")), "yyyy-MM-dd").alias("t"))
     assert days.select(pii.pseudonym(F.col("t"), "k").alias("p")).distinct().count() == 3000
