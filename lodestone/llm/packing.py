@@ -5,7 +5,8 @@ from the number of pieces of each length, whatever the number of documents. The
 large lengths, sorted, are cut into groups of equal cardinality and rounded up to the largest of the group; for these few
 sizes, configurations are made one after the other, each with the largest size left and the best filling of the rest
 (an exact knapsack), and used as often as the groups allow; actual lengths then take the rounded ones' places, and
-small lengths go, largest first, where they fit best. Each rule says: of the pieces of a length, those of rank lo to
+small lengths go, largest first, where they fit best. What counts as large and how many groups there are is tried in a
+few settings, the last with nothing large (best fit for all), and the plan with fewest sequences is taken. Each rule says: of the pieces of a length, those of rank lo to
 hi go to sequences from `base`, k in each, from `offset` on. Pieces get their rank without a shuffle of the texts:
 by task first, and by running sums over the tasks' counts.
 
@@ -62,8 +63,24 @@ def configurations(sizes: list[int], counts: list[int], most: int):
         yield dict(use), times
 
 
-def plan(counts: dict[int, int], most: int = 4096, groups: int = 48, large: float = 1 / 8) -> tuple[list[tuple], int]:
-    """Rules (length, lo, hi, base, k, offset) for counts by length, and the number of sequences."""
+#: Groups of large lengths, and the share of a sequence above which a length is large.
+SETTINGS = ((48, 1 / 8), (192, 1 / 8), (192, 1 / 4), (192, 1 / 2), (1, 1.0))
+
+
+def plan(counts: dict[int, int], most: int = 4096) -> tuple[list[tuple], int]:
+    """Rules (length, lo, hi, base, k, offset) for counts by length, and the number of sequences: the best of SETTINGS."""
+    bound, best = -(-sum(x * n for x, n in counts.items()) // most), None
+    for groups, large in SETTINGS:
+        made = grouped_plan(counts, most, groups, large)
+        if best is None or made[1] < best[1]:
+            best = made
+        if best[1] <= bound:  # no plan needs fewer
+            break
+    return best
+
+
+def grouped_plan(counts: dict[int, int], most: int, groups: int, large: float) -> tuple[list[tuple], int]:
+    """The linear grouping scheme in one setting."""
     rules: list[tuple] = []
     n_seq = 0
     open_: dict[int, list] = defaultdict(list)  # by room left: (first sequence, how many)

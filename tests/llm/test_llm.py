@@ -1,5 +1,6 @@
 """The training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import bisect
 import collections
 import random
 import re
@@ -194,6 +195,20 @@ def test_packing_plan(most):
             assert end <= most
 
 
+def test_packing_is_no_worse_than_best_fit():
+    """Sequences against best-fit decreasing, one piece at a time, and the lower bound."""
+    rng = random.Random(8)
+    for draw, over in ((lambda: rng.randint(1, 4096), 1.006), (lambda: rng.randint(600, 3500), 1.008), (lambda: min(4096, int(rng.lognormvariate(6, 1.2)) + 1), 1.001)):
+        lengths = sorted((draw() for _ in range(6000)), reverse=True)
+        rooms: list[int] = []
+        for x in lengths:
+            i = bisect.bisect_left(rooms, x)
+            room = rooms.pop(i) if i < len(rooms) else 4096
+            bisect.insort(rooms, room - x)
+        n = packing.plan(collections.Counter(lengths))[1]
+        assert n <= len(rooms) and n <= over * -(-sum(lengths) // 4096) + 1
+
+
 def test_packing(spark):
     texts = made()
     path = public_tokenizers.path("word_bpe_49k.json")
