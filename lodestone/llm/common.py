@@ -17,17 +17,31 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset and Spark runs on this machine alone (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.append(posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}"))
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that this process has stored, once no result that was made of it is read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -44,14 +44,14 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, comp) for each node of links(a, b): comp is the smallest node that it is connected with.
 
     Links are thinned to forests by batch, then the large-star and small-star steps alternate until nothing changes;
     minima are aggregated by partial sums, so a node with very many links is no single task's work."""
     e = stored(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
     said = None
-    for _ in range(most_rounds):
+    while True:  # each round that changes anything lowers an end; there are O(log(nodes) ** 2)
         e = stored(_small_star(_large_star(e)), "links")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == said or not now[0]:
