@@ -6,18 +6,29 @@ values get equal pseudonyms in all documents, different ones different, and whoe
 (inverse=True). A round adds to one half, modulo its size, a SHA-256 value of key, round and other half.
 
 Formats: payment cards keep first digit and separators, and get a new check digit; phone numbers keep the country
-code or trunk digit and punctuation; social security numbers and IPv4 addresses are permuted whole; days are permuted within the 400 years from 1800,
+code (its length by the numbering plan) or trunk digit and punctuation, and their other digits are permuted alike however
+they are written: +1 882 555 9672, +18825559672 and (882) 555-9672 stay linked; social security numbers are permuted
+among the valid ones, IPv4 addresses whole; days are permuted within the 400 years from 1800,
 189 * 773 days in all, those with parts of one digit or a day above 12 before the month among those of the same shape; the local part of a mail address is permuted letter for letter and digit for digit.
 
+The key is read from the session's setting spark.lodestone.pii.secret or from LODESTONE_PII_SECRET in the driver's
+environment; without either the open key TEST_KEY is used, with a warning: whoever has this code can then go back.
+
 Cases: null text stays null, empty text empty; values that fail their check stay as they are; texts of any length
 are treated whole; repeated rows come out alike; an empty table gives no rows; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SETTING, VARIABLE, TEST_KEY = "spark.lodestone.pii.secret", "LODESTONE_PII_SECRET", "lodestone"
+# Country codes of one and two digits in the international numbering plan; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -118,16 +129,27 @@ def _card(x: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(x: Column, key: str, inverse: bool) -> Column:
-    # the country code, or the trunk digit of a national number
-    lead = F.when(x.startswith("+"), F.regexp_extract(x, r"^\+([0-9]{1,3})", 1)).when(x.rlike(_US), F.lit("")).otherwise(F.regexp_extract(x, "[0-9]", 0))
     d = F.regexp_replace(x, "[^0-9]", "")
+    # the country code, with a trunk 0 that stands in brackets behind it; or the trunk digit of a national number
+    code = F.regexp_extract(d, f"^(?:{'|'.join(SHORT_CODES)}|[0-9]{{1,3}})", 0)
+    code = F.when(x.contains("(0)") & F.substr(d, F.length(code) + 1, F.lit(1)).eqNullSafe("0"), F.concat(code, F.lit("0"))).otherwise(code)
+    lead = F.when(x.startswith("+"), code).when(x.rlike(_US), F.lit("")).otherwise(F.substr(d, F.lit(1), F.lit(1)))
     new = F.array(F.concat(lead, _digits(F.substr(d, F.length(lead) + 1), key, "phone", inverse)))
     return F.transform(new, lambda v: _refill(x, v))[0]
 
 
 def _ssn(x: Column, key: str, inverse: bool) -> Column:
-    new = F.array(_digits(F.regexp_replace(x, "[^0-9]", ""), key, "ssn", inverse))
-    return F.transform(new, lambda v: _refill(x, v))[0]
+    """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999; others are none."""
+    area, group, serial = (F.split_part(x, F.lit("-"), F.lit(i)).cast("bigint") for i in (1, 2, 3))
+    valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+    left = area - 1 - F.when(area > 666, 1).otherwise(0)
+    out = F.array(_feistel(left, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn", inverse))
+
+    def said(s):
+        area = s["l"] + 1 + F.when(s["l"] >= 665, 1).otherwise(0)
+        return F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in ((area, 3), (F.floor(s["r"] / 9999) + 1, 2), (s["r"] % 9999 + 1, 4))])
+
+    return F.when(valid, F.transform(out, said)[0]).otherwise(x)
 
 
 def _ipv4(x: Column, key: str, inverse: bool) -> Column:
@@ -219,12 +241,20 @@ def mask(text: Column, key: str, inverse: bool = False) -> tuple[Column, Column]
     return F.when(some, F.concat(F.get(gaps, F.lit(0)), new)).otherwise(text), F.when(some, F.size(hits)).otherwise(0).cast("bigint")
 
 
-def pseudonymise(docs: DataFrame, key: str = "lodestone", inverse: bool = False) -> DataFrame:
-    """docs with pseudonyms in the column text; lengths stay as they are."""
-    return docs.withColumn("text", mask(F.col("text"), key, inverse)[0])
+def key_of(spark: SparkSession) -> str:
+    """The key of the session, or of the environment; else TEST_KEY, with a warning."""
+    found = spark.conf.get(SETTING, None) or os.environ.get(VARIABLE)
+    if not found:
+        warnings.warn(f"neither {SETTING} nor {VARIABLE} is set: pseudonyms are made with the open test key", stacklevel=3)
+    return found or TEST_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, inverse: bool = False) -> DataFrame:
+    """docs with pseudonyms in the column text; lengths stay as they are. The key is key_of() the session if not given."""
+    return docs.withColumn("text", mask(F.col("text"), key or key_of(docs.sparkSession), inverse)[0])
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, the text with pseudonyms, and the number of values found."""
-    text, n = mask(F.col("text"), "lodestone")
+    text, n = mask(F.col("text"), key_of(spark))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"), n.alias("n_found"))
