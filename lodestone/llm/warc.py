@@ -1,20 +1,28 @@
 """WARC records in ZIP packages, written and read back without extraction.
 
 A package holds stored (uncompressed) members: archive/data.warc.gz, in which each record is a gzip member of its
-own, and indexes/index.cdx with a line "offset length" for each record. The reader finds the end-of-central-directory
+own, after a warcinfo record; and indexes/index.cdx with a CDXJ line (sort-friendly address, time, and as JSON address, type,
+status, digest, length, offset, file name) for each page, in the order of these lines. A response holds an HTTP head
+and the payload, a revisit the head alone. WARC-Date is the time of writing, given once for all tasks. The reader finds the end-of-central-directory
 record, follows the ZIP64 locator where there is one, parses the central directory, locates the members' data by
 their local headers and range-reads records by the index; neighbouring ranges are joined up to a bounded size.
 
 Cases: null html is an empty payload; a null url is written as "urn:page"; pages with a null id are all responses, and
-their records have no page id; rows that repeat the largest id of a payload are all responses; an empty table makes
+their records have no WARC-Page-ID; record ids follow from page id and payload, so rows that repeat both share one; rows
+that repeat the largest id of a payload are all responses; an empty table makes
 no packages; other columns are ignored; a payload of any size is one record.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import json
+import re
 import struct
+import time
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame
@@ -97,20 +105,53 @@ class Package:
         return place + 30 + sum(struct.unpack_from("<26xHH", head)), length
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response (resource) record, or without its payload a revisit."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Target-URI: {(url or 'urn:page').translate({10: '%0A', 13: '%0D'})}"]
+def record_id(page_id: int | None, digest: str) -> str:
+    """Of a page's record; a page without id has one of its own."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def _record(kind: str, id_: str, date: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", id_), ("WARC-Date", date), *fields, ("Content-Length", str(len(block)))]
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def info(date: str) -> bytes:
+    return _record("warcinfo", f"<urn:uuid:{uuid.uuid4()}>", date, [("Content-Type", "application/warc-fields")], b"software: lodestone\r\nformat: WARC File Format 1.1\r\n")
+
+
+def address(url: str | None) -> str:
+    return (url or "urn:page").translate({10: "%0A", 13: "%0D"})
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A response record, or without its payload a revisit. digest: hexadecimal SHA-1 of the payload."""
+    fields = [("WARC-Target-URI", address(url))]
     if page_id is not None:
-        head += [f"WARC-Record-ID: <urn:page:{page_id}>"]
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+        fields += [("WARC-Page-ID", str(page_id))]
+    fields += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("WARC-Payload-Length", str(len(payload)))]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-        payload = b""
-    head += [f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Date", date), ("WARC-Refers-To-Page-ID", str(refers_to))]
+    fields += [("Content-Type", "application/http; msgtype=response")]
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _record("response" if refers_to is None else "revisit", record_id(page_id, digest), date, fields, head + (payload if refers_to is None else b""))
+
+
+def surt(url: str) -> str:
+    """The address with its host turned round, for sorting: http://www.a.org/x is org,a,www)/x."""
+    m = re.match(r"(?i)https?://([^/?#]*)([^#]*)", url)
+    if not m:
+        return url.lower()
+    host, _, port = m[1].rpartition("@")[2].lower().partition(":")
+    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (m[2].lower() or "/")
+
+
+def cdx_line(url: str | None, date: str, digest: str, revisit: bool, offset: int, length: int) -> str:
+    says = {"url": address(url), "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(), "length": str(length), "offset": str(offset), "filename": DATA.rpartition("/")[2]}
+    return f"{surt(says['url']).replace(' ', '%20')} {re.sub('[^0-9]', '', date)} {json.dumps(says)}\n"
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields in lower case, and the block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
@@ -133,9 +174,9 @@ def judged(pages: DataFrame, least: int = 1000) -> DataFrame:
 def write_packages(records: DataFrame, folder: str, limit: int = 32 << 20, zip64: bool = False) -> DataFrame:
     """Writes packages of about `limit` bytes; returns a row for each. Each attempt of a task writes under names of its own."""
 
-    def write(batches):
-        import uuid
+    date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
+    def write(batches):
         import pyarrow as pa
 
         fs, base = open_fs(folder)
@@ -144,18 +185,19 @@ def write_packages(records: DataFrame, folder: str, limit: int = 32 << 20, zip64
         def close():
             name = f"{uuid.uuid4().hex}.wacz"
             with fs.open_output_stream(f"{base}/{name}") as out:
-                out.write(zip_package([(DATA, bytes(data)), (INDEX, "".join(lines).encode())], zip64))
+                out.write(zip_package([(DATA, bytes(data)), (INDEX, "".join(sorted(lines)).encode())], zip64))
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n": pa.array([len(lines)], pa.int64())})
 
-        data, lines = bytearray(), []
+        begun = gzip.compress(info(date), 3, mtime=0)
+        data, lines = bytearray(begun), []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
-                packed = gzip.compress(record(*row), 3, mtime=0)
-                lines.append(f"{len(data)} {len(packed)}\n")
+                packed = gzip.compress(record(*row, date), 3, mtime=0)
+                lines.append(cdx_line(row[1], date, row[3], row[4] is not None, len(data), len(packed)))
                 data += packed
                 if len(data) >= limit:
                     yield close()
-                    data, lines = bytearray(), []
+                    data, lines = bytearray(begun), []
         if lines:
             yield close()
 
@@ -172,7 +214,7 @@ def read_packages(packages: DataFrame, together: int = 4 << 20) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
         def number(said: str | None) -> int | None:
-            return int(said.rpartition(":")[2].rstrip(">")) if said else None
+            return int(said) if said else None
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -180,7 +222,8 @@ def read_packages(packages: DataFrame, together: int = 4 << 20) -> DataFrame:
                 with fs.open_input_file(at) as source:
                     package = Package(source)
                     begin, length = package.locate(INDEX)
-                    spots = [tuple(map(int, x.split())) for x in source.read_at(length, begin).splitlines()]
+                    said = (json.loads(x.split(b" ", 2)[2]) for x in source.read_at(length, begin).split(b"\n") if x)
+                    spots = sorted((int(x["offset"]), int(x["length"])) for x in said)
                     begin, _ = package.locate(DATA)
                     i = 0
                     while i < len(spots):
@@ -192,13 +235,14 @@ def read_packages(packages: DataFrame, together: int = 4 << 20) -> DataFrame:
                         for o, n in spots[i:j]:
                             o -= spots[i][0]
                             says, payload = parse_record(gzip.decompress(data[o : o + n]))
-                            digest, size = says["warc-payload-digest"].removeprefix("sha1:"), int(says["warc-payload-length"])
+                            digest, size = base64.b32decode(says["warc-payload-digest"].removeprefix("sha1:")).hex(), int(says["warc-payload-length"])
                             if says["warc-type"] == "response":
+                                payload = payload.partition(b"\r\n\r\n")[2]
                                 if hashlib.sha1(payload).hexdigest() != digest or len(payload) != size:
                                     raise ValueError(f"{path}: a payload differs from its digest")
                             else:
                                 payload = None
-                            rows.append((number(says.get("warc-record-id")), size, digest, says["warc-type"], number(says.get("warc-refers-to")), payload))
+                            rows.append((number(says.get("warc-page-id")), size, digest, says["warc-type"], number(says.get("warc-refers-to-page-id")), payload))
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                         i = j
 
