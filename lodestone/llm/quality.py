@@ -120,9 +120,15 @@ def quality_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *FEATURES, "base_failed", "kept", "posterior")
 
 
-def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return judged(features(docs)).where("kept AND _n >= 0").select("_row.*")
+def quality_filter(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents that are kept, with their own columns.
+
+    Texts are read once: rows that pass the base rule are written with their pattern of votes, which is counted and filtered there."""
+    verdict = F.when(base_failed(), F.lit(-1)).otherwise(pattern())
+    rows = stored(features(docs).select("_row", verdict.alias("_p")).select("_p", F.when(F.col("_p") >= 0, F.col("_row")).alias("_row")), "judged")
+    rows = rows.where("_p >= 0")
+    post = fit({r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect()})  # at most 3**6 patterns
+    return rows.where(F.col("_p").isin(*[p for p, v in post.items() if v >= least])).select("_row.*") if post else rows.select("_row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
