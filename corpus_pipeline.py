@@ -5,40 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, pii, quality
 from lodestone.llm.common import stored
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or the posterior rejects go."""
+    """Documents that the base rule or the posterior rejects go; null and empty texts among them. Repeated rows fare alike."""
     return quality.quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays; repeated rows of it become one."""
-    found = jaccard.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    first = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    if first.isEmpty():
-        return left.select(*docs.columns)
-    return left.join(first, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Of each group of similar documents the one with the smallest id stays. Null and empty texts are in no group; rows
+    that share an id or have none are told apart, so texts that differ stay."""
+    return jaccard.one_of_each(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and addresses are replaced within their formats."""
+    """Personal numbers, dates and addresses are replaced within their formats; null stays null, equal values come out alike."""
     return pii.pseudonymise(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks."""
+    """Each document as often as its source's target asks; a null source is a source, null texts have size 0."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its place in a sequence."""
+    """A row per piece of a document with its place in a sequence; a null text is its end id alone, a repeated row is packed again."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
