@@ -1,7 +1,9 @@
-"""Okapi BM25 over index tables: postings(term, doc_id, tf, doc_len) and doc_stats(doc_id, doc_len).
+"""Okapi BM25 over a forward index: docs(doc_id, doc_len, terms), with terms an array of (term, tf).
 
-Term statistics are taken from all documents when a query runs, so appended documents and filters change nothing
-about them but what they should."""
+A document is one row, so its terms are counted within the row, without a shuffle; the table is written once and searches
+read it column by column: lengths for the collection, terms for the frequencies. postings(term, doc_id, tf, doc_len),
+vocab and doc_stats are views of it. Term statistics are taken from all documents when a query runs, so appended
+documents and filters change nothing about them but what they should."""
 
 from __future__ import annotations
 
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .exact import top_k
+from ..storage import stored
+from .exact import BROADCAST_BYTES, top_k
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -20,8 +23,7 @@ def idf(n: Column, df: Column) -> Column:
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame
-    doc_stats: DataFrame
+    docs: DataFrame
     k1: float = 1.2
     b: float = 0.75
     remove_stopwords: bool = True
@@ -30,54 +32,75 @@ class Bm25Index:
         if self.k1 < 0 or not 0 <= self.b <= 1:
             raise ValueError("k1 must not be negative, b must lie between 0 and 1")
 
+    @staticmethod
+    def forward(docs: DataFrame, remove_stopwords: bool = True) -> DataFrame:
+        """The forward index of docs(doc_id, text). Empty documents count."""
+        t = docs.select("doc_id", F.array_sort(tokenize(F.coalesce("text", F.lit("")), remove_stopwords)).alias("_t"))
+        starts = "filter(transform(_t, (x, i) -> IF(i > 0 AND x = get(_t, i - 1), -1, i)), i -> i >= 0)"
+        t = t.selectExpr("doc_id", "_t", f"{starts} AS _s")
+        return t.selectExpr("doc_id", "cast(size(_t) AS bigint) AS doc_len", "transform(_s, (i, j) -> struct(get(_t, i) AS term, cast(coalesce(get(_s, j + 1), size(_t)) - i AS bigint) AS tf)) AS terms")
+
     @classmethod
     def build(cls, docs: DataFrame, k1: float = 1.2, b: float = 0.75, remove_stopwords: bool = True) -> Bm25Index:
-        """docs(doc_id, text). Empty documents count."""
-        t = docs.select("doc_id", tokenize(F.coalesce("text", F.lit("")), remove_stopwords).alias("_t"))
-        words = t.select("doc_id", F.size("_t").cast("long").alias("doc_len"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL")  # an inner explode would test the tokens first, taking them twice
-        postings = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")).select("term", "doc_id", "tf", "doc_len")
-        return cls(postings, t.select("doc_id", F.size("_t").cast("long").alias("doc_len")), k1, b, remove_stopwords)
+        cls(docs, k1, b)  # parameters are checked before anything is written
+        return cls(stored(cls.forward(docs, remove_stopwords), "bm25"), k1, b, remove_stopwords)
 
     def append(self, docs: DataFrame) -> Bm25Index:
         more = Bm25Index.build(docs, self.k1, self.b, self.remove_stopwords)
-        return Bm25Index(self.postings.unionByName(more.postings), self.doc_stats.unionByName(more.doc_stats), self.k1, self.b, self.remove_stopwords)
+        return Bm25Index(self.docs.unionByName(more.docs), self.k1, self.b, self.remove_stopwords)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.docs.select("doc_id", "doc_len", F.inline("terms")).select("term", "doc_id", "tf", "doc_len")
+
+    @property
+    def doc_stats(self) -> DataFrame:
+        return self.docs.select("doc_id", "doc_len")
 
     def vocab(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.docs.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
     def collection(self) -> DataFrame:
-        return self.doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"))
+        return self.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"))
+
+    def __len__(self) -> int:
+        return self.docs.count()
+
+    def vocab_size(self) -> int:
+        return self.vocab().count()
+
+    def _weighted(self, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+        """(term, doc_id, w): the contribution of each of terms(term, ...) to each allowed document that has it, with terms' other columns.
 
-    def _weighted(self, found: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-        """Postings found, all of their terms, with the contribution w of each allowed one; the collection is one row."""
-        # All columns are named, so that both uses of found are one exchange.
-        df = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("doc_len") > 0)).alias("df"))
+        The frequencies of the terms come from the terms' column alone; terms are sent to the tasks by hint where they are measured as few."""
+        n, size = terms.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
+        send = F.broadcast if n * 64 + (size or 0) <= BROADCAST_BYTES else (lambda df: df)
+        every = self.docs.select(F.explode("terms.term").alias("term"))
+        df = every.join(send(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         share = F.when(F.col("avg_len") > 0, F.col("doc_len") / F.col("avg_len")).otherwise(0.0)
         weight = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * share))
-        if allowed is not None:
-            found = found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-        full = found.join(df, "term").crossJoin(F.broadcast(self.collection()))
-        return full.select("term", "doc_id", (idf(F.col("n_docs"), F.col("df")) * weight).alias("w"))
+        docs = self.docs if allowed is None else self.docs.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        found = docs.select("doc_id", "doc_len", F.inline("terms")).join(send(terms.join(df, "term")), "term")
+        full = found.crossJoin(F.broadcast(self.collection()))  # one row
+        return full.select(*terms.columns, "doc_id", (idf(F.col("n_docs"), F.col("df")) * weight).alias("w"))
 
     def search(self, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, rank, doc_id, score) for queries(query_id, text); allowed restricts documents, not statistics."""
         terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit("")), self.remove_stopwords))).alias("term"))
-        found = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        scores = self._weighted(found, allowed).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+        scores = self._weighted(terms, allowed).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
         return top_k(scores, ["query_id"], [F.round("score", 9).desc(), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
 
     def score(self, term: str) -> DataFrame:
         """(doc_id, score) of one raw term for every document."""
-        w = self._weighted(self.postings.where(F.col("term") == term)).select("doc_id", "w")
+        w = self._weighted(self.docs.sparkSession.createDataFrame([(term,)], "term string")).select("doc_id", "w")
         return self.doc_stats.select("doc_id").join(w, "doc_id", "left").select("doc_id", F.coalesce("w", F.lit(0.0)).alias("score"))
 
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        meta = self.doc_stats.sparkSession.createDataFrame([(1, self.k1, self.b, self.remove_stopwords)], "version int, k1 double, b double, remove_stopwords boolean")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        meta = self.docs.sparkSession.createDataFrame([(2, self.k1, self.b, self.remove_stopwords)], "version int, k1 double, b double, remove_stopwords boolean")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark, path: str) -> Bm25Index:
         m = spark.read.parquet(f"{path}/meta").first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), m["k1"], m["b"], m["remove_stopwords"])
+        return cls(spark.read.parquet(f"{path}/docs"), m["k1"], m["b"], m["remove_stopwords"])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .exact import top_k
 
 
 def rrf(rankings: list[DataFrame], k: int = 10, c: float = 60) -> DataFrame:
-    """Reciprocal rank fusion of rankings(query_id, rank, id): negative ids keep their rank and are dropped; ties by id."""
+    """Reciprocal rank fusion of rankings(query_id, rank, id): negative ids keep their rank and are dropped; ties by id. No rankings give no rows."""
+    if not rankings:
+        return SparkSession.active().createDataFrame([], "query_id long, rank int, id long, score double")
     every = rankings[0].select("query_id", "rank", "id")
     for r in rankings[1:]:
         every = every.unionByName(r.select("query_id", "rank", "id"))
@@ -22,13 +24,28 @@ def merge_shards(found: DataFrame, k: int) -> DataFrame:
     return top_k(found, ["query_id"], ["dist", "neighbor_id"], k).select("query_id", "rank", "neighbor_id", "dist")
 
 
-def recall_at_k(found: DataFrame, truth: DataFrame, k: int = 10, filtered: bool = False) -> DataFrame:
-    """One row: hits, possible, recall. Possible is k a query, or with filtered the number of true neighbours."""
+def recall_at_k(found: DataFrame, truth: DataFrame, queries: DataFrame, k: int = 10, filtered: bool = False) -> DataFrame:
+    """One row: hits, possible, recall. Possible is k for each of queries(id), also where nothing was found; or with
+    filtered the number of true neighbours. Without any the recall is null."""
     f = found.where(F.col("rank") <= k).select("query_id", "neighbor_id").distinct()
     t = truth.where(F.col("rank") <= k).select("query_id", "neighbor_id").distinct()
     hits = f.join(t, ["query_id", "neighbor_id"]).agg(F.count("*").alias("hits"))
-    possible = t.agg(F.count("*").alias("possible")) if filtered else found.agg((F.countDistinct("query_id") * k).alias("possible"))
-    return hits.crossJoin(F.broadcast(possible)).withColumn("recall", F.col("hits") / F.col("possible"))
+    possible = t.agg(F.count("*").alias("possible")) if filtered else queries.agg((F.countDistinct("id") * k).alias("possible"))
+    return hits.crossJoin(F.broadcast(possible)).withColumn("recall", F.try_divide("hits", "possible"))
+
+
+def with_recall(found: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
+    """found with each query's own recall: its share of the query's true neighbours."""
+    t = truth.where(F.col("rank") <= k).select("query_id", "neighbor_id").withColumn("_t", F.lit(1))
+    per = t.groupBy("query_id").agg(F.count("*").alias("_n"))
+    hits = found.join(t, ["query_id", "neighbor_id"]).groupBy("query_id").agg(F.count("*").alias("_h"))
+    per = per.join(hits, "query_id", "left").select("query_id", (F.coalesce("_h", F.lit(0)) / F.col("_n")).alias("recall"))
+    return found.join(per, "query_id", "left")
+
+
+def qps(runs: DataFrame, by: list[str], n_queries: str, seconds: str) -> DataFrame:
+    """Throughput of the best run: queries by the least time."""
+    return runs.groupBy(*by).agg((F.max(n_queries) / F.min(seconds)).alias("qps"))
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, points=(0.5, 0.95, 0.99)) -> DataFrame:

@@ -1,7 +1,8 @@
 """Hierarchical navigable small worlds (Malkov and Yashunin), a graph for each shard, kept as tables.
 
-nodes(shard, id, level, vector) and links(shard, id, level, neighbors). A shard is built in ascending order of ids by
-one task, so builds repeat; levels come from a hash of the id. Shards bound a task's memory."""
+nodes(shard, id, level, vector, near), with near an array of neighbours for each of its levels, is written once when an
+index is built or added to, and read by every search; links(shard, id, level, neighbors) is a view of it. A shard is
+built in ascending order of ids by one task, so builds repeat; levels come from a hash of the id. Shards bound a task's memory."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
+from ..storage import stored
+from .exact import nearest_rows, rows_of, whole
 from .fusion import merge_shards
 
 
@@ -44,6 +47,13 @@ class Graph:
         self.links: list[list[list[int]]] = []
         self.top, self.entry = -1, -1
 
+    def load(self, near: list[list[list[int]]]) -> None:
+        """The links of the first rows, by their numbers. The first row of the highest level is the entry point."""
+        self.links = near
+        tops = [len(x) - 1 for x in near]
+        self.top = max(tops, default=-1)
+        self.entry = tops.index(self.top) if tops else -1
+
     def near(self, q: np.ndarray, rows) -> np.ndarray:
         x = self.v[rows]
         return ((x - q) ** 2).sum(-1) if self.l2 else 1 - x @ q
@@ -123,82 +133,160 @@ class Graph:
 
 QUERIES_A_GROUP = 1 << 16
 
-NODES, LINKS = "shard int, id long, level int, vector array<float>", "shard int, id long, level int, neighbors array<long>"
+NODES = "shard int, id long, level int, vector array<float>, near array<array<long>>"
+
+
+def _loaded(own, vectors: np.ndarray, params: HnswParams) -> Graph:
+    """The graph of the rows that have links, which come first in vectors."""
+    ids = own["id"].to_numpy()
+    g = Graph(vectors, params)
+    flat = own["near"].combine_chunks()
+    levels = flat.flatten()
+    order = np.argsort(ids, kind="stable")
+    place = order[np.searchsorted(ids[order], levels.flatten().to_numpy())].tolist() if len(ids) else []
+    inner = np.append(0, np.cumsum(levels.value_lengths().to_numpy()))
+    outer = np.append(0, np.cumsum(flat.value_lengths().to_numpy()))
+    g.load([[place[inner[j] : inner[j + 1]] for j in range(outer[i], outer[i + 1])] for i in range(len(ids))])
+    return g
+
+
+def _vectors(table) -> np.ndarray:
+    column = table["vector"].combine_chunks()
+    dim = len(column[0]) if len(column) else 0
+    return rows_of(column, dim) if len(column) else np.zeros((0, 0))
 
 
 @dataclass
 class HnswIndex:
     nodes: DataFrame
-    links: DataFrame
     params: HnswParams
+    n_shards: int
 
-    @classmethod
-    def build(cls, rows: DataFrame, n_shards: int = 1, params: HnswParams = HnswParams()) -> HnswIndex:
-        """rows(id, vector); a shard holds the ids that hash to it."""
-        nodes = rows.select(F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"), level_of(F.col("id"), params.m, params.seed).alias("level"), F.col("vector").cast("array<float>").alias("vector"))
+    @property
+    def links(self) -> DataFrame:
+        return self.nodes.select("shard", "id", F.posexplode("near").alias("level", "neighbors"))
 
-        def run(group):
+    @staticmethod
+    def _placed(rows: DataFrame, n_shards: int, params: HnswParams) -> DataFrame:
+        """A shard holds the ids that hash to it."""
+        return rows.select(F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"), level_of(F.col("id"), params.m, params.seed).alias("level"), F.col("vector").cast("array<float>").alias("vector"))
+
+    @staticmethod
+    def _grown(params: HnswParams):
+        def run(old, new):
+            """The old shard with the new rows inserted into its graph."""
             import pyarrow as pa
 
-            group = group.sort_by("id")
-            ids = group["id"].to_numpy()
-            g = Graph(np.array(group["vector"].to_pylist(), np.float32), params)
-            for level in group["level"].to_pylist():
+            if not new.num_rows:
+                return old
+            new = new.sort_by("id").select(["shard", "id", "level", "vector"])
+            vectors = _vectors(new)
+            if old.num_rows:
+                held = _vectors(old)
+                if held.shape[1] != vectors.shape[1]:
+                    raise ValueError("vectors of another dimension")
+                vectors = np.concatenate([held, vectors])
+            g = _loaded(old, vectors, params)
+            for level in new["level"].to_pylist():
                 g.insert(level)
-            out = [(i, at, [int(ids[x]) for x in near]) for i, levels in zip(ids.tolist(), g.links) for at, near in enumerate(levels)]
-            shard = group["shard"][0].as_py()
-            return pa.table({"shard": pa.array([shard] * len(out), pa.int32()), "id": pa.array([x[0] for x in out], pa.int64()), "level": pa.array([x[1] for x in out], pa.int32()), "neighbors": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
+            every = pa.concat_tables([old.select(new.column_names), new.cast(old.select(new.column_names).schema)])
+            ids = every["id"].to_numpy()
+            near = [[ids[x].tolist() for x in levels] for levels in g.links]
+            return every.append_column("near", pa.array(near, pa.list_(pa.list_(pa.int64()))))
+
+        return run
 
-        return cls(nodes, nodes.groupBy("shard").applyInArrow(run, LINKS), params)
+    @classmethod
+    def build(cls, rows: DataFrame, n_shards: int = 1, params: HnswParams = HnswParams()) -> HnswIndex:
+        """The index of rows(id, vector); ids must differ."""
+        return cls(rows.sparkSession.createDataFrame([], NODES), params, n_shards).add(rows)
 
-    def add(self, rows: DataFrame, n_shards: int) -> HnswIndex:
-        """The index of the old rows and the new ones; shards are built anew."""
-        return HnswIndex.build(self.nodes.select("id", "vector").unionByName(rows.select("id", "vector")), n_shards, self.params)
+    def add(self, rows: DataFrame) -> HnswIndex:
+        """The index with rows(id, vector) inserted into the graphs of their shards; other shards pass as they are."""
+        new = self._placed(rows, self.n_shards, self.params)
+        grown = self.nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(self._grown(self.params), NODES)
+        return HnswIndex(stored(grown, "graph"), self.params, self.n_shards)
 
-    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None, exact_below: int = 0) -> DataFrame:
         """Each shard is searched with the whole k and ef; the results are merged. where is a condition on id, allowed a table of ids.
 
-        Queries are grouped with the shards by a table of shard numbers, so none is broadcast; a group holds one shard
+        A filtered shard with at most exact_below allowed rows is scanned instead of its graph being walked; 0: never. Queries are
+        grouped with the shards by a table of shard numbers, so none is broadcast; a group holds one shard
         and about QUERIES_A_GROUP queries."""
         params, filtered = self.params, where is not None or allowed is not None
+        metric = check_metric(params.metric)
         nodes = self.nodes.withColumn("allowed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
         if allowed is not None:
             nodes = nodes.join(allowed.select("id").distinct().withColumn("_in", F.lit(True)), "id", "left").withColumn("allowed", F.col("allowed") & F.col("_in").isNotNull()).drop("_in")
-        joined = nodes.join(self.links.groupBy("shard", "id").agg(F.sort_array(F.collect_list(F.struct("level", "neighbors"))).alias("near")), ["shard", "id"])
-        asked = self.nodes.select(F.col("shard").alias("at")).distinct().crossJoin(queries.select(F.col("id").alias("query_id"), F.col("vector").cast("array<float>").alias("q")))
+        dim = self.dim
+        if not dim or k <= 0:
+            return merge_shards(queries.sparkSession.createDataFrame([], "query_id long, neighbor_id long, dist double"), max(k, 0))
+        asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(self.n_shards - 1))).alias("at"), F.col("id").alias("query_id"), whole(dim).alias("q"))
 
         groups = max(1, -(-queries.count() // QUERIES_A_GROUP))
-        joined = joined.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        nodes = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
 
         def run(own, queries_):
             import pyarrow as pa
 
+            names = ["query_id", "neighbor_id", "dist"]
+            mask = own["allowed"].to_numpy() if filtered else None
+            if not own.num_rows or not queries_.num_rows or (mask is not None and not mask.any()):
+                return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
             own = own.sort_by("id")
-            ids = own["id"].to_numpy()
-            out: list[tuple] = []
-            if len(ids):
-                g = Graph(np.array(own["vector"].to_pylist(), np.float32), params)
-                place = {int(x): i for i, x in enumerate(ids)}
-                g.links = [[[place[x] for x in level["neighbors"]] for level in near] for near in own["near"].to_pylist()]
-                tops = [len(x) - 1 for x in g.links]
-                g.top = max(tops)
-                g.entry = tops.index(g.top)
-                mask = own["allowed"].to_numpy() if filtered else None
-                if mask is None or mask.any():
-                    for i, q in zip(queries_["query_id"].to_pylist(), queries_["q"].to_pylist()):
-                        out += [(i, int(ids[x]), float(d)) for d, x in g.search(np.array(q, np.float64), k, ef, mask)]
-            return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "neighbor_id": pa.array([x[1] for x in out], pa.int64()), "dist": pa.array([x[2] for x in out], pa.float64())})
-
-        found = joined.groupBy("shard", "part").cogroup(asked.groupBy("at", "part")).applyInArrow(run, "query_id long, neighbor_id long, dist double")
+            ids, asking = own["id"].to_numpy(), queries_["query_id"].to_numpy()
+            q = rows_of(queries_["q"].combine_chunks(), dim)
+            mask = own["allowed"].to_numpy() if filtered else None
+            if mask is not None and mask.sum() <= exact_below:
+                few = own.filter(own["allowed"])
+                near = few["id"].to_numpy()
+                at, which, dist = nearest_rows(q, near, rows_of(few["vector"].combine_chunks(), dim), k, metric)
+                return pa.table([pa.array(asking[at]), pa.array(near[which]), pa.array(dist)], names)
+            g = _loaded(own, rows_of(own["vector"].combine_chunks(), dim), params)
+            found = [g.search(x, k, ef, mask) for x in q]
+            flat = [x for one in found for x in one]
+            return pa.table([pa.array(np.repeat(asking, [len(x) for x in found])), pa.array(ids[[x for _, x in flat]] if flat else ids[:0]), pa.array([d for d, _ in flat], pa.float64())], names)
+
+        found = nodes.select("shard", "part", "id", "vector", "near", "allowed").groupBy("shard", "part").cogroup(asked.groupBy("at", "part")).applyInArrow(run, "query_id long, neighbor_id long, dist double")
         return merge_shards(found, k)
 
     def neighbors(self, id_: int, level: int = 0) -> DataFrame:
+        """No rows where the id or the level is not there."""
         return self.links.where((F.col("id") == id_) & (F.col("level") == level)).select(F.explode("neighbors").alias("neighbor_id"))
 
+    def vector(self, id_: int) -> DataFrame:
+        return self.nodes.where(F.col("id") == id_).select("vector")
+
+    def entry_points(self) -> DataFrame:
+        """(shard, id, level): where the searches of a shard begin."""
+        return self.nodes.groupBy("shard").agg(F.min(F.struct((-F.col("level")).alias("_l"), "id")).alias("_e")).select("shard", F.col("_e.id").alias("id"), (-F.col("_e._l")).cast("int").alias("level"))
+
+    @property
+    def metric(self) -> str:
+        return self.params.metric
+
+    @property
+    def dim(self) -> int:
+        found = self.nodes.select(F.size("vector")).first()
+        return found[0] if found else 0
+
+    @property
+    def max_level(self) -> int:
+        found = self.nodes.agg(F.max("level")).first()[0]
+        return -1 if found is None else found
+
+    def __len__(self) -> int:
+        return self.nodes.count()
+
     def info(self) -> DataFrame:
+        """A row per shard."""
         return self.nodes.groupBy("shard").agg(F.count("*").alias("n"), F.max("level").alias("max_level"), F.max(F.size("vector")).alias("dim"))
 
+    def total_info(self) -> DataFrame:
+        """One row: vectors, dimension and shards of the whole index."""
+        return self.info().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("dim").alias("dim"), F.count("*").alias("n_shards"))
+
     def violations(self) -> DataFrame:
         """One row: links beyond the cap, to the node itself, twice, to a node that lacks the level; and nodes alone on layer 0."""
         m = self.params.m
@@ -215,11 +303,10 @@ class HnswIndex:
 
     def save(self, path: str) -> None:
         self.nodes.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/nodes")
-        self.links.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/links")
         p = self.params
-        self.nodes.sparkSession.createDataFrame([(1, p.metric, p.m, p.ef_construction, p.seed, p.heuristic)], "version int, metric string, m int, ef_construction int, seed int, heuristic boolean").write.mode("overwrite").parquet(f"{path}/meta")
+        self.nodes.sparkSession.createDataFrame([(2, p.metric, p.m, p.ef_construction, p.seed, p.heuristic, self.n_shards)], "version int, metric string, m int, ef_construction int, seed int, heuristic boolean, n_shards int").write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark, path: str) -> HnswIndex:
         r = spark.read.parquet(f"{path}/meta").first()
-        return cls(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(LINKS).parquet(f"{path}/links"), HnswParams(r["metric"], r["m"], r["ef_construction"], r["seed"], r["heuristic"]))
+        return cls(spark.read.schema(NODES).parquet(f"{path}/nodes").select("shard", "id", "level", "vector", "near"), HnswParams(r["metric"], r["m"], r["ef_construction"], r["seed"], r["heuristic"]), r["n_shards"])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance
-from .exact import BROADCAST_BYTES, knn_exact, measured, nearest_rows, rows_of, taken, top_k
+from ..functions.vectors import check_metric
+from ..storage import stored
+from .exact import BLOCK_ROWS, BROADCAST_BYTES, knn_exact, measured, nearest_rows, rows_of, taken, top_k, whole
 
 
 def centroids(rows: DataFrame, cell: str) -> DataFrame:
@@ -27,11 +27,7 @@ def train(rows: DataFrame, nlist: int | None = None, rounds: int = 5, seed: int
     cents = rows.orderBy(order, "id").limit(nlist or max(1, round(4 * n**0.5)))
     cents = cents.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     for _ in range(rounds):
-        cents = centroids(assign(rows, cents), "cell")
-        if spilled := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-            path = f"{spilled.rstrip('/')}/cells-{uuid.uuid4().hex}"  # cuts the lineage of the rounds
-            cents.write.parquet(path)
-            cents = rows.sparkSession.read.parquet(path)
+        cents = stored(centroids(assign(rows, cents), "cell"), "cells")  # cuts the lineage of the rounds
     return cents
 
 
@@ -58,8 +54,64 @@ def assign(rows: DataFrame, cents: DataFrame) -> DataFrame:
 
 
 def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, nprobe: int, metric: str) -> DataFrame:
-    """The k nearest among rows of each query's nprobe nearest cells: an equality join on the cell."""
+    """The k nearest among rows of each query's nprobe nearest cells, by matrix products.
+
+    Queries with their cells are sent to the tasks that scan the rows if they measure small; no row is shuffled then,
+    however many are in one cell. More of them meet the rows in blocks: BLOCK_ROWS rows of a cell and as many of its queries in a group."""
+    metric = check_metric(metric)
+    n, dim = measured(queries)
+    spark = cells.sparkSession
+    schema = "query_id long, neighbor_id long, dist double"
+    if not n or k <= 0:
+        return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, dist double")
     probes = knn_exact(queries, cents, nprobe, "l2").select("query_id", F.col("neighbor_id").alias("cell"))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("_q"))
-    pairs = cells.join(probes.join(q, "query_id"), "cell").select("query_id", F.col("id").alias("neighbor_id"), distance(metric, F.col("_q"), F.col("vector")).alias("dist"))
-    return top_k(pairs, ["query_id"], ["dist", "neighbor_id"], k).select("query_id", "rank", "neighbor_id", "dist")
+    rows = cells.select("id", whole(dim).alias("vector"), F.col("cell").cast("long").alias("cell"))
+
+    def near(ids, q, own, v):
+        at, which, dist = nearest_rows(q, own, v, k, metric)
+        return [ids[at], own[which], dist]
+
+    if n * (dim + nprobe) * 8 <= BROADCAST_BYTES:
+        ids, q = taken(queries)
+        found = probes.collect()  # nprobe a query
+        by: dict[int, list[int]] = {}
+        place = {int(x): i for i, x in enumerate(ids)}
+        for r in found:
+            by.setdefault(r["cell"], []).append(place[r["query_id"]])
+        sent = spark.sparkContext.broadcast((ids, q, by))
+
+        def scan(batches):
+            import pyarrow as pa
+
+            ids, q, by = sent.value
+            for batch in batches:
+                cell = batch.column(2).to_numpy()
+                for c in np.unique(cell):
+                    asking = by.get(int(c))
+                    if asking:
+                        part = batch.filter(pa.array(cell == c))
+                        made = near(ids[asking], q[asking], part.column(0).to_numpy(), rows_of(part.column(1), dim))
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["query_id", "neighbor_id", "dist"])
+
+        out = rows.mapInArrow(scan, schema)
+    else:
+        asked = probes.join(queries.select(F.col("id").alias("query_id"), whole(dim).alias("q")), "query_id")
+        sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("n_i"))
+        asks = probes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("n_j"))
+        both = F.broadcast(sizes.join(asks, "cell"))  # a row per cell, fewer than centroids
+        deal = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = rows.join(both, "cell").select("cell", deal("id", "n_i", 1).alias("i"), every("n_j").alias("j"), "id", "vector")
+        right = asked.join(both, "cell").select("cell", every("n_i").alias("i"), deal("query_id", "n_j", 2).alias("j"), "query_id", "q")
+
+        def meet(a, b):
+            import pyarrow as pa
+
+            if not a.num_rows or not b.num_rows:
+                made = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+            else:
+                made = near(b["query_id"].to_numpy(), rows_of(b["q"].combine_chunks(), dim), a["id"].to_numpy(), rows_of(a["vector"].combine_chunks(), dim))
+            return pa.table([pa.array(x) for x in made], ["query_id", "neighbor_id", "dist"])
+
+        out = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(meet, schema)
+    return top_k(out, ["query_id"], ["dist", "neighbor_id"], k).select("query_id", "rank", "neighbor_id", "dist")

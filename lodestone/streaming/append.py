@@ -9,15 +9,13 @@ from ..operators.bm25 import Bm25Index
 
 
 def append_documents(stream: DataFrame, index_path: str, checkpoint: str, remove_stopwords: bool = True) -> StreamingQuery:
-    """Appends each batch's postings and lengths under index_path; a batch that runs again overwrites its own folder."""
+    """Appends each batch's forward index under index_path; a batch that runs again overwrites its own folder."""
 
     def add(batch: DataFrame, n: int) -> None:
-        made = Bm25Index.build(batch, remove_stopwords=remove_stopwords)
-        made.postings.write.mode("overwrite").parquet(f"{index_path}/postings/batch={n}")
-        made.doc_stats.write.mode("overwrite").parquet(f"{index_path}/doc_stats/batch={n}")
+        Bm25Index.forward(batch, remove_stopwords).write.mode("overwrite").parquet(f"{index_path}/docs/batch={n}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def appended_index(spark, index_path: str) -> Bm25Index:
-    return Bm25Index(spark.read.parquet(f"{index_path}/postings").drop("batch"), spark.read.parquet(f"{index_path}/doc_stats").drop("batch"))
+    return Bm25Index(spark.read.parquet(f"{index_path}/docs").drop("batch"))

@@ -20,15 +20,67 @@ def vecs(spark, rows):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "id long, vector array<float>")
 
 
-def test_line_of_points(spark):
-    base = vecs(spark, [(i, (i, 0)) for i in range(10)])
-    q = vecs(spark, [(100, (3.2, 0))])
-    for found in (exact.knn_exact(q, base, 3, "l2"), exact.knn_expr(q, base, 3, "l2")):
-        assert [r["neighbor_id"] for r in found.orderBy("rank").collect()] == [3, 4, 2]
-    assert exact.knn_exact(q, base, 50, "l2").count() == 10
+def test_corners_of_a_square_and_its_centre(spark):
+    base = vecs(spark, [(11, (0, 0)), (12, (0, 8)), (13, (8, 0)), (14, (8, 8)), (15, (4, 4))])
+    q = vecs(spark, [(100, (7, 5.5))])
+    for found in (exact.knn_exact(q, base, 4, "l2"), exact.knn_expr(q, base, 4, "l2")):
+        assert [(r["neighbor_id"], r["dist"]) for r in found.orderBy("rank").collect()] == [(14, 7.25), (15, 11.25), (13, 31.25), (12, 55.25)]
+    assert exact.knn_exact(q, base, 50, "l2").count() == 5
     assert exact.knn_exact(q, base, 0, "l2").count() == 0
 
 
+@pytest.mark.parametrize("centre,spread", [(0, 1), (1e4, 0.01), (1e5, 0.01), (1e6, 0.1), (-3e7, 4)])
+def test_exact_far_from_the_origin(centre, spread):
+    """The nearest are the true ones wherever the vectors lie, and equal distances go by id."""
+    rng = np.random.default_rng(6)
+    v = np.float64(np.float32(centre + spread * rng.normal(size=(1500, 48))))
+    q, own = v[:9] + 0, rng.permutation(1500)
+    at, which, dist = exact.nearest_rows(q, own, v, 10, "l2", step=4)
+    d = ((q[:, None] - v[None]) ** 2).sum(2)
+    for i in range(9):
+        order = np.lexsort((own, d[i]))[:10]
+        assert which[at == i].tolist() == order.tolist() and (dist[at == i] == d[i][order]).all()
+
+
+def test_one_precision_on_all_paths(spark, monkeypatch):
+    """Doubles are taken as 32-bit floats, sent, in blocks or by columns; bad vectors are errors on each path."""
+    rows = spark.createDataFrame([(i, [0.1 * i, 0.2]) for i in range(6)], "id long, vector array<double>")
+    paths = [lambda q, b: exact.knn_exact(q, b, 3, "l2"), lambda q, b: exact.knn_expr(q, b, 3, "l2")]
+    want = [sorted(map(tuple, f(rows, rows).collect())) for f in paths]
+    wrong = [spark.createDataFrame([(1, x)], "id long, vector array<double>") for x in (None, [1.0], [1.0, None])]
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(exact, "BROADCAST_BYTES", 0)
+        for f, w in zip(paths, want):
+            assert sorted(map(tuple, f(rows, rows).collect())) == w == want[0]
+            for bad in wrong:
+                with pytest.raises(Exception, match="vectors must not be null"):
+                    f(rows, bad).collect()
+
+
+def test_empty_index(spark):
+    q = vecs(spark, [(0, (0, 0))])
+    index = exact.BruteForceIndex(2)
+    assert len(index) == 0 and index.search(q, 3).count() == 0
+    pad = exact.padded(index.search(q, 3), q, 3).collect()
+    assert [(r["neighbor_id"], r["is_missing"]) for r in pad] == [(-1, True)] * 3
+    index.add(vecs(spark, [(5, (1, 1))]))
+    assert len(index) == 1 and index.dim == 2 and [r["neighbor_id"] for r in index.search(q, 3).collect()] == [5]
+    graph = hnsw.HnswIndex.build(vecs(spark, []), 2)
+    assert len(graph) == 0 and graph.dim == 0 and graph.max_level == -1 and graph.search(q, 3).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 25])
+def test_shards_in_one_pass(spark, monkeypatch, limit):
+    rng = np.random.default_rng(8)
+    b = vecs(spark, list(enumerate(rng.normal(size=(60, 4)))))
+    parts = shards.with_shard(b, 60, 4)
+    q = b.where("id < 5")
+    want = [(s, *tuple(r)) for s in range(4) for r in exact.knn_exact(q, parts.where(F.col("shard") == s), 3, "ip").collect()]
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", limit)
+    assert sorted(map(tuple, exact.knn_by_shard(q, parts, 3, "ip").collect())) == sorted(want)
+
+
 def test_ties_go_by_id_and_padding(spark):
     base = vecs(spark, [(3, (1, 0)), (1, (1, 0)), (2, (1, 0))])
     q = vecs(spark, [(0, (0, 0))])
@@ -43,7 +95,9 @@ def test_errors(spark):
     with pytest.raises(ValueError):
         exact.BruteForceIndex(0)
     with pytest.raises(ValueError):
-        bm25.Bm25Index(None, None, -1)
+        bm25.Bm25Index(None, -1)
+    with pytest.raises(Exception, match="dense"):
+        shards.with_shard(spark.createDataFrame([(1,), (7,)], "id long"), 2, 2).collect()
     with pytest.raises(Exception):
         exact.knn_exact(vecs(spark, [(0, (0, 0))]), vecs(spark, [(0, (0, 0, 0))]), 1).collect()
 
@@ -88,33 +142,157 @@ def test_bm25_formula(spark, tmp_path):
 
 
 def test_rrf_and_recall(spark):
-    a = spark.createDataFrame([(0, i + 1, x) for i, x in enumerate([1, 2, 3])], "query_id long, rank int, id long")
-    b = spark.createDataFrame([(0, i + 1, x) for i, x in enumerate([3, 1, -1])], "query_id long, rank int, id long")
-    assert [r["id"] for r in fusion.rrf([a, b], 3).orderBy("rank").collect()] == [1, 3, 2]
+    def ranking(*ids):
+        return spark.createDataFrame([(4, i + 1, x) for i, x in enumerate(ids)], "query_id long, rank int, id long")
+
+    a, b, c = ranking(50, 60, 70, 80), ranking(-1, 70, 60), ranking(90)
+    got = {r["id"]: r["score"] for r in fusion.rrf([a, b, c], 10, 9).collect()}
+    want = {50: 1 / 10, 60: 1 / 11 + 1 / 12, 70: 1 / 12 + 1 / 11, 80: 1 / 13, 90: 1 / 10}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert [r["id"] for r in fusion.rrf([a, b, c], 4, 9).orderBy("rank").collect()] == [60, 70, 50, 90]  # ties by id
+    assert fusion.rrf([], 3).count() == 0
     n = [x.withColumnRenamed("id", "neighbor_id") for x in (a, b)]
-    assert fusion.recall_at_k(n[0], n[1], 2).first()["recall"] == 0.5
+    one, two = (spark.createDataFrame([(i,) for i in ids], "id long") for ids in ([4], [4, 5]))
+    assert fusion.recall_at_k(n[0], n[1], one, 2).first()["recall"] == 0  # the first two of either are others
+    assert fusion.recall_at_k(n[0], n[0], one, 4).first()["recall"] == 1
+    assert fusion.recall_at_k(n[0], n[0], two, 4).first()["recall"] == 0.5  # a query that found nothing counts
+    assert fusion.recall_at_k(n[0].limit(0), n[0], two, 4).first()["recall"] == 0
+    assert fusion.recall_at_k(n[0], n[0].limit(0), two, 4, True).first()["recall"] is None
+    runs = spark.createDataFrame([("x", 100, 2.0), ("x", 100, 0.5), ("y", 100, 4.0)], "algo string, n int, s double")
+    assert {r["algo"]: r["qps"] for r in fusion.qps(runs, ["algo"], "n", "s").collect()} == {"x": 200, "y": 25}
 
 
 def test_shard_bounds():
     assert shards.shard_bounds(10, 4) == [(0, 0, 2), (1, 2, 5), (2, 5, 7), (3, 7, 10)]
 
 
-def test_hnsw(spark, tmp_path):
+@pytest.fixture(scope="module", params=["l2", "ip"])
+def graphs(spark, request):
+    """A thousand rows by metric, whole and in two additions; and the queries with their true neighbours."""
     rng = np.random.default_rng(7)
-    base = vecs(spark, list(enumerate(rng.normal(size=(900, 16)))))
+    base = vecs(spark, list(enumerate(rng.normal(size=(1000, 16)))))
     q = vecs(spark, [(10_000 + i, v) for i, v in enumerate(rng.normal(size=(40, 16)))])
-    index = hnsw.HnswIndex.build(base, 2, hnsw.HnswParams("l2", 8, 64))
+    p = hnsw.HnswParams(request.param, 8, 64)
+    whole = hnsw.HnswIndex.build(base, 2, p)
+    grown = hnsw.HnswIndex.build(base.where("id % 3 = 0"), 2, p).add(base.where("id % 3 = 1")).add(base.where("id % 3 = 2"))
+    truth = exact.knn_exact(q, base, 10, request.param).cache()
+    return base, q, whole, grown, truth
+
+
+def test_hnsw(spark, tmp_path, graphs):
+    base, q, index, _, truth = graphs
     assert set(index.violations().first()) == {0}
-    truth = exact.knn_exact(q, base, 10, "l2")
-    assert fusion.recall_at_k(index.search(q, 10, 100), truth).first()["recall"] >= 0.95
+    r = [fusion.recall_at_k(index.search(q, 10, ef), truth, q).first()["recall"] for ef in (10, 30, 100)]
+    assert r[2] >= 0.95 and r[0] <= r[1] + 0.01 and r[1] <= r[2] + 0.01
     found = index.search(q, 10, 64, F.col("id") % 3 == 0)
     assert found.where("neighbor_id % 3 <> 0").count() == 0 and found.count() > 0
-    assert index.search(q, 10, 64, F.lit(False)).count() == 0
+    assert index.search(q, 10, 64, F.lit(False)).count() == 0 and index.search(q, 10, 64, F.lit(False), exact_below=9999).count() == 0
     index.save(str(tmp_path / "h"))
     again = hnsw.HnswIndex.load(spark, str(tmp_path / "h"))
+    assert again.params == index.params
     assert sorted(map(tuple, again.search(q, 5).collect())) == sorted(map(tuple, index.search(q, 5).collect()))
 
 
+def test_hnsw_accessors(graphs):
+    base, _, index, _, _ = graphs
+    assert len(index) == 1000 and index.dim == 16 and index.metric == index.params.metric
+    links = {r["neighbor_id"] for r in index.neighbors(17).collect()}
+    shard = {r["id"]: r["shard"] for r in index.nodes.select("id", "shard").collect()}
+    assert 0 < len(links) <= 16 and {shard[x] for x in links} == {shard[17]}
+    assert index.neighbors(17, 99).count() == 0 and index.neighbors(5000).count() == 0
+    assert index.vector(17).first()["vector"] == base.where("id = 17").first()["vector"]
+    entries = {r["shard"]: r["level"] for r in index.entry_points().collect()}
+    assert {r["shard"]: r["max_level"] for r in index.info().collect()} == entries and max(entries.values()) == index.max_level
+    assert tuple(index.total_info().first()) == (1000, 16, 2)
+
+
+def test_hnsw_grows_by_additions(spark, graphs):
+    """Rows go into the graphs that are there: links of before are kept where nothing new came between."""
+    base, q, _, grown, truth = graphs
+    assert len(grown) == 1000 and set(grown.violations().first()) == {0}
+    assert fusion.recall_at_k(grown.search(q, 10, 100), truth, q).first()["recall"] >= 0.95
+    few = grown.add(vecs(spark, [(5000, [9.0] * 16)]))
+    old, new = ({(r["id"], r["level"]): r["neighbors"] for r in x.links.collect()} for x in (grown, few))
+    changed = [k for k in old if old[k] != new[k]]
+    assert new[5000, 0] and len(changed) <= 2 * len(new[5000, 0]) + 20
+    with pytest.raises(Exception, match="dimension"):
+        grown.add(vecs(spark, [(5001, [1.0]), (5002, [1.0]), (5003, [1.0])]))
+
+
+@pytest.mark.parametrize("share", [2, 3, 10, 100])
+def test_hnsw_filters(graphs, share):
+    base, q, index, _, _ = graphs
+    keep = base.where(F.col("id") % share == 0)
+    truth = exact.knn_exact(q, keep, 10, index.metric)
+    graph = index.search(q, 10, 100, allowed=keep)
+    assert graph.where(F.col("neighbor_id") % share != 0).count() == 0
+    assert fusion.recall_at_k(graph, truth, q, 10, True).first()["recall"] >= 0.95
+    scanned = sorted(map(tuple, index.search(q, 10, 10, allowed=keep, exact_below=1000).collect()))
+    assert scanned == sorted(map(tuple, truth.collect()))
+    if share == 2:
+        assert sorted(map(tuple, index.search(q, 5, 50, allowed=base).collect())) == sorted(map(tuple, index.search(q, 5, 50).collect()))
+
+
+def test_hnsw_heuristic_is_no_worse_and_levels_thin_out(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 12)) * 6
+    base = vecs(spark, [(i, centres[i % 20] + rng.normal(size=12)) for i in range(600)])
+    q = vecs(spark, [(9000 + i, centres[i % 20] + rng.normal(size=12)) for i in range(40)])
+    truth = exact.knn_exact(q, base, 10, "l2").cache()
+    r = [fusion.recall_at_k(hnsw.HnswIndex.build(base, 1, hnsw.HnswParams("l2", 6, 40, 42, h)).search(q, 10, 40), truth, q).first()["recall"] for h in (True, False)]
+    assert r[0] >= r[1] - 0.01 and r[0] >= 0.9
+    up = spark.range(20_000).select(hnsw.level_of(F.col("id"), 16).alias("l")).where("l >= 1").count() / 20_000
+    assert 0.04 < up < 0.09
+
+
+def test_shards_csv_and_arrays(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(25, 3)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(3)
+    at = str(tmp_path / "s")
+    shards.write_shards(rows, at, 4)
+    got, manifest = shards.read_shards(spark, at)
+    assert [tuple(r) for r in manifest.orderBy("shard").collect()] == [(i, a, b, b - a, 3) for i, a, b in shards.shard_bounds(25, 4)]
+    for i, a, b in shards.shard_bounds(25, 4):
+        assert sorted(r["id"] for r in spark.read.parquet(shards.shard_path(at, i)).collect()) == list(range(a, b)) == sorted(r["id"] for r in got.where(F.col("shard") == i).collect())
+    made = shards.write_npy(rows, str(tmp_path / "n")).collect()
+    back = {}
+    for r in made:
+        ids = np.load(tmp_path / "n" / f"{r['name']}-ids.npy")
+        assert len(ids) == r["n"]
+        back |= {int(i): v.tolist() for i, v in zip(ids, np.load(tmp_path / "n" / f"{r['name']}-vectors.npy"))}
+    assert back == {i: v.tolist() for i, v in enumerate(x)}
+    np.save(tmp_path / "one.npy", x)
+    assert {r["id"]: r["vector"] for r in shards.read_npy(spark, str(tmp_path / "one.npy"), 7).collect()} == back
+    np.save(tmp_path / "none.npy", x[:0])
+    assert shards.read_npy(spark, str(tmp_path / "none.npy")).count() == 0
+    t = spark.createDataFrame([(1, 'a, "b"\nc', 0.5), (2, None, None), (3, "é", -1.0)], "id long, text string, v double")
+    shards.write_csv(t, str(tmp_path / "c"))
+    assert sorted(map(tuple, shards.read_csv(spark, str(tmp_path / "c"), "id long, text string, v double", True).collect())) == sorted(map(tuple, t.collect()))
+
+
+def test_ivf_is_the_same_sent_or_in_blocks(spark, monkeypatch):
+    """With a hot cell, by either way, and against brute force over the probed cells."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=(300, 5)) * 0.1, rng.normal(size=(60, 5)) + 5]).astype(np.float32)
+    rows = vecs(spark, list(enumerate(v)))
+    cents = ivf.train(rows, 5, 2)
+    cells = ivf.assign(rows, cents).cache()
+    q = rows.where("id % 20 = 0")
+    sent = sorted(map(tuple, ivf.ivf_search(q, cells, cents, 4, 2, "l2").collect()))
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ivf, "BLOCK_ROWS", 32)
+    assert sorted(map(tuple, ivf.ivf_search(q, cells, cents, 4, 2, "l2").collect())) == sent
+    c = {r["id"]: np.float64(np.float32(r["vector"])) for r in cents.collect()}
+    cell = {r["id"]: r["cell"] for r in cells.collect()}
+    want = []
+    for i in range(0, 360, 20):
+        near = sorted((((np.float64(v[i]) - x) ** 2).sum(), k) for k, x in c.items())[:2]
+        own = sorted((((np.float64(v[i]) - np.float64(v[j])) ** 2).sum(), j) for j in range(360) if cell[j] in {k for _, k in near})[:4]
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(own)]
+    assert [x[:3] for x in sent] == want
+
+
 def test_streamed_documents(spark, tmp_path):
     d = spark.createDataFrame([(0, "red fox"), (1, "red red bear")], "doc_id long, text string")
     d.write.parquet(str(tmp_path / "in"))
@@ -124,7 +302,7 @@ def test_streamed_documents(spark, tmp_path):
     assert sorted(map(tuple, append.appended_index(spark, str(tmp_path / "index")).search(q).collect())) == sorted(map(tuple, bm25.Bm25Index.build(d).search(q).collect()))
 
 
-@pytest.mark.parametrize("name", ["knn_cosine", "knn_filter_label", "bm25_search", "rrf_vectors", "ivf_search", "text_tokenize", "qps_at_recall"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_filter_label", "bm25_search", "rrf_vectors", "ivf_search", "text_tokenize", "qps_at_recall", "knn_l2_offset", "recall_with_empty", "shard_answers"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
@@ -173,7 +351,7 @@ def test_graph_search_in_groups_of_queries_with_an_id_mask(spark, monkeypatch):
     few = rows.where("id % 7 = 0")
     found = index.search(rows, 5, 150, allowed=few)
     assert {r["neighbor_id"] % 7 for r in found.collect()} == {0}
-    assert fusion.recall_at_k(found, exact.knn_exact(rows, rows, 5, "l2", allowed=few), 5, True).first()["recall"] > 0.95
+    assert fusion.recall_at_k(found, exact.knn_exact(rows, rows, 5, "l2", allowed=few), rows, 5, True).first()["recall"] > 0.95
 
 
 def test_split_of_all_rows(spark):
