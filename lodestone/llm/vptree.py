@@ -4,12 +4,17 @@ Vectors are scaled to unit length, where the order by distance is that by cosine
 again by their distance from a vantage point (the row that spreads a few probes most), down to leaves. For a query,
 each node on the way to a leaf bounds from below, by the triangle inequality, how near the leaf's rows can be;
 leaves are visited nearest bound first until factor * bound exceeds the distance of the k-th found. Factor 1 is
-exact; larger factors prune more and may lose neighbours. Shards and blocks of queries are bounded in bytes and each
-block meets each shard in a group of its own, which gives k rows a query; these are merged.
+exact; larger factors prune more and may lose neighbours.
+
+Shards are regions: some rows, chosen by a hash of their ids, are vantage points, and each row goes to the nearest of
+them. A region keeps the least and greatest distance of its rows from its point; large ones are parts of bounded size. A query
+searches the nearest regions that hold enough rows first; the distance of the k-th found there decides, by the same
+inequality and factor, which other regions it is sent to. A part and a block of its queries meet in a group of
+their own, both bounded in bytes, which gives k rows a query; these are merged.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id; rows of
 different dimension are not compared; equal scores tie and go by id: a shard ranks by exact score and id all vectors that rounding
-can't tell from the k-th, of each distinct one the k + 1 smallest ids; rows that repeat an id count once for each distinct vector; an empty table gives no rows; other columns are ignored.
+can't tell from the k-th, of each distinct one the k + 1 smallest ids; rows that repeat an id count once for each distinct vector, as candidates; repeated queries count once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +23,23 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.blocks import met, packed
 from .common import stored
 
 #: So many candidates of a block of queries are held at a time.
 MOST = 1 << 20
+#: So many bytes of vantage points are sent to the tasks at most, and so many points.
+POINT_BYTES, POINTS = 16 << 20, 4096
+
+
+def rounding(dim: int) -> tuple[float, float]:
+    """How far a cosine may be off by rounding, and a bound made of distances."""
+    off = 4 * (dim + 8) * np.finfo(float).eps
+    return off, 5 * np.sqrt(2 * off)
+
+
+def apart(cosines: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum(0, 2 - 2 * cosines))
 
 
 class Tree:
@@ -66,9 +83,7 @@ class Tree:
         n = len(queries)
         best = np.full((n, k), -np.inf)
         kth = best[:, 0].copy()
-        # How far a cosine may be off by rounding, and a bound made of distances.
-        off = 4 * (queries.shape[1] + 8) * np.finfo(float).eps
-        slack = 5 * np.sqrt(2 * off)
+        off, slack = rounding(queries.shape[1])
         low = self.bounds(queries)
         order = np.argsort(low, axis=1, kind="stable")
         active = np.arange(n)
@@ -154,28 +169,147 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return out
 
 
+class Regions:
+    """Vantage points of one dimension, with the number of rows of each one's region and their least and greatest distance from it."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.n, self.lo, self.hi = np.zeros(len(points), np.int64), np.zeros(len(points)), np.zeros(len(points))
+
+    def nearest(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row its region, and how far its point is."""
+        d = apart(units @ self.points.T)
+        at = d.argmin(axis=1)
+        return at, d[np.arange(len(at)), at]
+
+    def bounds(self, units: np.ndarray) -> np.ndarray:
+        """Of each query and region, the least distance that the triangle inequality allows; infinite for empty regions."""
+        d = apart(units @ self.points.T)
+        return np.where(self.n > 0, np.maximum(0, np.maximum(d - self.hi, self.lo - d)), np.inf)
+
+    def first(self, units: np.ndarray, rows: int) -> np.ndarray:
+        """Of each query and region, whether it is among the nearest ones that hold so many rows together."""
+        low = self.bounds(units)
+        order = np.lexsort((apart(units @ self.points.T), low), axis=1)
+        held = np.cumsum(self.n[order], axis=1) - self.n[order]
+        out = np.zeros(low.shape, bool)
+        np.put_along_axis(out, order, held < rows, axis=1)
+        return out & (self.n > 0)
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
 def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = 16384, block: int = 4096, leaf: int = 256, most_bytes: int = 16 << 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of rows(id, vector) for each of queries(id, vector).
 
-    shard_rows and block bound the rows of a shard and of a block of queries, as most_bytes does for either."""
+    shard_rows and block bound the rows of a region's part and of a block of queries, as most_bytes does for either."""
     fit = "id IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vector, x -> x <> 0)"
+    spark = rows.sparkSession
+
+    def fitting(df: DataFrame, name: str) -> DataFrame:
+        df = df.selectExpr("cast(id as bigint) AS id", "cast(vector as array<double>) AS vector").where(fit).dropDuplicates(["id", "vector"])
+        return stored(df.withColumn("dim", F.size("vector")), name)
 
-    def dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        """df in blocks of about so many rows at most; of fewer where tasks would be without work."""
-        df = stored(df.selectExpr("cast(id as bigint) AS id", "cast(vector as array<double>) AS vector").where(fit), name)
-        n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-        size = min(size, max(1, most_bytes // (8 * (dim or 1))), max(16 * leaf, n // df.sparkSession.sparkContext.defaultParallelism))
-        parts = max(1, -(-n // size))
-        return stored(packed(df, parts), f"{name}-blocks"), parts
+    base, asked = fitting(rows, "rows"), fitting(queries, "queries")
+    dims = asked.groupBy("dim").count().select("dim")
+    counts = {r["dim"]: r["count"] for r in base.join(F.broadcast(dims), "dim", "left_semi").groupBy("dim").count().collect()}
+    result = "query_id long, vec_id long, score double"
+    if not counts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    def search(ids, vectors, query_ids, asked):
+    size = {d: max(1, min(shard_rows, most_bytes // (8 * d), max(16 * leaf, n // spark.sparkContext.defaultParallelism))) for d, n in counts.items()}
+    points = {d: max(1, min(-(-n // size[d]), POINTS, POINT_BYTES // (8 * d * len(counts)))) for d, n in counts.items()}
+    order = Window.partitionBy("dim").orderBy(F.xxhash64("id", F.lit(5)), "id", "vector")
+    wanted = spark.createDataFrame(list(points.items()), "dim int, _n int")
+    chosen = base.join(F.broadcast(wanted), "dim").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(points.values())).where(F.col("_r") <= F.col("_n"))
+    by: dict[int, list] = {d: [] for d in points}
+    for r in chosen.select("dim", "vector").collect():  # at most POINT_BYTES
+        by[r["dim"]].append(r["vector"])
+    regions = {d: Regions(_units(np.array(v))) for d, v in by.items()}
+    sent = spark.sparkContext.broadcast(regions)
+
+    def place(batches):
         import pyarrow as pa
 
-        got = nearest(ids, vectors, query_ids, asked, k, factor, leaf)
+        for batch in batches:
+            dim = batch.column(2).to_numpy()
+            for d in np.unique(dim):
+                if int(d) not in sent.value:
+                    continue
+                part = batch.filter(pa.array(dim == d))
+                at, far = sent.value[int(d)].nearest(_units(_matrix(part.column(1), int(d))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at.astype(np.int32)), pa.array(far)], ["id", "vector", "dim", "region", "far"])
+
+    placed = stored(base.mapInArrow(place, "id long, vector array<double>, dim int, region int, far double"), "placed")
+    for r in placed.groupBy("dim", "region").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect():  # a row per point
+        own = regions[r["dim"]]
+        own.n[r["region"]], own.lo[r["region"]], own.hi[r["region"]] = r["n"], r["lo"], r["hi"]
+    known = spark.sparkContext.broadcast(regions)
+    parts = [(d, i, -(-int(n) // size[d])) for d, own in regions.items() for i, n in enumerate(own.n) if n]
+    parts = F.broadcast(spark.createDataFrame(parts, "dim int, region int, parts long"))
+
+    def spread(units: np.ndarray, own: Regions, kth: np.ndarray | None) -> np.ndarray:
+        first = own.first(units, k + 1)
+        if kth is None:
+            return first
+        return ~first & (factor * (own.bounds(units) - rounding(units.shape[1])[1]) <= kth[:, None])
+
+    def sending(second: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            for whole in batches:
+                for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                    dim = batch.column(2).to_numpy()
+                    for d in np.unique(dim):
+                        if int(d) not in known.value:
+                            continue
+                        part = batch.filter(pa.array(dim == d))
+                        kth = apart(part.column(3).to_numpy()) if second else None
+                        q, region = np.nonzero(spread(_units(_matrix(part.column(1), int(d))), known.value[int(d)], kth))
+                        for a in range(0, len(q), 4096):
+                            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(q[a : a + 4096])) for c in part.columns[:3]), pa.array(region[a : a + 4096].astype(np.int32))], ["id", "vector", "dim", "region"])
+
+        return run
+
+    def search(left, right):
+        import pyarrow as pa
+
+        if left.num_rows and right.num_rows:
+            d = len(left["vector"][0])
+            got = nearest(left["id"].to_numpy(), _matrix(left["vector"].combine_chunks(), d), right["id"].to_numpy(), _matrix(right["vector"].combine_chunks(), d), k, factor, leaf)
+        else:
+            got = []
         return pa.table([pa.array(c, t) for c, t in zip(zip(*got) if got else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = met(*dealt(rows, shard_rows, "shards"), *dealt(queries, block, "queries"), search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+
+    def met(asked: DataFrame, name: str) -> DataFrame:
+        """The k best of asked(id, vector, dim, region), by query."""
+        asked = stored(asked, name)
+        blocks = asked.groupBy("dim", "region").agg(F.ceil(F.count("*") / block).alias("blocks"))  # a row per region
+        both = F.broadcast(parts.join(blocks, ["dim", "region"]))
+        deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = placed.join(both, ["dim", "region"]).select("dim", "region", deal("parts", 3).alias("i"), every("blocks").alias("j"), "id", "vector")
+        right = asked.join(both, ["dim", "region"]).select("dim", "region", every("parts").alias("i"), deal("blocks", 4).alias("j"), "id", "vector")
+        keys = ["dim", "region", "i", "j"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, result)
+        return stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"{name}-found")
+
+    kinds = "id long, vector array<double>, dim int, region int"
+    near = met(asked.select("id", "vector", "dim").mapInArrow(sending(False), kinds), "first")
+    # A query that has not found k yet is sent to all regions.
+    kth = near.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("s")).otherwise(-1.0).alias("kth"))
+    again = asked.join(kth, "id", "left").select("id", "vector", "dim", F.coalesce("kth", F.lit(-1.0)).alias("kth"))
+    more = met(again.mapInArrow(sending(True), kinds), "second")
+    found = near.unionByName(more).drop("rank")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
