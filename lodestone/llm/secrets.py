@@ -6,7 +6,7 @@ automata of the rule: backwards for the leftmost start, forwards from there for
 goes on after its match. What the expressions leave open (lengths) is checked on the match, and failing ones are dropped.
 
 Matches are leftmost, longest, and don't overlap within a kind. This holds for rules of which no match can begin
-inside an unfinished match of the same rule and end before it; all rules here are of that sort.
+inside an unfinished match of the same rule and end before it; rules of another sort are refused.
 
 Cases: null and empty texts have no spans; offsets count code points; texts of any length are read whole; rows that
 repeat give their result each; other columns are ignored; an empty table gives no rows.
@@ -43,6 +43,39 @@ RULES = (
 BASE = 3
 
 
+def _shadows(start: list) -> bool:
+    """Whether a match can begin inside an unfinished match of the automaton and end before it."""
+    states, todo = {id(start): start}, [start]
+    while todo:
+        for x in todo.pop()[:256]:
+            if id(x) not in states:
+                states[id(x)] = x
+                todo.append(x)
+    # Bytes that lead alike from every state are one.
+    sample = {tuple(id(s[b]) for s in states.values()): b for b in range(256)}.values()
+    open_ = lambda s: not s[257] and s[256] is None
+    begun, todo = {}, [start]
+    while todo:  # states of unfinished matches
+        now = todo.pop()
+        for x in (now[b] for b in sample):
+            if open_(x) and id(x) not in begun:
+                begun[id(x)] = x
+                todo.append(x)
+    pairs = [(x, start) for x in begun.values()]
+    seen = {(id(x), id(y)) for x, y in pairs}
+    while pairs:
+        x, y = pairs.pop()
+        for b in sample:
+            p, q = x[b], y[b]
+            if open_(p) and not q[257]:
+                if q[256] is not None:
+                    return True
+                if (id(p), id(q)) not in seen:
+                    seen.add((id(p), id(q)))
+                    pairs.append((p, q))
+    return False
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
@@ -50,6 +83,9 @@ class Scanner:
         self.all = Automaton(trees, True)
         self.forward = [Automaton([t], False) for t in trees]
         self.backward = [Automaton([reverse(t)], False) for t in trees]
+        for rule, made in zip(rules, self.forward):
+            if _shadows(made.start):
+                raise ValueError(f"rule {rule.kind}: a match could begin inside an unfinished one and end before it")
         self.checks = [re.compile(r.pattern.encode(), re.I if r.fold else 0) if r.least_value else None for r in rules]
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
