@@ -5,7 +5,7 @@ and share 1.5 times all words by weight; no target exceeds twice its source's si
 again by weight. A source's repetition rate is target / size: each of its documents is taken floor(rate) times,
 and once more if a seeded hash of its id falls below the fraction.
 
-Cases: null text has size 0; sources without words get target 0; a null id hashes as such; repeated rows
+Cases: null text has size 0; sources without words get target 0; documents without id are drawn by their text; repeated rows
 are drawn alike; an empty table gives an empty result; other columns, whatever their names, pass through mix().
 """
 
@@ -47,33 +47,41 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     return per.select("source", "source_size", F.coalesce(F.least("_limit", level * F.col("_w")), "_limit").alias("target"))
 
 
-def copies(doc_id: Column, rate: Column, seed: int = 11) -> Column:
-    draw = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) * F.lit(2.0**-53)
+def draw_of(doc_id: Column, text: Column, seed: int = 11) -> Column:
+    """A number in [0, 1) by the id, or where it is null by the text."""
+    key = F.when(doc_id.isNull(), F.xxhash64(text, F.lit(seed + 1))).otherwise(F.xxhash64(doc_id, F.lit(seed)))
+    return F.shiftrightunsigned(key, 11) * F.lit(2.0**-53)
+
+
+def copies(draw: Column, rate: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def plan(sizes: DataFrame, seed: int = 11) -> DataFrame:
-    """sizes(doc_id, source, size) with source_size, target and n_copies.
+def plan(sizes: DataFrame) -> DataFrame:
+    """sizes(doc_id, source, size, draw) with source_size, target and n_copies.
 
     The sources' table is joined; Spark broadcasts it only if it measures small, else it splits hot sources."""
     per = targets(sizes.select("source", "size")).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sizes.join(per, sizes["source"].eqNullSafe(per["_source"]), "left").drop("_source")
-    return joined.withColumn("n_copies", copies(F.col("doc_id"), rate, seed))
+    return joined.withColumn("n_copies", copies(F.col("draw"), rate))
+
+
+def sizes_of(docs: DataFrame, seed: int = 11) -> DataFrame:
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw_of(F.col("doc_id"), F.col("text"), seed).alias("draw"))
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mix: docs' rows, each as often as it is taken."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", size_of(F.col("text")).alias("size"), draw_of(F.col("doc_id"), F.col("text"), seed).alias("draw"))
     per = targets(packed.select("source", "size")).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = packed.join(per, packed["source"].eqNullSafe(per["_source"]), "left")
-    taken = joined.select("_row", copies(F.col("doc_id"), rate, seed).alias("_n")).where("_n > 0")
+    taken = joined.select("_row", copies(F.col("draw"), rate).alias("_n")).where("_n > 0")
     return taken.select("_row", F.explode(F.expr("sequence(1, _n)"))).select("_row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    out = plan(sizes)
+    out = plan(stored(sizes_of(docs), "sizes"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
