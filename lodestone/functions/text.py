@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The words left out of the index.
+# Fixed values, in alphabetical order: the words left out of the index, usual English ones and the letters that clitics leave behind (i s t d m).
 STOPWORDS = (
     "a an and are as at be but by d for i if in into is it m no not of on or s such t that the their then there these they this to was will with"
 ).split()
