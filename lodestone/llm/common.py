@@ -1,56 +1,18 @@
-"""Shared pieces: the folder all executors share, and word hashing over Arrow buffers."""
+"""Shared pieces: file systems, and word hashing over Arrow buffers. Tables are stored in the folder all executors share."""
 
 from __future__ import annotations
 
-import atexit
-import posixpath
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+
+from ..storage import new_path, release, shared_dir, stored
+
+__all__ = ["new_path", "open_fs", "release", "shared_dir", "stored", "text_buffer", "word_hashes", "mix", "LOWER", "SPACES"]
 
 #: The characters between words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset and Spark runs on this machine alone (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_written: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    _written.append(posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}"))
-    return _written[-1]
-
-
-def release(spark: SparkSession) -> None:
-    """Removes all that this process has stored, once no result that was made of it is read any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage is cut, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str):
     """A pyarrow file system and the path in it, for file:, hdfs:, s3: and gs: addresses."""
     from pyarrow import fs
