@@ -83,7 +83,11 @@ def _pairs(value, name):
 
 
 def _pairs_sql(value, name):
-    return f"WITH a AS (SELECT vec_id AS a_id, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT vec_id AS b_id, embedding::DOUBLE[] AS w FROM embeddings) SELECT a_id, b_id, round({value}, 6) + 0e0 AS {name} FROM a JOIN b ON b_id = a_id + 1"
+    return (
+        "WITH a AS (SELECT vec_id AS a_id, embedding::DOUBLE[] AS v FROM embeddings), "
+        f"b AS (SELECT vec_id AS b_id, embedding::DOUBLE[] AS w FROM embeddings) SELECT a_id, b_id, round({value}, 6) + "
+        f"0e0 AS {name} FROM a JOIN b ON b_id = a_id + 1"
+    )
 
 
 def vec_normalize(spark, d):
@@ -605,9 +609,20 @@ def oracle_sql() -> dict[str, str]:
     ip = _knn_sql("ip")
     l2 = _knn_sql("l2")
     far = _L2_OFFSET + f"{_knn_cte('l2', 10)} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM k"
-    post = f"WITH {_Q}, {_B}, {_knn_cte('ip', 100)}, z AS (SELECT k.*, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS r FROM k JOIN b USING (neighbor_id) WHERE label < 5) SELECT query_id, r::INT AS rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM z WHERE r <= 10"
-    shard = "(SELECT neighbor_id, w, i::INT AS shard FROM b, (SELECT count(*) AS n FROM embeddings), range(0, 4) r(i) WHERE neighbor_id >= i * n // 4 AND neighbor_id < (i + 1) * n // 4)"
-    rrf_tail = "s AS (SELECT query_id, id, sum(1e0 / (60 + rank)) AS score FROM u GROUP BY ALL) SELECT query_id, rank::INT AS rank, id, round(score, 9) + 0e0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 10"
+    post = (
+        f"WITH {_Q}, {_B}, {_knn_cte('ip', 100)}, z AS (SELECT k.*, row_number() OVER (PARTITION BY query_id ORDER BY dist, "
+        "neighbor_id) AS r FROM k JOIN b USING (neighbor_id) WHERE label < 5) SELECT query_id, r::INT AS rank, neighbor_id, "
+        "round(dist, 6) + 0e0 AS dist FROM z WHERE r <= 10"
+    )
+    shard = (
+        "(SELECT neighbor_id, w, i::INT AS shard FROM b, (SELECT count(*) AS n FROM embeddings), "
+        "range(0, 4) r(i) WHERE neighbor_id >= i * n // 4 AND neighbor_id < (i + 1) * n // 4)"
+    )
+    rrf_tail = (
+        "s AS (SELECT query_id, id, sum(1e0 / (60 + rank)) AS score FROM u GROUP BY ALL) SELECT query_id, rank::INT AS "
+        "rank, id, round(score, 9) + 0e0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, "
+        "12) DESC, id) AS rank FROM s) WHERE rank <= 10"
+    )
     kept, whole = _knn_cte("ip", 10, "label < 5", "f"), _knn_cte("ip", 10, "true", "t")
     two = _bm25_cte("0.9e0", "0.4e0")
     for name in ("qt", "bs", "br"):
@@ -625,24 +640,50 @@ def oracle_sql() -> dict[str, str]:
         "knn_filter_label": _knn_sql("ip", 10, "label = 3"),
         "knn_filter_half": _knn_sql("l2", 10, "label < 5"),
         "knn_filter_idset": _knn_sql("ip", 10, "neighbor_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
-        "knn_filter_empty_padded": f"WITH {_Q} SELECT query_id, r::INT AS rank, -1::BIGINT AS neighbor_id, NULL::DOUBLE AS dist, true AS is_missing FROM q, range(1, 6) s(r)",
-        "knn_padded": f"WITH {_Q}, {_B}, {_knn_cte('l2', 100, 'label = 3')} SELECT query_id, r::INT AS rank, coalesce(neighbor_id, -1) AS neighbor_id, round(dist, 6) + 0e0 AS dist, neighbor_id IS NULL AS is_missing FROM (SELECT query_id, r FROM q, range(1, 101) s(r)) LEFT JOIN (SELECT query_id, rank AS r, neighbor_id, dist FROM k) USING (query_id, r)",
+        "knn_filter_empty_padded": (
+            f"WITH {_Q} SELECT query_id, r::INT AS rank, -1::BIGINT AS neighbor_id, NULL::DOUBLE AS dist, true AS is_missing "
+            "FROM q, range(1, 6) s(r)"
+        ),
+        "knn_padded": (
+            f"WITH {_Q}, {_B}, {_knn_cte('l2', 100, 'label = 3')} SELECT query_id, r::INT AS rank, coalesce(neighbor_id, -1) "
+            "AS neighbor_id, round(dist, 6) + 0e0 AS dist, neighbor_id IS NULL AS is_missing FROM (SELECT query_id, r FROM "
+            "q, range(1, 101) s(r)) LEFT JOIN (SELECT query_id, rank AS r, neighbor_id, dist FROM k) USING (query_id, r)"
+        ),
         "knn_adaptive": _knn_sql("l2", 10, "label = 3"),
         "knn_adaptive_postfilter": post,
         "knn_l2_offset": far,
         "knn_l2_offset_expr": far,
         "knn_postfilter": post,
-        "postfilter_recall": f"WITH {_Q}, {_B}, {_knn_cte('ip', 100, 'true', 'w')}, z AS (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS r FROM w JOIN b USING (neighbor_id) WHERE label = 3), {_knn_cte('ip', 10, 'label = 3')} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM z JOIN k USING (query_id, neighbor_id) WHERE r <= 10) AS hits, (SELECT count(*) FROM k) AS possible)",
+        "postfilter_recall": (
+            f"WITH {_Q}, {_B}, {_knn_cte('ip', 100, 'true', 'w')}, z AS (SELECT w.*, row_number() OVER (PARTITION BY query_id "
+            "ORDER BY dist, neighbor_id) AS r FROM w JOIN b USING (neighbor_id) WHERE label = 3), "
+            f"{_knn_cte('ip', 10, 'label = 3')} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT "
+            "count(*) FROM z JOIN k USING (query_id, neighbor_id) WHERE r <= 10) AS hits, (SELECT count(*) FROM k) AS possible)"
+        ),
         "knn_held_out": _knn_sql("ip", 10, f"neighbor_id % {EVERY} <> 0"),
-        "knn_naive_graph": f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings), {_B}, {_knn_cte('l2', 4, 'query_id <> neighbor_id')} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM k",
+        "knn_naive_graph": (
+            "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings), "
+            f"{_B}, {_knn_cte('l2', 4, 'query_id <> neighbor_id')} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 "
+            "AS dist FROM k"
+        ),
         "vec_l2_pairs": _pairs_sql(_L2, "l2"),
         "vec_dot_pairs": _pairs_sql(_DOT, "dot"),
         "vec_ip_pairs": _pairs_sql(f"1e0 - {_DOT}", "ip"),
-        "vec_normalize": "WITH e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings) SELECT id, (i - 1)::INT AS place, round(v[i] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 6) + 0e0 AS x FROM e, range(1, 65) r(i)",
+        "vec_normalize": (
+            "WITH e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings) SELECT "
+            "id, (i - 1)::INT AS place, round(v[i] / greatest(sqrt(list_inner_product(v, v)), "
+            "1e-12), 6) + 0e0 AS x FROM e, range(1, 65) r(i)"
+        ),
         "vec_norms": "SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) + 0e0 AS norm2 FROM embeddings",
-        "text_tokenize": f"SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda t: t NOT IN ({_STOP}))) AS n_kept, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens_sql('text', False)} AS t FROM documents)",
+        "text_tokenize": (
+            f"SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda t: t NOT IN ({_STOP}))) AS n_kept, md5(array_to_string(t, "
+            f"' ')) AS digest FROM (SELECT doc_id, {_tokens_sql('text', False)} AS t FROM documents)"
+        ),
         "text_clean_dedup": r"WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('see https://x.org/a?b=c  @who ' || text, 'https?://\S+', '', 'g'), '@[\p{L}\p{N}\p{M}_]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents) SELECT min(doc_id) AS doc_id, md5(t) AS digest FROM c WHERE length(t) >= 5 GROUP BY t",
-        "query_base_split": "SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id)::INT AS position, position <= 50 AS is_query FROM documents QUALIFY position <= 450",
+        "query_base_split": (
+            "SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), "
+            "doc_id)::INT AS position, position <= 50 AS is_query FROM documents QUALIFY position <= 450"
+        ),
         "query_base_split_all": "SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS position, position <= 50 AS is_query FROM documents",
         "bm25_postings": f"WITH {_index_sql()} SELECT term, doc_id, tf FROM p",
         "bm25_vocab": f"WITH {_index_sql()} SELECT term, df FROM v",
@@ -654,28 +695,63 @@ def oracle_sql() -> dict[str, str]:
         "bm25_search_semi": _bm25_sql(keep="doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
         "bm25_params": _bm25_sql(k1="0.9e0", b="0.4e0"),
         "bm25_no_stopwords": _bm25_sql(stop=False),
-        "bm25_term_score": f"WITH {_index_sql()} SELECT s.doc_id, round(coalesce(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * doc_len / avg_len)), 0), 6) + 0e0 AS score FROM s LEFT JOIN (SELECT * FROM p JOIN v USING (term) WHERE term = 'tion') USING (doc_id), c",
+        "bm25_term_score": (
+            f"WITH {_index_sql()} SELECT s.doc_id, round(coalesce(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf "
+            "+ 1.2e0 * (0.25e0 + 0.75e0 * doc_len / avg_len)), "
+            "0), 6) + 0e0 AS score FROM s LEFT JOIN (SELECT * FROM p JOIN v USING (term) WHERE term = 'tion') USING (doc_id), "
+            "c"
+        ),
         "rrf_hybrid": f"WITH {_bm25_cte()}, {two}, u AS (SELECT query_id, rank, doc_id AS id FROM br WHERE rank <= 30 UNION ALL SELECT query_id, rank, doc_id AS id FROM br2 WHERE rank <= 30), " + rrf_tail.replace("s AS", "fs AS").replace("FROM s)", "FROM fs)"),
         "rrf_vectors": f"WITH {_Q}, {_B}, {_knn_cte('l2', 30, 'true', 'x')}, {_knn_cte('ip', 30, 'label < 5', 'y')}, u AS (SELECT query_id, rank, neighbor_id AS id FROM x UNION ALL SELECT query_id, rank, neighbor_id AS id FROM y), " + rrf_tail,
-        "recall_at_k": f"WITH {_Q}, {_B}, {kept}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM f JOIN t USING (query_id, neighbor_id)) AS hits, (SELECT count(*) * 10 FROM q) AS possible)",
-        "recall_with_empty": f"WITH {_Q}, {_B}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM t WHERE query_id % 200 = 0) AS hits, (SELECT count(*) * 10 FROM q) AS possible)",
-        "recall_filtered": f"WITH {_Q}, {_B}, {kept}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) FROM f JOIN t USING (query_id, neighbor_id)) AS hits, (SELECT count(*) FROM t) AS possible)",
-        "shard_answers": f"WITH {_Q}, {_B}, x AS (SELECT shard, query_id, neighbor_id, 1e0 - {_DOT} AS dist FROM q, {shard}) SELECT shard, query_id, rank::INT AS rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY shard, query_id ORDER BY dist, neighbor_id) AS rank FROM x) WHERE rank <= 5",
+        "recall_at_k": (
+            f"WITH {_Q}, {_B}, {kept}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT "
+            "count(*) FROM f JOIN t USING (query_id, neighbor_id)) AS hits, (SELECT count(*) * 10 FROM q) AS possible)"
+        ),
+        "recall_with_empty": (
+            f"WITH {_Q}, {_B}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT count(*) "
+            "FROM t WHERE query_id % 200 = 0) AS hits, (SELECT count(*) * 10 FROM q) AS possible)"
+        ),
+        "recall_filtered": (
+            f"WITH {_Q}, {_B}, {kept}, {whole} SELECT hits, possible, round(hits / possible, 6) AS recall FROM (SELECT (SELECT "
+            "count(*) FROM f JOIN t USING (query_id, neighbor_id)) AS hits, (SELECT count(*) FROM t) AS possible)"
+        ),
+        "shard_answers": (
+            f"WITH {_Q}, {_B}, x AS (SELECT shard, query_id, neighbor_id, 1e0 - {_DOT} AS dist FROM q, {shard}) SELECT shard, "
+            "query_id, rank::INT AS rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM (SELECT *, row_number() OVER (PARTITION "
+            "BY shard, query_id ORDER BY dist, neighbor_id) AS rank FROM x) WHERE rank <= 5"
+        ),
         "shard_bounds": "SELECT i::INT AS shard, i * n // 4 AS lo, (i + 1) * n // 4 AS hi FROM (SELECT count(*) AS n FROM embeddings), range(0, 4) r(i)",
-        "index_info": "SELECT i::INT AS shard, count(*) AS n, max(len(embedding)) AS dim FROM embeddings, (SELECT count(*) AS n FROM embeddings), range(0, 4) r(i) WHERE vec_id >= i * n // 4 AND vec_id < (i + 1) * n // 4 GROUP BY i",
-        "latency_percentiles": "SELECT event_type, round(quantile_cont(value::DOUBLE, 0.5), 6) + 0e0 AS p50, round(quantile_cont(value::DOUBLE, 0.95), 6) + 0e0 AS p95, round(quantile_cont(value::DOUBLE, 0.99), 6) + 0e0 AS p99 FROM events GROUP BY event_type",
+        "index_info": (
+            "SELECT i::INT AS shard, count(*) AS n, max(len(embedding)) AS dim FROM embeddings, (SELECT count(*) AS n FROM "
+            "embeddings), range(0, 4) r(i) WHERE vec_id >= i * n // 4 AND vec_id < (i + 1) * n // 4 GROUP BY i"
+        ),
+        "latency_percentiles": (
+            "SELECT event_type, round(quantile_cont(value::DOUBLE, 0.5), "
+            "6) + 0e0 AS p50, round(quantile_cont(value::DOUBLE, 0.95), "
+            "6) + 0e0 AS p95, round(quantile_cont(value::DOUBLE, 0.99), "
+            "6) + 0e0 AS p99 FROM events GROUP BY event_type"
+        ),
         "best_of_runs": "SELECT event_type, round(1000e0 / min(value::DOUBLE), 3) + 0e0 AS qps FROM events WHERE value > 0 GROUP BY event_type",
-        "series_median": "SELECT event_type, round(median(value::DOUBLE), 6) + 0e0 AS median, round(max(value::DOUBLE), 6) + 0e0 AS best FROM events GROUP BY event_type",
+        "series_median": (
+            "SELECT event_type, round(median(value::DOUBLE), 6) + 0e0 AS median, round(max(value::DOUBLE), "
+            "6) + 0e0 AS best FROM events GROUP BY event_type"
+        ),
         "series_pivot": "SELECT event_type, " + ", ".join(f"round(max(value::DOUBLE) FILTER (user_id % 4 = {i}), 6) + 0e0 AS b{i}" for i in range(4)) + " FROM events GROUP BY event_type",
         "pareto_frontier": _SWEEP + " SELECT algo, n, round(recall, 6) AS recall, round(qps, 6) AS qps FROM (SELECT *, max(qps) OVER (ORDER BY recall DESC, qps DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p) WHERE m IS NULL OR qps > m",
         "qps_at_recall": _SWEEP + " SELECT algo, " + ", ".join(f"round(max(qps) FILTER (recall >= 0.{i}), 6) AS qps_{i}0" for i in (1, 3, 9)) + " FROM p GROUP BY algo",
-        "hnsw_levels": "SELECT vec_id AS id, floor(-ln((('0x' || substr(md5('42-' || vec_id), 1, 8))::BIGINT + 1) / 4294967296e0) / ln(16e0))::INT AS level FROM embeddings",
+        "hnsw_levels": (
+            "SELECT vec_id AS id, floor(-ln((('0x' || substr(md5('42-' || vec_id), "
+            "1, 8))::BIGINT + 1) / 4294967296e0) / ln(16e0))::INT AS level FROM embeddings"
+        ),
         "hnsw_invariants": "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS self_loops, 0::BIGINT AS repeats, 0::BIGINT AS missing_level, 0::BIGINT AS isolated",
         **{k: "SELECT true AS reached" for k in ("hnsw_recall_gate", "hnsw_search_gate", "hnsw_sharded_gate", "hnsw_filtered_gate", "hnsw_adaptive_graph_gate", "hnsw_incremental_gate")},
         "hnsw_exact_below": _knn_sql("ip", 10, "neighbor_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
         "hnsw_total_info": "SELECT count(*) AS n, max(len(embedding))::INT AS dim, 4::BIGINT AS n_shards FROM embeddings",
         "hnsw_adaptive": _knn_sql("ip", 10, "label = 3"),
-        "hnsw_info": "SELECT count(*) AS n, max(len(embedding))::INT AS dim, max(floor(-ln((('0x' || substr(md5('42-' || vec_id), 1, 8))::BIGINT + 1) / 4294967296e0) / ln(8e0)))::INT AS max_level FROM embeddings",
+        "hnsw_info": (
+            "SELECT count(*) AS n, max(len(embedding))::INT AS dim, max(floor(-ln((('0x' || substr(md5('42-' || vec_id), "
+            "1, 8))::BIGINT + 1) / 4294967296e0) / ln(8e0)))::INT AS max_level FROM embeddings"
+        ),
         "ivf_search": _IVF,
         "ivf_trained_whole": ip,
         "ivf_trained_gate": "SELECT true AS reached",
