@@ -45,9 +45,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_tri)) < size(_tri) THEN sort_array(transform(_tri, (x, i) -> struct(x AS h, i AS i))) END"))
     out = out.withColumn("_at", F.expr("sort_array(transform(filter(_sorted, (x, j) -> x.h <=> get(_sorted, j - 1).h OR x.h <=> get(_sorted, j + 1).h), x -> x.i))"))
     covered = "cast(coalesce(aggregate(transform(_at, (x, j) -> least(3, coalesce(get(_at, j + 1) - x, 3))), 0, (a, x) -> a + x), 0) as bigint) AS n_repeat_words"
-    # _n is there to be read by filters: a condition on it, not being deterministic, isn't pushed below, where it
-    # would have each feature computed again wherever it is named.
-    return out.selectExpr("_row", *FEATURES[:-1], covered, "n_lines", "n_upper", "n_distinct", "monotonically_increasing_id() AS _n")
+    return out.selectExpr("_row", *FEATURES[:-1], covered, "n_lines", "n_upper", "n_distinct")
 
 
 def base_failed() -> Column:
@@ -101,8 +99,8 @@ def fit(counts: dict[int, int], n_rules: int = len(RULES), prior: float = 0.9, r
 
 
 def judged(feats: DataFrame, fitted_on: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """features() with posterior, base_failed and kept; the rates are estimated on all rows of fitted_on, or else of feats."""
-    counts = {r["p"]: r["n"] for r in (fitted_on or feats).where(~base_failed() & (F.col("_n") >= 0)).groupBy(pattern().alias("p")).agg(F.count("*").alias("n")).collect()}
+    """Stored features() with posterior, base_failed and kept; the rates are estimated on all rows of fitted_on, or else of feats."""
+    counts = {r["p"]: r["n"] for r in (fitted_on or feats).where(~base_failed()).groupBy(pattern().alias("p")).agg(F.count("*").alias("n")).collect()}
     post = fit(counts)
     feats = feats.withColumn("_p", pattern())
     if post:
@@ -115,7 +113,7 @@ def judged(feats: DataFrame, fitted_on: DataFrame | None = None, least: float =
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """A row per document: the features, the posterior and the verdict."""
-    slim = features(docs.select("doc_id", "text")).selectExpr("_row.doc_id AS doc_id", *FEATURES, "n_lines", "n_upper", "n_distinct", "_n")
+    slim = features(docs.select("doc_id", "text")).selectExpr("_row.doc_id AS doc_id", *FEATURES, "n_lines", "n_upper", "n_distinct")
     out = judged(stored(slim, "quality"))
     return out.select("doc_id", *FEATURES, "base_failed", "kept", "posterior")
 
