@@ -383,6 +383,42 @@ def test_packing(spark):
         assert end <= 4096
 
 
+def test_packing_repeated_rows(spark, tmp_path):
+    """op3 itself: rows that repeat are packed each, null ids stay null, a very long text is cut; columns of its own names are ignored."""
+    rows = [(1, "a b c", 5, 6)] * 7 + [(None, "x", 5, 6), (None, None, 5, 6), (2, "", 5, 6), (3, "long words " * 9000, 5, 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, piece int, sequence_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op3_packing(spark, str(tmp_path)).collect()
+    lib = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).library
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        n = len(lib.encode(t or "", add_special_tokens=False).ids) + 1
+        want.update((i, p, a, min(4096, n - a)) for p, a in enumerate(range(0, n, 4096)))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in got) == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in by.values():
+        end = 0
+        for off, n in sorted(own):
+            assert off == end
+            end += n
+        assert end <= 4096
+    assert len(by) == -(-sum(r["length"] for r in got) // 4096)
+
+
+def test_op4_edges(spark, tmp_path):
+    """A very long text with a license within, nulls, repeated rows, clashing columns; ties go to the narrower unit."""
+    mit = licenses.TEMPLATES["MIT"]
+    texts = ["plain words of prose " * 150_000 + "\n" + mit + "\n" + "more of them " * 50_000, None, "", "x", mit, mit]
+    rows = [(i, t, "own", 1.0) for i, t in enumerate(texts)] + [(4, mit, "own", 1.0)]
+    spark.createDataFrame(rows, "doc_id long, text string, license string, dice double").write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.defaultdict(list)
+    for r in licenses.op4_licenses(spark, str(tmp_path)).collect():
+        got[r["doc_id"]].append((r["license"], r["dice"], r["scope"]))
+    none = [(None, None, None)]
+    assert got == {0: [("MIT", 1.0, "line")], 1: none, 2: none, 3: none, 4: [("MIT", 1.0, "line")] * 2, 5: [("MIT", 1.0, "line")]}
+
+
 def test_encoder_equals_library():
     rng = random.Random(4)
     pieces = ["a", " ", "  ", "\n", "\x01", "é", "'s", "12", "!", "ab", "的", "́", "<|endoftext|>", "\t", "word"]
