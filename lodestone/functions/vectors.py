@@ -36,6 +36,7 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     return l2_sq(a, b) if check_metric(metric) == "l2" else 1 - dot(a, b)
 
 
-def normalize(v: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
-    return F.transform(_d(v), lambda x: x / F.greatest(F.sqrt(norm2(v)), F.lit(1e-12)))
+def normalize(v: Column, single: bool = False) -> Column:
+    """Unit length; a zero vector stays zero. single: rounded to 32-bit floats at the end."""
+    out = F.transform(_d(v), lambda x: x / F.greatest(F.sqrt(norm2(v)), F.lit(1e-12)))
+    return out.cast("array<float>") if single else out

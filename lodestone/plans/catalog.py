@@ -674,6 +674,11 @@ def oracle_sql() -> dict[str, str]:
             "id, (i - 1)::INT AS place, round(v[i] / greatest(sqrt(list_inner_product(v, v)), "
             "1e-12), 6) + 0e0 AS x FROM e, range(1, 65) r(i)"
         ),
+        "vec_normalize_single": (
+            "WITH e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings) SELECT "
+            "id, (i - 1)::INT AS place, round((v[i] / greatest(sqrt(list_inner_product(v, v)), "
+            "1e-12))::FLOAT::DOUBLE, 5) + 0e0 AS x FROM e, range(1, 65) r(i)"
+        ),
         "vec_norms": "SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) + 0e0 AS norm2 FROM embeddings",
         "text_tokenize": (
             f"SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda t: t NOT IN ({_STOP}))) AS n_kept, md5(array_to_string(t, "
