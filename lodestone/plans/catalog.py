@@ -95,6 +95,11 @@ def vec_normalize(spark, d):
     return _said(e, "x")
 
 
+def vec_normalize_single(spark, d):
+    e = _base(spark, d).select("id", F.posexplode(vx.normalize(F.transform("vector", lambda x: x * 3), True)).alias("place", "x"))
+    return _said(e.withColumn("x", F.col("x").cast("double")), "x", n=5)
+
+
 def vec_norms(spark, d):
     return _said(_base(spark, d).select("id", vx.norm2(F.col("vector")).alias("norm2")), "norm2")
 
@@ -550,6 +555,7 @@ def queries() -> dict:
         "vec_dot_pairs": _pairs(vx.dot, "dot"),
         "vec_ip_pairs": _pairs(lambda a, b: vx.distance("ip", a, b), "ip"),
         "vec_normalize": vec_normalize,
+        "vec_normalize_single": vec_normalize_single,
         "vec_norms": vec_norms,
         "text_tokenize": text_tokenize,
         "text_clean_dedup": text_clean_dedup,
