@@ -280,7 +280,7 @@ def test_op2_detection_against_planted_values(spark, tmp_path):
         lambda: f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}",
         lambda: " ".join(("4337", "1665", "9846", "4399")),
     ]
-    words = ["plain", "word,", "v2.0", "pi3.14159", "12%", "y2024", "x@y", "@who", "a-b", "1,000;", "né", "\n", "at10:30", "#5"]
+    words = ["plain", "word,", "v2.0", "pi3.14159", "pct12", "y2024", "x@y", "@who", "a-b", "k1,000;", "né", "\n", "at10:30", "#5"]
     rows, want, spots = [], {}, {}
     for i in range(80):
         parts, n = [], 0
