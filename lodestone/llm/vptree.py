@@ -212,11 +212,12 @@ def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1
     fit = "id IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vector, x -> x <> 0)"
     spark = rows.sparkSession
 
-    def fitting(df: DataFrame, name: str) -> DataFrame:
-        df = df.selectExpr("cast(id as bigint) AS id", "cast(vector as array<double>) AS vector").where(fit).dropDuplicates(["id", "vector"])
-        return stored(df.withColumn("dim", F.size("vector")), name)
+    def fitting(df: DataFrame) -> DataFrame:
+        df = df.selectExpr("cast(id as bigint) AS id", "cast(vector as array<double>) AS vector").where(fit)
+        return df.withColumn("dim", F.size("vector"))
 
-    base, asked = fitting(rows, "rows"), fitting(queries, "queries")
+    # Rows that repeat meet in one part, where they count once; only queries are made distinct by a shuffle.
+    base, asked = stored(fitting(rows), "rows"), stored(fitting(queries).dropDuplicates(["id", "vector"]), "queries")
     dims = asked.groupBy("dim").count().select("dim")
     counts = {r["dim"]: r["count"] for r in base.join(F.broadcast(dims), "dim", "left_semi").groupBy("dim").count().collect()}
     result = "query_id long, vec_id long, score double"

@@ -767,6 +767,7 @@ def test_nearest_ties_within_and_across_shards(spark):
     rows = [(i, v.tolist(), "own", 1, 2, 0.5) for i, v in enumerate(x)]
     d = spark.createDataFrame(rows, "id long, vector array<double>, dim string, region int, query_id long, score double").repartition(3)
     asked = d.where("id IN (5, 300)")
+    d = d.unionByName(d)
     for size in (16384, 40):
         got = collections.defaultdict(list)
         for r in vptree.vp_search(d, asked.unionByName(asked), shard_rows=size, leaf=8).orderBy("query_id", "rank").collect():
