@@ -6,7 +6,8 @@ null flags of them (u8), token counts (u64); then n_blocks, n_documents, n_ids a
 the low bits of value - minimum at that width; places (u16) and high bits (u32) of the exceptions. The width is, of
 those that cover some percentiles of the block's values, the one that makes the block smallest.
 
-A file holds the documents of a range of ids, about FILE_BYTES of text, whatever the session's settings; rows that
+A file holds the documents of a range of ids, a 4096th of all text but not less than LEAST_BYTES nor more than FILE_BYTES
+of it, whatever the session's settings; rows that
 repeat an id, however many, may go on in the next file.
 
 Cases: null text counts as empty and has the end id alone; null document ids come first and stay null; rows that
@@ -25,7 +26,7 @@ from .common import new_path, open_fs, stored
 from .tokens import blocks, encoder, slices
 
 MAGIC, BLOCK = b"PFOR0001", 4096
-FILE_BYTES = 256 << 20
+LEAST_BYTES, FILE_BYTES = 16 << 20, 256 << 20
 PERCENTILES = (1.0, 0.99, 0.97, 0.95, 0.9, 0.8, 0.6)
 
 
@@ -172,7 +173,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(-(-size // FILE_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+    parts = max(-(-size // min(FILE_BYTES, max(LEAST_BYTES, size // 4096))), docs.sparkSession.sparkContext.defaultParallelism)
     # The hash and the row's number part rows that repeat an id.
     keys = ["doc_id", "_h", "_n"]
     slim = slim.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
