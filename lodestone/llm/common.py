@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..storage import new_path, release, shared_dir, stored
+from ..storage import drop, new_path, release, shared_dir, stored
 
-__all__ = ["new_path", "open_fs", "release", "shared_dir", "stored", "text_buffer", "word_hashes", "mix", "LOWER", "SPACES"]
+__all__ = ["drop", "new_path", "open_fs", "release", "shared_dir", "stored", "text_buffer", "word_hashes", "mix", "LOWER", "SPACES"]
 
 #: The characters between words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"

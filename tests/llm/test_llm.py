@@ -2,6 +2,7 @@
 
 import bisect
 import collections
+import pathlib
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import automaton, jaccard, licenses, mixing, packing, pfor, pii, quality, secrets, tokens, vptree, warc
-from lodestone.llm.common import new_path
+from lodestone.llm.common import new_path, shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,6 +108,47 @@ def test_jaccard_dealt_lists(spark, monkeypatch):
     assert all(got[i]["class_id"] == texts.index(t) for i, t in enumerate(texts))
 
 
+def test_shingles_that_the_sketch_cannot_tell(spark, monkeypatch):
+    """At large inputs the sketch's buckets are full; phrases in a third of the texts still make no long lists."""
+    rng = random.Random(8)
+    phrases = [[f"p{i}x{j}" for j in range(6)] for i in range(20)]
+    texts = []
+    for i in range(240):
+        parts = [[f"w{i}x{k}x{j}" for j in range(10)] for k in range(8)] + rng.sample(phrases, 7)
+        rng.shuffle(parts)
+        texts.append(" ".join(w for p in parts for w in p))
+    texts += [texts[i] + " more" for i in range(0, 240, 9)]
+    monkeypatch.setattr(jaccard, "_levels", lambda made: np.zeros(jaccard.BUCKETS, np.uint8))
+    lists, led = jaccard._lists, []
+
+    def counted(*args):
+        made = lists(*args)
+        led.append(made.where("lead IS NOT NULL").count())
+        return made
+
+    monkeypatch.setattr(jaccard, "_lists", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    want = brute_components(sets_of(texts))
+    assert led == [0] and [got[i] for i in range(len(texts))] == want and len(set(want)) == 240
+
+
+def test_no_room_for_common_shingles(spark, monkeypatch):
+    """Without room for their counts lists are long, and results the same."""
+    monkeypatch.setattr(jaccard, "COMMON", 0)
+    monkeypatch.setattr(jaccard, "LONG", 3)
+    texts = made(120, seed=6)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(sets_of(texts))
+
+
+def test_join_leaves_no_tables_behind(spark):
+    """Lists, candidates and sets go as soon as nothing reads them."""
+    there = lambda: set(pathlib.Path(shared_dir(spark).removeprefix("file://")).iterdir())
+    before = there()
+    jaccard.jaccard_components(table(spark, made(60))).collect()
+    assert not {p.name.rpartition("-")[0] for p in there() - before} & {"common", "lists", "pairs", "spokes", "sets"}
+
+
 def test_clashing_digests(spark, monkeypatch):
     """Unequal sets with equal first digests stay apart."""
     whole = jaccard.digest
