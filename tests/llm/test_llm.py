@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import automaton, jaccard, licenses, mixing, packing, pfor, pii, quality, secrets, tokens, vptree, warc
+from lodestone.llm import automaton, components, jaccard, licenses, mixing, packing, pfor, pii, quality, secrets, tokens, vptree, warc
 from lodestone.llm.common import new_path, shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -172,6 +172,24 @@ def test_searched_links_are_a_forest(spark, monkeypatch, block):
     assert len(links) <= (2 if block == 4096 else 60) * len(members)
 
 
+def test_components_of_few_links(spark, monkeypatch):
+    """Few links take one task, not rounds of joins; more of them are contracted in rounds. Both find the same."""
+    rng, calls = random.Random(11), []
+    links = [(i, i + 1) for i in rng.sample(range(300), 250)] + [(500, i) for i in range(501, 560)]
+    d = spark.createDataFrame(links, "a long, b long").repartition(7)
+    whole = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: calls.append(name) or whole(df, name))
+    low = {n: n for x in links for n in x}
+    for _ in range(300):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["node"]: r["comp"] for r in components.components(d).collect()}
+    assert got == low and len(calls) <= 2
+    monkeypatch.setattr(components, "TOGETHER", 0)
+    assert {r["node"]: r["comp"] for r in components.components(d).collect()} == low
+    assert components.components(d.where("a < 0")).count() == 0
+
+
 def test_clashing_digests(spark, monkeypatch):
     """Unequal sets with equal first digests stay apart."""
     whole = jaccard.digest
