@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 
 from ..storage import drop, new_path, release, shared_dir, stored
 
-__all__ = ["drop", "new_path", "open_fs", "release", "shared_dir", "stored", "text_buffer", "word_hashes", "mix", "LOWER", "SPACES"]
+__all__ = ["drop", "give_back", "new_path", "open_fs", "release", "shared_dir", "stored", "text_buffer", "word_hashes", "mix", "LOWER", "SPACES"]
 
 #: The characters between words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,6 +23,17 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+def give_back() -> None:
+    """Returns the memory that a reused Python worker holds on to: encoders of earlier steps, and what allocators keep."""
+    import pyarrow as pa
+
+    if tokens := sys.modules.get(__package__ + ".tokens"):
+        tokens._made.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on an array of uint64."""
     x = x ^ (x >> np.uint64(30))

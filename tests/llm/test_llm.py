@@ -190,6 +190,12 @@ def test_components_of_few_links(spark, monkeypatch):
     assert components.components(d.where("a < 0")).count() == 0
 
 
+def test_join_gives_back_remembered_chunks():
+    """A worker that has encoded texts before doesn't hold on to their chunks while it joins."""
+    tokens.encoder(public_tokenizers.path("word_bpe_49k.json")).encode(["some words here"])
+    assert tokens._made and not list(jaccard._batches([])) and not tokens._made
+
+
 def test_clashing_digests(spark, monkeypatch):
     """Unequal sets with equal first digests stay apart."""
     whole = jaccard.digest
