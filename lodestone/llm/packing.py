@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import batches_of, stored
 from .tokens import blocks, encoder, slices
 
 
@@ -201,7 +201,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, most: int = 4096) -> DataFrame:
     """A row per piece, with sequence_id and offset."""
-    made = stored(pieces(docs, tokenizer, end_id, most), "pieces")
+    with batches_of(docs.sparkSession, 1000):  # texts; what is placed below are numbers
+        made = stored(pieces(docs, tokenizer, end_id, most), "pieces")
     per = made.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     per = stored(per.select("length", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "counts")

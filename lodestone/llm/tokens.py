@@ -1,8 +1,10 @@
 """Token ids by the tokenizers library, with words' ids remembered.
 
 Both vocabularies part texts at a single space between other characters, so a text's ids are those of its chunks
-(a word, with the space before it where the vocabulary keeps it). A chunk is encoded by the library once and kept in
-a dictionary of bounded size. Texts where a space follows a space, or ends the text after other white space, go to the library whole, as do those that name an added token.
+(a word, with the space before it where the vocabulary keeps it). Chunks are encoded by the library, once a block of
+texts, and those met again are kept in a dictionary of bounded size: most chunks of a large corpus come once and would
+only take memory. Which were met is remembered by their hashes, in a table of fixed size; a chunk that it has forgotten
+is encoded once more, with the same ids. Texts where a space follows a space, or ends the text after other white space, go to the library whole, as do those that name an added token.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 MARK = "\x01"
+#: Hashes of chunks that are remembered as met, a power of two.
+MET = 1 << 20
 
 
 class _Numbers(dict):
@@ -25,7 +29,7 @@ class _Numbers(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -36,6 +40,7 @@ class Encoder:
         #: What stands between chunks when many are encoded at once: a character's own pretoken.
         self.mark = self._direct(self.lead + MARK)
         self.keep = keep
+        self.met = np.zeros(MET, np.uint32)
         self._forget()
 
     def _direct(self, text: str) -> list[int]:
@@ -59,6 +64,23 @@ class Encoder:
         self.ends = np.concatenate([ends, self.ends])
         self.seen = np.concatenate([seen, self.seen])
 
+    def _admit(self, new: list[str]) -> None:
+        """Of the chunks numbered last, those stay that came more than once, in this block or before it."""
+        first = self.n - len(new)
+        at = int(self.ends[first - 1]) if first else 0
+        hashes = np.fromiter(map(hash, new), np.int64, len(new)).view(np.uint64)
+        places, tags = hashes % np.uint64(MET), (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        stay = (self.met[places] == tags) | (self.seen[first : self.n] > 1)
+        self.met[places] = tags
+        for _ in new:
+            self.numbers.popitem()
+        lengths = np.diff(self.ends[first : self.n], prepend=at)
+        flat, ends, seen = self.flat[at : self.n_flat][np.repeat(stay, lengths)], at + np.cumsum(lengths[stay]), self.seen[first : self.n][stay]
+        self.seen[first : self.n] = 0
+        self.n, self.n_flat = first + len(ends), at + len(flat)
+        self.numbers.update(zip(compress(new, stay), range(first, self.n)))
+        self.flat[at : self.n_flat], self.ends[first : self.n], self.seen[first : self.n] = flat, ends, np.maximum(seen, 2)
+
     def _learn(self, chunks: list[str]) -> None:
         """Appends the ids of the chunks numbered last."""
         for i in range(0, len(chunks), 4000):
@@ -118,6 +140,8 @@ class Encoder:
             out[i] = np.concatenate([head, ids[cuts[j] : cuts[j + 1]]])
         if new and max(map(len, new)) > 1000:  # very long chunks are not kept
             self._forget()
+        elif new:
+            self._admit(new)
         return out
 
 

@@ -508,6 +508,32 @@ def test_op4_edges(spark, tmp_path):
     assert got == {0: [("MIT", 1.0, "line")], 1: none, 2: none, 3: none, 4: [("MIT", 1.0, "line")] * 2, 5: [("MIT", 1.0, "line")]}
 
 
+def test_encoder_keeps_what_is_met_again(spark):
+    """Chunks that come once take no lasting memory, those met again are kept within a bound; texts go to packing's workers a thousand at a time."""
+    rng = random.Random(3)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e, often = tokens.Encoder(public_tokenizers.path(name)), ["apple", "pear", "quince", "Übung"]
+        for _ in range(40):
+            texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(300)) + " " + " ".join(rng.choices(often, k=20)) for _ in range(10)]
+            assert [x.tolist() for x in e.encode(texts)] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert set(often) <= set(e.numbers) and len(e.numbers) < 1000  # 120,000 chunks came once
+        assert len(e.numbers) == e.n and list(e.numbers.values()) == list(range(e.n)) and e.n_flat == e.ends[e.n - 1]
+        many = [f"{i:x}" for i in range(700_000)]
+        for _ in range(2):
+            for i in range(0, len(many), 50_000):
+                e.encode([" ".join(many[i : i + 50_000])])
+        assert len(e.numbers) <= 350_000  # the bound, and what a block may add
+        assert [x.tolist() for x in e.encode(texts)] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, kept = spark.conf.get(key), packing.stored
+    packing.stored = lambda df, what: (rows.append((what, spark.conf.get(key))), kept(df, what))[1]
+    try:
+        assert packing.pack(table(spark, ["a b", None, "c"]), public_tokenizers.path("word_bpe_49k.json")).count() == 3
+    finally:
+        packing.stored = kept
+    assert rows[0] == ("pieces", "1000") and spark.conf.get(key) == before
+
+
 def test_encoder_equals_library():
     rng = random.Random(4)
     pieces = ["a", " ", "  ", "\n", "\x01", "é", "'s", "12", "!", "ab", "的", "́", "<|endoftext|>", "\t", "word"]
