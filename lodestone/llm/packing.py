@@ -168,6 +168,10 @@ def grouped_plan(counts: dict[int, int], most: int, groups: int, large: float) -
     return rules, n_seq
 
 
+#: Chunks that a worker remembers: in the pipeline it works beside a JVM that earlier stages have filled.
+KEEP = 300_000
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, with the task that made it and its rank among that task's pieces of the same length."""
 
@@ -175,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame
         import pyarrow as pa
         from pyspark import TaskContext
 
-        made, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
+        made, task, seen = encoder(tokenizer, KEEP), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for batch in (part for whole in batches for part in slices(whole)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

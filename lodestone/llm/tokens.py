@@ -29,7 +29,7 @@ class _Numbers(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -148,9 +148,9 @@ class Encoder:
 _made: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = 900_000) -> Encoder:
     if path not in _made:
-        _made[path] = Encoder(path)
+        _made[path] = Encoder(path, keep)
     return _made[path]
 
 

@@ -512,7 +512,7 @@ def test_encoder_keeps_what_is_met_again(spark):
     """Chunks that come once take no lasting memory, those met again are kept within a bound; texts go to packing's workers a thousand at a time."""
     rng = random.Random(3)
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        e, often = tokens.Encoder(public_tokenizers.path(name)), ["apple", "pear", "quince", "Übung"]
+        e, often = tokens.Encoder(public_tokenizers.path(name), packing.KEEP), ["apple", "pear", "quince", "Übung"]
         for _ in range(40):
             texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(300)) + " " + " ".join(rng.choices(often, k=20)) for _ in range(10)]
             assert [x.tolist() for x in e.encode(texts)] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
