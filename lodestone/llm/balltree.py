@@ -10,7 +10,7 @@ centroid and batch of trees, which are added up before they come to the driver:
 Cases: vectors that are null, hold null or non-finite components or have another number of components than dim take no part; rows with a null id do,
 but come last as starting centroids, as does among equal ids the row with the greater vector; repeated rows count each; ties go to the smaller number; equal
 centroids leave the larger number empty, and empty ones stay as they are; fewer rows than centroids make fewer centroids; an empty table gives
-no rows; other columns are ignored. Components beyond most_of(dim) once they are integers are an error, as squared distances would not fit a long.
+no rows; other columns are ignored. Components beyond most_of(dim) once they are integers are an error, as squared distances would not fit a long; so are sums of distances that do not.
 """
 
 from __future__ import annotations
