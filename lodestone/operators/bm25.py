@@ -65,8 +65,8 @@ class Bm25Index:
 
     @staticmethod
     def forward(docs: DataFrame, remove_stopwords: bool = True) -> DataFrame:
-        """The forward index of docs(doc_id, text). Empty documents count."""
-        t = docs.select("doc_id", tokenize(F.coalesce("text", F.lit("")), remove_stopwords).alias("_t"))
+        """The forward index of docs(doc_id, text). Empty documents count, those without an id do not."""
+        t = docs.where("doc_id IS NOT NULL").select("doc_id", tokenize(F.coalesce("text", F.lit("")), remove_stopwords).alias("_t"))
         return t.mapInArrow(_counted, StructType([t.schema["doc_id"], *StructType.fromDDL(FORWARD)]))
 
     @classmethod
@@ -117,8 +117,8 @@ class Bm25Index:
         return self.docs if allowed is None else self.docs.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def search(self, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-        """(query_id, rank, doc_id, score) for queries(query_id, text); allowed restricts documents, not statistics."""
-        terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit("")), self.remove_stopwords))).alias("term")).distinct()
+        """(query_id, rank, doc_id, score) for queries(query_id, text); allowed restricts documents, not statistics. Queries without an id take no part."""
+        terms = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit("")), self.remove_stopwords))).alias("term")).distinct()
         n, size = terms.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
         small = n * 64 + (size or 0) <= BROADCAST_BYTES
         if small:

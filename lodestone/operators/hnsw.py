@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
 from ..storage import stored
-from .exact import nearest_rows, rows_of, whole
+from .exact import FINITE, nearest_rows, rows_of, sound
 from .fusion import merge_shards
 
 
@@ -169,7 +169,8 @@ class HnswIndex:
     @staticmethod
     def _placed(rows: DataFrame, n_shards: int, params: HnswParams) -> DataFrame:
         """A shard holds the ids that hash to it."""
-        return rows.select(F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"), level_of(F.col("id"), params.m, params.seed).alias("level"), F.col("vector").cast("array<float>").alias("vector"))
+        placed = rows.where("id IS NOT NULL").select(F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"), level_of(F.col("id"), params.m, params.seed).alias("level"), F.col("vector").cast("array<float>").alias("vector"))
+        return placed.where(f"vector IS NULL OR coalesce({FINITE}, true)")  # nulls raise an error where vectors are read
 
     @staticmethod
     def _grown(params: HnswParams):
@@ -221,7 +222,7 @@ class HnswIndex:
         dim = self.dim
         if not dim or k <= 0:
             return merge_shards(queries.sparkSession.createDataFrame([], "query_id long, neighbor_id long, dist double"), max(k, 0))
-        asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(self.n_shards - 1))).alias("at"), F.col("id").alias("query_id"), whole(dim).alias("q"))
+        asked = sound(queries, dim).select(F.explode(F.sequence(F.lit(0), F.lit(self.n_shards - 1))).alias("at"), F.col("id").alias("query_id"), F.col("vector").alias("q"))
 
         groups = max(1, -(-queries.count() // QUERIES_A_GROUP))
         nodes = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))

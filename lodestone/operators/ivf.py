@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
 from ..storage import stored
-from .exact import BLOCK_ROWS, BROADCAST_BYTES, knn_exact, measured, nearest_rows, rows_of, taken, top_k, whole
+from .exact import BLOCK_ROWS, BROADCAST_BYTES, FINITE, finite, knn_exact, measured, nearest_rows, rows_of, taken, top_k, whole
 
 
 def centroids(rows: DataFrame, cell: str) -> DataFrame:
-    """(id, vector): the mean vector of each cell."""
+    """(id, vector): the mean vector of each cell, of finite rows."""
+    rows = rows.where(FINITE)
     e = rows.select(F.col(cell).cast("long").alias("id"), F.posexplode(F.col("vector").cast("array<double>")).alias("p", "x"))
     means = e.groupBy("id", "p").agg(F.avg("x").alias("x"))
     return means.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("vector"))
@@ -24,7 +25,7 @@ def train(rows: DataFrame, nlist: int | None = None, rounds: int = 5, seed: int
     They start from the rows that come first by a seeded digest of the id. Cells that lose all rows disappear."""
     n, _ = measured(rows)
     order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))
-    cents = rows.orderBy(order, "id").limit(nlist or max(1, round(4 * n**0.5)))
+    cents = rows.where("id IS NOT NULL").where(FINITE).orderBy(order, "id").limit(nlist or max(1, round(4 * n**0.5)))
     cents = cents.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     for _ in range(rounds):
         cents = stored(centroids(assign(rows, cents), "cell"), "cells")  # cuts the lineage of the rounds
@@ -32,7 +33,7 @@ def train(rows: DataFrame, nlist: int | None = None, rounds: int = 5, seed: int
 
 
 def assign(rows: DataFrame, cents: DataFrame) -> DataFrame:
-    """rows(id, vector) with the column cell: the nearest centroid.
+    """rows(id, vector) with the column cell: the nearest centroid; rows without id or with a component that isn't finite are left out.
 
     Centroids are sent to the tasks if they measure small, and rows aren't shuffled; more of them meet the rows in blocks."""
     n, dim = measured(cents)
@@ -47,10 +48,13 @@ def assign(rows: DataFrame, cents: DataFrame) -> DataFrame:
         ids, v = sent.value
         for batch in batches:
             if batch.num_rows and len(ids):
-                _, which, _ = nearest_rows(rows_of(batch.column(1), dim), ids, v, 1, "l2")
+                x = rows_of(batch.column(1), dim)
+                ok = np.isfinite(x).all(axis=1)
+                batch = batch.filter(pa.array(ok))
+                _, which, _ = nearest_rows(x[ok], ids, v, 1, "l2")
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids[which])], ["id", "vector", "cell"])
 
-    return rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, "id long, vector array<float>, cell long")
+    return rows.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, "id long, vector array<float>, cell long")
 
 
 def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, nprobe: int, metric: str) -> DataFrame:
@@ -65,9 +69,10 @@ def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, n
     if not n or k <= 0:
         return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, dist double")
     probes = knn_exact(queries, cents, nprobe, "l2").select("query_id", F.col("neighbor_id").alias("cell"))
-    rows = cells.select("id", whole(dim).alias("vector"), F.col("cell").cast("long").alias("cell"))
+    rows = cells.where("id IS NOT NULL").select("id", whole(dim).alias("vector"), F.col("cell").cast("long").alias("cell"))
 
     def near(ids, q, own, v):
+        own, v = finite(own, v)
         at, which, dist = nearest_rows(q, own, v, k, metric)
         return [ids[at], own[which], dist]
 

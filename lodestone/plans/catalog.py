@@ -148,6 +148,29 @@ _L2_OFFSET = (
 )
 
 
+def _spoilt(spark, d):
+    """Every seventh vector has a component that is no number, or infinite; one row has no id."""
+    bad = F.when(F.col("id") % 14 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    rows = _base(spark, d).withColumn("vector", F.when(F.col("id") % 7 == 0, F.transform("vector", lambda x, i: F.when(i == F.col("id") % 64, bad.cast("float")).otherwise(x))).otherwise(F.col("vector")))
+    return rows.withColumn("id", F.when(F.col("id") != 9, F.col("id")))
+
+
+def _nonfinite(send):
+    """Rows that can't be measured take no part, on the path by broadcast and on that in blocks."""
+
+    def run(spark, d):
+        rows = _spoilt(spark, d)
+        return _said(exact.knn_exact(rows, rows, 10, "l2", send=send), "dist")
+
+    return run
+
+
+def knn_rounds(spark, d):
+    """Every row is a query; the base is scanned where it lies."""
+    b = _base(spark, d)
+    return _said(exact.knn_rounds(b, b, 10, "ip"), "dist")
+
+
 def knn_postfilter(spark, d):
     return _said(exact.knn_postfilter(_asked(spark, d), _base(spark, d), 10, "ip", F.col("label") < 5), "dist")
 
@@ -549,6 +572,9 @@ def queries() -> dict:
         "knn_postfilter": knn_postfilter,
         "knn_held_out": knn_held_out,
         "knn_naive_graph": knn_graph,
+        "knn_nonfinite": _nonfinite(None),
+        "knn_nonfinite_blocks": _nonfinite(0),
+        "knn_rounds": knn_rounds,
         "brute_force_index": brute_force_index,
         "postfilter_recall": postfilter_recall,
         "vec_l2_pairs": _pairs(vx.l2_sq, "l2"),
@@ -629,6 +655,7 @@ def oracle_sql() -> dict[str, str]:
         "rank, id, round(score, 9) + 0e0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, "
         "12) DESC, id) AS rank FROM s) WHERE rank <= 10"
     )
+    sound = f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id <> 9), {_B}, {_knn_cte('l2', 10, 'neighbor_id % 7 <> 0 AND neighbor_id <> 9')} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM k"
     kept, whole = _knn_cte("ip", 10, "label < 5", "f"), _knn_cte("ip", 10, "true", "t")
     two = _bm25_cte("0.9e0", "0.4e0")
     for name in ("qt", "bs", "br"):
@@ -672,6 +699,9 @@ def oracle_sql() -> dict[str, str]:
             f"{_B}, {_knn_cte('l2', 4, 'query_id <> neighbor_id')} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 "
             "AS dist FROM k"
         ),
+        "knn_nonfinite": sound,
+        "knn_nonfinite_blocks": sound,
+        "knn_rounds": f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings), {_B}, {_knn_cte('ip', 10)} SELECT query_id, rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM k",
         "vec_l2_pairs": _pairs_sql(_L2, "l2"),
         "vec_dot_pairs": _pairs_sql(_DOT, "dot"),
         "vec_ip_pairs": _pairs_sql(f"1e0 - {_DOT}", "ip"),

@@ -363,3 +363,70 @@ def test_split_of_all_rows(spark):
     for limit, n in ((0, len(ids)), (400, 450)):
         got = text.query_base_split(d, "id", 50, limit).orderBy("position").collect()
         assert [(r["id"], r["position"], r["is_query"]) for r in got] == [(i, p + 1, p < 50) for p, i in enumerate(want[:n])]
+
+
+def spoilt(v):
+    """Rows (id, vector) with values that are no finite 32-bit floats."""
+    rows = [(i, x.tolist()) for i, x in enumerate(np.float64(np.float32(v)))]
+    for i, x in ((3, float("nan")), (11, float("inf")), (12, float("-inf")), (13, 1e300)):
+        rows[i][1][1] = x
+    return rows
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_rows_that_are_not_finite_take_no_part(spark, monkeypatch, metric):
+    """NaN, infinities and overflow as base rows, queries and centroids, and rows without id: the others fare as if they weren't there."""
+    rng = np.random.default_rng(8)
+    rows = spoilt(rng.normal(size=(400, 6)))
+    bad = {3, 11, 12, 13}
+    df = spark.createDataFrame([*rows, (None, [0.0] * 6), (None, [float("nan")] * 6)], "id long, vector array<double>").repartition(2)
+    clean = spark.createDataFrame([r for r in rows if r[0] not in bad], "id long, vector array<double>")
+    asked, clean_asked = df.where("id < 40 OR id IS NULL"), clean.where("id < 40")
+    told = lambda found: sorted((r["query_id"], r["rank"], r["neighbor_id"]) for r in found.collect())
+    want = told(exact.knn_exact(clean_asked, clean, 5, metric))
+    assert len(want) == 36 * 5
+    assert told(exact.knn_exact(asked, df, 5, metric)) == want  # sent
+    assert told(exact.knn_expr(asked, df, 5, metric)) == want
+    assert told(exact.knn_rounds(asked, df, 5, metric, 1)) == want
+    shard = df.withColumn("shard", F.coalesce(F.col("id") % 3, F.lit(0)).cast("int"))
+    assert told(fusion.merge_shards(exact.knn_by_shard(asked, shard, 5, metric), 5)) == want
+    assert told(exact.BruteForceIndex(6, metric).add(df).search(asked, 5)) == want
+    p = hnsw.HnswParams(metric, 8, 48)
+    graph = hnsw.HnswIndex.build(df, 2, p)
+    assert len(graph) == 396
+    assert told(graph.search(asked, 5, 40)) == told(hnsw.HnswIndex.build(clean, 2, p).search(clean_asked, 5, 40))
+    assert told(graph.search(asked, 5, 40, where=F.lit(True), exact_below=10_000)) == want
+    cents = ivf.train(df, 8, 2)
+    assert told(cents.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.size("vector").alias("neighbor_id"))) == told(ivf.train(clean, 8, 2).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.size("vector").alias("neighbor_id")))
+    holed = cents.unionByName(spark.createDataFrame([(9999, [float("nan")] * 6)], "id long, vector array<double>"))
+    cells = ivf.assign(df, holed).cache()
+    assert cells.count() == 396 and cells.where("cell = 9999").count() == 0
+    assert told(ivf.ivf_search(asked, cells, holed, 5, 8, metric)) == want
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", 0)
+    assert told(ivf.ivf_search(asked, cells, holed, 5, 8, metric)) == want
+    assert told(exact.knn_exact(df, df, 5, metric, send=0)) == told(exact.knn_exact(clean, clean, 5, metric))  # in blocks
+    assert exact.knn_exact(df.where("id = 3"), df, 5, metric).count() == 0
+
+
+def test_documents_without_id_take_no_part(spark):
+    d = spark.createDataFrame([(0, "red fox"), (1, "red red bear"), (None, "red")], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "red"), (None, "red")], "query_id long, text string")
+    found = lambda d, q: sorted(map(tuple, bm25.Bm25Index.build(d).search(q).collect()))
+    assert found(d, q) == found(d.where("doc_id IS NOT NULL"), q.where("query_id = 0")) and len(found(d, q)) == 2
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_rounds_of_queries(spark, metric):
+    """Several rounds, bounds from a part of the base, ties; the base's vectors meet no exchange."""
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(900, 16)).astype(np.float32)
+    v[50:60] = v[40]
+    base = vecs(spark, list(enumerate(v))).repartition(5)
+    q = vecs(spark, [(i, np.tile(x, 1)) for i, x in enumerate(v[:700])])
+    assert sorted(map(tuple, exact.knn_rounds(q, base, 7, metric, 1 << 15).collect())) == sorted(map(tuple, exact.knn_exact(q, base, 7, metric).collect()))
+    few = base.where("id < 5")
+    assert sorted(map(tuple, exact.knn_rounds(q, few, 7, metric).collect())) == sorted(map(tuple, exact.knn_exact(q, few, 7, metric).collect()))
+    assert exact.knn_rounds(q.where("id < 0"), base, 7, metric).count() == 0
+    sent = spark.sparkContext.broadcast((np.arange(3), np.float64(v[:3]), np.full(3, 0.5)))
+    plan = exact.top_k(exact._scanned(base, sent, 16, 7, metric), ["query_id"], ["dist"], 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") > plan.index("Window") and plan.count("Join") == 0
