@@ -205,6 +205,25 @@ def _units(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
+def vantage_points(base: DataFrame, counts: dict[int, int], points: dict[int, int]) -> dict[int, list]:
+    """Of each dimension so many vectors, those that come first by a hash of the id; counts tells how many rows there are.
+
+    The hash is even, so a threshold on it leaves few more rows than are wanted, whatever the number of rows; ids that repeat so often that they
+    pass it in numbers are cut by a limit, which keeps no more rows a task than it returns. No task sorts a table."""
+    by = {}
+    h = F.xxhash64("id", F.lit(5))
+    for d, n in points.items():
+        # so far above the mean of the rows let through that fewer than n come about once in millions of times
+        share = min(1.0, (n + 8 * n**0.5 + 32) / counts[d])
+        own = base.where(F.col("dim") == d)
+        found = own.where(h < int((2 * share - 1) * 2**63)) if share < 1 else own
+        order = [h, F.col("id"), F.col("vector")]
+        by[d] = [r["vector"] for r in found.select("id", "vector").orderBy(*order).limit(n).collect()]  # at most POINT_BYTES
+        if not by[d]:  # few ids, all beyond the threshold
+            by[d] = [r["vector"] for r in own.select("id", "vector").orderBy(*order).limit(n).collect()]
+    return by
+
+
 def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = 16384, block: int = 4096, leaf: int = 256, most_bytes: int = 16 << 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of rows(id, vector) for each of queries(id, vector).
 
@@ -226,26 +245,21 @@ def vp_search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1
 
     size = {d: max(1, min(shard_rows, most_bytes // (8 * d), max(16 * leaf, n // spark.sparkContext.defaultParallelism))) for d, n in counts.items()}
     points = {d: max(1, min(-(-n // size[d]), POINTS, POINT_BYTES // (8 * d * len(counts)))) for d, n in counts.items()}
-    order = Window.partitionBy("dim").orderBy(F.xxhash64("id", F.lit(5)), "id", "vector")
-    wanted = spark.createDataFrame(list(points.items()), "dim int, _n int")
-    chosen = base.join(F.broadcast(wanted), "dim").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(points.values())).where(F.col("_r") <= F.col("_n"))
-    by: dict[int, list] = {d: [] for d in points}
-    for r in chosen.select("dim", "vector").collect():  # at most POINT_BYTES
-        by[r["dim"]].append(r["vector"])
-    regions = {d: Regions(_units(np.array(v))) for d, v in by.items()}
+    regions = {d: Regions(_units(np.array(v))) for d, v in vantage_points(base, counts, points).items()}
     sent = spark.sparkContext.broadcast(regions)
 
     def place(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            dim = batch.column(2).to_numpy()
-            for d in np.unique(dim):
-                if int(d) not in sent.value:
-                    continue
-                part = batch.filter(pa.array(dim == d))
-                at, far = sent.value[int(d)].nearest(_units(_matrix(part.column(1), int(d))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at.astype(np.int32)), pa.array(far)], ["id", "vector", "dim", "region", "far"])
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                dim = batch.column(2).to_numpy()
+                for d in np.unique(dim):
+                    if int(d) not in sent.value:
+                        continue
+                    part = batch.filter(pa.array(dim == d))
+                    at, far = sent.value[int(d)].nearest(_units(_matrix(part.column(1), int(d))))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at.astype(np.int32)), pa.array(far)], ["id", "vector", "dim", "region", "far"])
 
     placed = stored(base.mapInArrow(place, "id long, vector array<double>, dim int, region int, far double"), "placed")
     for r in placed.groupBy("dim", "region").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect():  # a row per point

@@ -911,6 +911,30 @@ def test_regions_are_passed_over(spark):
     assert (own.first(u[:50], 6) @ own.n >= 6).all()
 
 
+def test_vantage_points_of_many_rows(spark):
+    """More than a thousand points: those of the smallest hashes, by a filter and a limit; no window gathers the rows."""
+    rows = spark.range(60_000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"), F.lit(2).alias("dim"))
+    got = vptree.vantage_points(rows, {2: 60_000}, {2: 1500})[2]
+    want = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(1500).collect()
+    assert [r["vector"] for r in want] == got
+    same = rows.withColumn("id", F.lit(3).cast("long"))
+    assert len(vptree.vantage_points(same, {2: 60_000}, {2: 1500})[2]) == 1500
+
+
+def test_many_vantage_points_take_little_memory(spark, tmp_path):
+    """A worker that deals 10,000 rows to 4,096 points holds few distances at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    own = vptree.Regions(vptree._units(rng.normal(size=(4096, 64))))
+    v = vptree._units(rng.normal(size=(10_000, 64)))
+    tracemalloc.start()
+    for i in range(0, len(v), 1024):
+        own.nearest(v[i : i + 1024])
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 def test_op9_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(400, 64)).astype(np.float32)
