@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
-from ..storage import stored
+from ..storage import new_path, stored
 from .exact import BLOCK_ROWS, BROADCAST_BYTES, FINITE, finite, knn_exact, measured, nearest_rows, rows_of, taken, top_k, whole
 
 
@@ -57,7 +59,12 @@ def assign(rows: DataFrame, cents: DataFrame) -> DataFrame:
     return rows.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, "id long, vector array<float>, cell long")
 
 
-def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, nprobe: int, metric: str) -> DataFrame:
+def probed(queries: DataFrame, cents: DataFrame, nprobe: int) -> DataFrame:
+    """(query_id, cell): the nprobe nearest cells of each query."""
+    return knn_exact(queries, cents, nprobe, "l2").select("query_id", F.col("neighbor_id").alias("cell"))
+
+
+def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, nprobe: int, metric: str, probes: DataFrame | None = None) -> DataFrame:
     """The k nearest among rows of each query's nprobe nearest cells, by matrix products.
 
     Queries with their cells are sent to the tasks that scan the rows if they measure small; no row is shuffled then,
@@ -68,7 +75,8 @@ def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, n
     schema = "query_id long, neighbor_id long, dist double"
     if not n or k <= 0:
         return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, dist double")
-    probes = knn_exact(queries, cents, nprobe, "l2").select("query_id", F.col("neighbor_id").alias("cell"))
+    if probes is None:
+        probes = probed(queries, cents, nprobe)
     rows = cells.where("id IS NOT NULL").select("id", whole(dim).alias("vector"), F.col("cell").cast("long").alias("cell"))
 
     def near(ids, q, own, v):
@@ -120,3 +128,63 @@ def ivf_search(queries: DataFrame, cells: DataFrame, cents: DataFrame, k: int, n
 
         out = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(meet, schema)
     return top_k(out, ["query_id"], ["dist", "neighbor_id"], k).select("query_id", "rank", "neighbor_id", "dist")
+
+
+#: Cells share so many folders at most; so many cells are told to a scan at most.
+FOLDERS, NAMED = 1024, 4096
+
+
+@dataclass
+class IvfIndex:
+    """A stored inverted file: rows (id, vector, cell) in folders of cells, sorted by cell, with centroids and meta beside them.
+
+    A search tells the scan which cells are probed: other folders are pruned, and of a folder that holds several cells only the row groups of those are read. Rows
+    that are added go to the cells that are there, as files of their own. Rows without id or with a component that isn't finite are left out."""
+
+    spark: object
+    path: str
+    metric: str
+
+    @classmethod
+    def build(cls, rows: DataFrame, metric: str = "l2", path: str | None = None, nlist: int | None = None, rounds: int = 5, seed: int = 42) -> IvfIndex:
+        """The index of rows(id, vector), under path or in the shared folder."""
+        spark = rows.sparkSession
+        out = cls(spark, path or new_path(spark, "ivf"), check_metric(metric))
+        train(rows, nlist, rounds, seed).write.parquet(f"{out.path}/cents")
+        out.add(rows)
+        spark.createDataFrame([(1, out.metric)], "version int, metric string").write.parquet(f"{out.path}/meta")
+        return out
+
+    @classmethod
+    def load(cls, spark, path: str) -> IvfIndex:
+        return cls(spark, path, spark.read.parquet(f"{path}/meta").first()["metric"])
+
+    @property
+    def cents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/cents")
+
+    @property
+    def cells(self) -> DataFrame:
+        return self.spark.read.schema("id long, vector array<float>, cell long, folder int").parquet(f"{self.path}/rows")
+
+    def add(self, rows: DataFrame) -> IvfIndex:
+        """Rows go to the cells that are there, as new files; a job that fails commits none. Large cells go over several files."""
+        placed = stored(assign(rows, self.cents), "placed")
+        sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / 100_000).alias("files"))  # a row a cell
+        dealt = placed.join(F.broadcast(sizes), "cell") if self.cents.count() * 16 <= BROADCAST_BYTES else placed.join(sizes, "cell")
+        dealt = dealt.select("id", "vector", "cell", F.pmod(F.xxhash64("cell"), F.lit(FOLDERS)).cast("int").alias("folder"), F.pmod(F.xxhash64("id"), F.col("files")).alias("file"))
+        dealt.repartition("folder", "file").sortWithinPartitions("folder", "cell").drop("file").write.mode("append").partitionBy("folder").parquet(f"{self.path}/rows")
+        return self
+
+    def pruned(self, probes: DataFrame) -> DataFrame:
+        """The rows of the cells of probes(query_id, cell)."""
+        cells = probes.select("cell").distinct()
+        named = [tuple(r) for r in cells.select("cell", F.pmod(F.xxhash64("cell"), F.lit(FOLDERS)).cast("int")).limit(NAMED + 1).collect()]
+        if len(named) > NAMED:  # the join prunes folders when it runs
+            folder = F.pmod(F.xxhash64("cell"), F.lit(FOLDERS)).cast("int").alias("folder")
+            return self.cells.join(cells.select("cell", folder), ["folder", "cell"], "left_semi").select("id", "vector", "cell")
+        return self.cells.where(F.col("folder").isin(sorted({f for _, f in named}))).where(F.col("cell").isin([c for c, _ in named])).select("id", "vector", "cell")
+
+    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 8) -> DataFrame:
+        probes = stored(probed(queries, self.cents, nprobe), "probes")
+        return ivf_search(queries, self.pruned(probes), self.cents, k, nprobe, self.metric, probes)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import bm25, exact, fusion, hnsw, ivf
+from ..operators import bm25, exact, fusion, hnsw, inverted, ivf
 from ..sources import shards
 from ..storage import stored
 
@@ -244,6 +244,22 @@ def _bm25(allowed=None, **more):
     return run
 
 
+def _pruned(allowed=None):
+    """As bm25_search, from inverted lists whose blocks are passed over where they can't matter."""
+
+    def run(spark, d):
+        index = inverted.InvertedIndex.build(_docs(spark, d).select("doc_id", "text"))
+        return _said(index.search(_questions(spark, d), 10, allowed(spark, d) if allowed else None), "score")
+
+    return run
+
+
+def bm25_pruned_append(spark, d):
+    t = _docs(spark, d).select("doc_id", "text")
+    index = inverted.InvertedIndex.build(t.where("doc_id % 2 = 0")).add(t.where("doc_id % 2 <> 0"))
+    return _said(index.search(_questions(spark, d), 10), "score")
+
+
 def _english(spark, d):
     return _docs(spark, d).where("lang = 'en'").select("doc_id")
 
@@ -532,6 +548,22 @@ def ivf_trained_gate(spark, d):
     return _reached(fusion.recall_at_k(ivf.ivf_search(q, cells, cents, 10, 12, "ip"), exact.knn_exact(q, _base(spark, d), 10, "ip"), q), 0.9)
 
 
+#: Of 16 trained cells so many are read.
+PROBED = 12
+
+
+def ivf_pruned(spark, d):
+    """From the stored index, of which only probed cells are read."""
+    b = _base(spark, d).select("id", "vector")
+    index = ivf.IvfIndex.build(b, "ip", nlist=16, rounds=3)
+    return _said(index.search(_asked(spark, d), 10, PROBED), "dist")
+
+
+def ivf_pruned_gate(spark, d):
+    q, b = _asked(spark, d), _base(spark, d)
+    return _reached(fusion.recall_at_k(ivf.IvfIndex.build(b, "ip", nlist=16, rounds=3).search(q, 10, PROBED), exact.knn_exact(q, b, 10, "ip"), q), 0.9)
+
+
 def ivf_recall(spark, d):
     """Recall by the number of trained cells that are read, of 16."""
     cells, cents = _trained(spark, d)
@@ -552,6 +584,20 @@ _IVF = (
 )
 
 
+def _ivf_pruned_sql() -> str:
+    """The training's rounds one by one; centroids are taken as 32-bit floats where rows are measured."""
+    parts = [_Q, _B, "c0 AS (SELECT neighbor_id AS cell, w AS c FROM b ORDER BY md5('42-' || neighbor_id), neighbor_id LIMIT 16)"]
+    for i in range(4):
+        near = _L2.replace("v[i]", "w[i]").replace("- w[i]", "- f[i]").replace("len(v)", "len(w)")
+        parts.append(f"a{i} AS (SELECT neighbor_id, w, arg_min(cell, (dd, cell)) AS cell FROM (SELECT neighbor_id, w, cell, {near} AS dd FROM b, (SELECT cell, c::FLOAT[]::DOUBLE[] AS f FROM c{i})) GROUP BY neighbor_id, w)")
+        parts.append(f"c{i + 1} AS (SELECT cell, list(x ORDER BY i) AS c FROM (SELECT cell, i, avg(w[i]) AS x FROM a{i}, range(1, 65) r(i) GROUP BY ALL) GROUP BY cell)")
+    return (
+        f"WITH {', '.join(parts)}, pr AS (SELECT query_id, v, cell FROM (SELECT query_id, v, cell, row_number() OVER (PARTITION BY query_id ORDER BY {_L2}, cell) AS r FROM q, "
+        f"(SELECT cell, c::FLOAT[]::DOUBLE[] AS w FROM c3)) WHERE r <= {PROBED}), x AS (SELECT query_id, neighbor_id, 1e0 - {_DOT} AS dist FROM pr JOIN a3 USING (cell)) "
+        "SELECT query_id, rank::INT AS rank, neighbor_id, round(dist, 6) + 0e0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM x) WHERE rank <= 10"
+    )
+
+
 def queries() -> dict:
     return {
         "knn_cosine": _knn("cosine"),
@@ -598,6 +644,9 @@ def queries() -> dict:
         "bm25_no_stopwords": _bm25(remove_stopwords=False),
         "bm25_term_score": lambda spark, d: _said(_index(spark, d).score("tion"), "score"),
         "bm25_append": bm25_append,
+        "bm25_pruned": _pruned(),
+        "bm25_pruned_filtered": _pruned(_english),
+        "bm25_pruned_append": bm25_pruned_append,
         "rrf_hybrid": rrf_hybrid,
         "rrf_vectors": rrf_vectors,
         "recall_at_k": _recall(False),
@@ -634,6 +683,8 @@ def queries() -> dict:
         "ivf_trained_whole": ivf_trained_whole,
         "ivf_trained_gate": ivf_trained_gate,
         "ivf_recall": ivf_recall,
+        "ivf_pruned": ivf_pruned,
+        "ivf_pruned_gate": ivf_pruned_gate,
     }
 
 
@@ -732,6 +783,9 @@ def oracle_sql() -> dict[str, str]:
         "bm25_collection": f"WITH {_index_sql()} SELECT n AS n_docs, round(avg_len, 6) AS avg_len FROM c",
         "bm25_search": _bm25_sql(),
         "bm25_append": _bm25_sql(),
+        "bm25_pruned": _bm25_sql(),
+        "bm25_pruned_append": _bm25_sql(),
+        "bm25_pruned_filtered": _bm25_sql(keep="doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
         "bm25_search_filtered": _bm25_sql(keep="doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
         "bm25_search_semi": _bm25_sql(keep="doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
         "bm25_params": _bm25_sql(k1="0.9e0", b="0.4e0"),
@@ -796,4 +850,6 @@ def oracle_sql() -> dict[str, str]:
         "ivf_search": _IVF,
         "ivf_trained_whole": ip,
         "ivf_trained_gate": "SELECT true AS reached",
+        "ivf_pruned": _ivf_pruned_sql(),
+        "ivf_pruned_gate": "SELECT true AS reached",
     }
