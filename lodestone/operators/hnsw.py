@@ -131,7 +131,8 @@ class Graph:
         return self.beam(q, self.descend(q, 0), max(ef, k), 0, allowed)[:k]
 
 
-QUERIES_A_GROUP = 1 << 16
+#: So many queries a group at most; and at least, where groups are made for idle tasks.
+QUERIES_A_GROUP, FEWEST = 1 << 16, 256
 
 NODES = "shard int, id long, level int, vector array<float>, near array<array<long>>"
 
@@ -224,7 +225,10 @@ class HnswIndex:
             return merge_shards(queries.sparkSession.createDataFrame([], "query_id long, neighbor_id long, dist double"), max(k, 0))
         asked = sound(queries, dim).select(F.explode(F.sequence(F.lit(0), F.lit(self.n_shards - 1))).alias("at"), F.col("id").alias("query_id"), F.col("vector").alias("q"))
 
-        groups = max(1, -(-queries.count() // QUERIES_A_GROUP))
+        n = queries.count()
+        # more than bound a group's size where tasks would be idle
+        idle = min(n // FEWEST, queries.sparkSession.sparkContext.defaultParallelism // max(1, self.n_shards))
+        groups = max(1, -(-n // QUERIES_A_GROUP), idle)
         nodes = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import bm25, exact, fusion, hnsw, inverted, ivf
+from ..operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf
 from ..sources import shards
 from ..storage import stored
 
@@ -402,7 +402,9 @@ _WHOLE = hnsw.HnswParams("ip", 16, 200)
 
 
 def _graph(spark, d, n=2, params=_SMALL):
-    return hnsw.HnswIndex.build(_base(spark, d).select("id", "vector"), n, params)
+    """In n shards, or as many more as the rows need."""
+    b = _base(spark, d).select("id", "vector")
+    return hnsw.HnswIndex.build(b, max(n, graph_shards.shards_for(b.count())), params)
 
 
 def hnsw_levels(spark, d):
@@ -473,7 +475,33 @@ def hnsw_adaptive_graph_gate(spark, d):
 
 
 def hnsw_info(spark, d):
-    return _graph(spark, d, 1).info().select("n", "dim", "max_level")
+    """Over all shards."""
+    return _graph(spark, d, 1).info().agg(F.sum("n").alias("n"), F.max("dim").alias("dim"), F.max("max_level").alias("max_level"))
+
+
+#: Rows a shard in the queries of range shards.
+RANGE_ROWS = 700
+
+
+def _ranges(spark, d):
+    """Built of the rows of even labels, with the others added."""
+    b = _base(spark, d)
+    return graph_shards.HnswShards.build(b.where("label % 2 = 0"), params=_WHOLE, shard_rows=RANGE_ROWS).add(b.where("label % 2 = 1"))
+
+
+def hnsw_range_shards(spark, d):
+    q = _asked(spark, d)
+    return _said(fusion.with_recall(_ranges(spark, d).search(q, 10, 100), exact.knn_exact(q, _base(spark, d), 10, "ip")), "dist")
+
+
+def hnsw_range_shards_gate(spark, d):
+    q = _asked(spark, d)
+    return _reached(fusion.recall_at_k(_ranges(spark, d).search(q, 10, 100), exact.knn_exact(q, _base(spark, d), 10, "ip"), q), 0.95)
+
+
+def hnsw_range_exact(spark, d):
+    """Each shard scans what is allowed of it: the merged answer is exact."""
+    return _said(_ranges(spark, d).search(_asked(spark, d), 10, where=F.lit(True), exact_below=1_000_000_000), "dist")
 
 
 def hnsw_total_info(spark, d):
@@ -507,21 +535,33 @@ def hnsw_incremental_gate(spark, d):
     return _reached(fusion.recall_at_k(_halves(spark, d).search(q, 10, 100), exact.knn_exact(q, _base(spark, d), 10, "ip"), q), 0.95)
 
 
-def hnsw_sweep(spark, d, ns=(10, 20, 40, 80, 160), runs=2):
-    """A row for each width of the beam: recall and throughput of the best of so many runs, with the graph built before."""
+#: So many queries the sweep asks at least: rows of the query set again, under new ids.
+SWEPT = 2000
+
+
+def hnsw_sweep(spark, d, ns=(10, 20, 40, 80, 160), probes=(1, 2, 4, 8, 12), runs=2):
+    """A row for each width of the beam, and for each number of cells read: recall and throughput of the best of so many runs, with the
+    index built before. fixed is the time of a search of one query, of which each run's time holds some."""
     import time
 
-    q, b = stored(_asked(spark, d), "asked"), _base(spark, d)
-    truth, graph, n = stored(exact.knn_exact(q, b, 10, "ip"), "truth"), _graph(spark, d, 2, _WHOLE), q.count()
+    few, b = stored(_asked(spark, d), "asked"), _base(spark, d)
+    n = few.count()
+    times = -(-SWEPT // max(1, n))
+    again = few.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select((F.col("id") + F.col("_t") * 1_000_000_000).alias("id"), "vector")
+    q = stored(again, "asked")
+    truth = stored(exact.knn_exact(few, b, 10, "ip"), "truth")
+    graph, cells = _graph(spark, d, 2, _WHOLE), ivf.IvfIndex.build(b.select("id", "vector"), "ip", nlist=16, rounds=3)
     points = []
-    for ef in ns:
-        took = []
-        for _ in range(runs):
-            began = time.perf_counter()
-            found = stored(graph.search(q, 10, ef), "found")
-            took.append(time.perf_counter() - began)
-        points.append((ef, fusion.recall_at_k(found, truth, q).first()["recall"], n / min(took)))
-    return spark.createDataFrame(points, "ef int, recall double, qps double")
+    for algo, values, search in (("hnsw", ns, lambda q, x: graph.search(q, 10, x)), ("ivf", probes, lambda q, x: cells.search(q, 10, x))):
+        for x in values:
+            took = []
+            for asked in [few.limit(1)] + [q] * runs:
+                began = time.perf_counter()
+                found = stored(search(asked, x), "found")
+                took.append(time.perf_counter() - began)
+            own = found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_semi")
+            points.append((algo, x, fusion.recall_at_k(own, truth, few).first()["recall"], n * times / min(took[1:]), took[0]))
+    return spark.createDataFrame(points, "algo string, ef int, recall double, qps double, fixed double")
 
 
 def ivf_search(spark, d):
@@ -676,6 +716,9 @@ def queries() -> dict:
         "hnsw_adaptive_graph_gate": hnsw_adaptive_graph_gate,
         "hnsw_info": hnsw_info,
         "hnsw_total_info": hnsw_total_info,
+        "hnsw_range_shards": hnsw_range_shards,
+        "hnsw_range_shards_gate": hnsw_range_shards_gate,
+        "hnsw_range_exact": hnsw_range_exact,
         "hnsw_ablation": hnsw_ablation,
         "hnsw_incremental": hnsw_incremental,
         "hnsw_incremental_gate": hnsw_incremental_gate,
@@ -839,7 +882,8 @@ def oracle_sql() -> dict[str, str]:
             "1, 8))::BIGINT + 1) / 4294967296e0) / ln(16e0))::INT AS level FROM embeddings"
         ),
         "hnsw_invariants": "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS self_loops, 0::BIGINT AS repeats, 0::BIGINT AS missing_level, 0::BIGINT AS isolated",
-        **{k: "SELECT true AS reached" for k in ("hnsw_recall_gate", "hnsw_search_gate", "hnsw_sharded_gate", "hnsw_filtered_gate", "hnsw_adaptive_graph_gate", "hnsw_incremental_gate")},
+        **{k: "SELECT true AS reached" for k in ("hnsw_recall_gate", "hnsw_search_gate", "hnsw_sharded_gate", "hnsw_filtered_gate", "hnsw_adaptive_graph_gate", "hnsw_incremental_gate", "hnsw_range_shards_gate")},
+        "hnsw_range_exact": ip,
         "hnsw_exact_below": _knn_sql("ip", 10, "neighbor_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
         "hnsw_total_info": "SELECT count(*) AS n, max(len(embedding))::INT AS dim, 4::BIGINT AS n_shards FROM embeddings",
         "hnsw_adaptive": _knn_sql("ip", 10, "label = 3"),

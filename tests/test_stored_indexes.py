@@ -1,10 +1,12 @@
 """Indexes that are stored and read in part: inverted lists, inverted files, graph shards, codes."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, exact, fusion, inverted, ivf
+from lodestone.operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf
 
 
 def vecs(spark, rows):
@@ -99,3 +101,46 @@ def test_stored_inverted_file(spark, tmp_path, monkeypatch):
     assert told(again.search(one, 5, 1)) == told(ivf.ivf_search(one, again.cells, again.cents, 5, 1, "l2"))
     monkeypatch.setattr(ivf, "NAMED", 0)  # cells are joined
     assert told(again.search(q, 10, 12)) == told(truth)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_graph_shards(spark, tmp_path, metric):
+    """5,000 rows in contiguous shards: recall, and additions that leave the files of other shards alone."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(5200, 32)).astype(np.float32)
+    if metric == "ip":
+        v /= np.linalg.norm(v, axis=1)[:, None]
+    v[17, 3] = np.inf
+    base = vecs(spark, list(enumerate(v)))
+    q = vecs(spark, [(10_000 + i, x) for i, x in enumerate(rng.normal(size=(60, 32)))])
+    p, at = hnsw.HnswParams(metric, 12, 60), str(tmp_path / "g")
+    first = graph_shards.HnswShards.build(base.where("id < 5000"), at, p, 800)
+    told_ = first.manifest.orderBy("shard").collect()
+    assert len(told_) == 7 and len(first) == 4999
+    assert all(a["hi"] < b["lo"] for a, b in zip(told_, told_[1:])) and all(500 < r["n"] < 900 for r in told_)
+    truth = exact.knn_exact(q, base.where("id < 5000"), 10, metric)
+    assert fusion.recall_at_k(first.search(q, 10, 100), truth, q).first()["recall"] >= 0.95
+    assert set(first.index.violations().first()) == {0}
+    assert told(first.search(q, 10, where=F.col("id") % 2 == 0, exact_below=9999)) == told(exact.knn_exact(q, base.where("id < 5000 AND id % 2 = 0"), 10, metric))
+    # a few rows in one range, and some beyond all
+    moved = spark.createDataFrame([(-5, v[1].tolist())], "id long, vector array<float>").unionByName(base.where("id >= 5000"))
+    files = lambda x: {r["shard"]: sorted(os.listdir(f"{at}/{r['folder']}")) for r in x.manifest.collect()}
+    before = files(first)
+    grown = first.add(moved)
+    after = files(grown)
+    assert len(after) == 8 and [s for s in before if before[s] != after[s]] == [0] and len(grown) == 5200
+    assert [r["folder"] for r in grown.manifest.where("shard BETWEEN 1 AND 6").orderBy("shard").collect()] == [r["folder"] for r in told_[1:]]
+    again = graph_shards.reuse(base, at, p)
+    assert again.version == 2 and len(again) == 5200 and len(graph_shards.HnswShards.open(spark, at, version=1)) == 4999
+    assert told(again.search(q, 5)) == told(grown.search(q, 5))
+    with pytest.raises(ValueError):
+        graph_shards.reuse(base, at, hnsw.HnswParams(metric, 13, 60))
+    with pytest.raises(Exception, match="already"):
+        again.add(base.where("id = 7"))
+    assert len(graph_shards.HnswShards.open(spark, at)) == 5200  # a failed addition changes nothing
+
+
+def test_no_rows_make_no_shards(spark):
+    none = graph_shards.HnswShards.build(vecs(spark, [(0, [1.0])]).where("id < 0"))
+    assert len(none) == 0 and none.search(vecs(spark, [(1, [1.0])])).count() == 0
+    assert len(none.add(vecs(spark, [(4, [1.0, 2.0])]))) == 1
