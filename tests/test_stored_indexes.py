@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf
+from lodestone.operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, selection
 
 
 def vecs(spark, rows):
@@ -144,3 +144,30 @@ def test_no_rows_make_no_shards(spark):
     none = graph_shards.HnswShards.build(vecs(spark, [(0, [1.0])]).where("id < 0"))
     assert len(none) == 0 and none.search(vecs(spark, [(1, [1.0])])).count() == 0
     assert len(none.add(vecs(spark, [(4, [1.0, 2.0])]))) == 1
+
+
+def test_percentiles_by_selection(spark, monkeypatch):
+    """One group with nearly all rows, ties, values at all scales, infinities, nulls, NaN and a null group: as numpy says, in several rounds."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=2000), 10 ** rng.uniform(-300, 300, 500), np.full(700, 0.25), [1e308, -1e308, 5e-324]])
+    rows = [("hot", float(v)) for v in x] + [("one", 2.5), ("two", 1.0), ("two", 4.0), (None, 7.0), (None, 9.0), ("none", None), ("none", float("nan")), ("hot", None), ("hot", float("nan"))]
+    rows += [("ends", v) for v in (float("-inf"), -1.0, 0.0, 3.0, float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    points = (0.0, 0.1, 0.5, 0.95, 0.99, 1.0)
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = np.array([v for k, v in rows if k == g and v is not None and v == v])
+        with np.errstate(invalid="ignore"):
+            want[g] = [float(np.percentile(own, 100 * p)) if len(own) else None for p in points]
+    for parts in (selection.PARTS, 256):
+        monkeypatch.setattr(selection, "PARTS", parts)
+        got = {r["g"]: list(r)[1:] for r in selection.percentiles(df, ["g"], "v", points).collect()}
+        assert set(got) == set(want)
+        for g in want:
+            if g == "ends":
+                assert got[g][0] == float("-inf") and got[g][2] == 0.0 and got[g][-1] == float("inf")
+            else:
+                assert got[g] == pytest.approx(want[g], rel=1e-12) if want[g][0] is not None else got[g] == want[g]
+    whole = selection.percentiles(df.where("g = 'two'"), [], "v", (0.5,)).collect()
+    assert [tuple(r) for r in whole] == [(2.5,)]
+    assert selection.percentiles(df.where("g = 'x'"), ["g"], "v").count() == 0
