@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, selection
+from ..operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, pq, selection
 from ..sources import shards
 from ..storage import stored
 
@@ -640,6 +640,29 @@ def _ivf_pruned_sql() -> str:
     )
 
 
+def _quantised(spark, d):
+    return pq.PqIndex.build(_base(spark, d).select("id", "vector"), "ip")
+
+
+def pq_search(spark, d):
+    """By codes, the best hundred measured again: with each query's recall, and the bytes of a row's code."""
+    q = _asked(spark, d)
+    index = _quantised(spark, d)
+    found = fusion.with_recall(index.search(q, 10, 100), exact.knn_exact(q, _base(spark, d), 10, "ip"))
+    return _said(found.crossJoin(F.broadcast(index.rows.agg(F.max(F.octet_length("code")).alias("code_bytes")))), "dist")  # one row
+
+
+def pq_gate(spark, d):
+    q = _asked(spark, d)
+    return _reached(fusion.recall_at_k(_quantised(spark, d).search(q, 10, 100), exact.knn_exact(q, _base(spark, d), 10, "ip"), q), 0.9)
+
+
+def pq_whole(spark, d):
+    """With all rows measured again, codes lose nothing."""
+    index = _quantised(spark, d)
+    return _said(index.search(_asked(spark, d), 10, index.rows.count()), "dist")
+
+
 def queries() -> dict:
     return {
         "knn_cosine": _knn("cosine"),
@@ -728,6 +751,9 @@ def queries() -> dict:
         "ivf_trained_whole": ivf_trained_whole,
         "ivf_trained_gate": ivf_trained_gate,
         "ivf_recall": ivf_recall,
+        "pq_search": pq_search,
+        "pq_gate": pq_gate,
+        "pq_whole": pq_whole,
         "ivf_pruned": ivf_pruned,
         "ivf_pruned_gate": ivf_pruned_gate,
     }
@@ -896,6 +922,8 @@ def oracle_sql() -> dict[str, str]:
         "ivf_search": _IVF,
         "ivf_trained_whole": ip,
         "ivf_trained_gate": "SELECT true AS reached",
+        "pq_gate": "SELECT true AS reached",
+        "pq_whole": ip,
         "ivf_pruned": _ivf_pruned_sql(),
         "ivf_pruned_gate": "SELECT true AS reached",
     }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, selection
+from lodestone.operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, pq, selection
 
 
 def vecs(spark, rows):
@@ -171,3 +171,24 @@ def test_percentiles_by_selection(spark, monkeypatch):
     whole = selection.percentiles(df.where("g = 'two'"), [], "v", (0.5,)).collect()
     assert [tuple(r) for r in whole] == [(2.5,)]
     assert selection.percentiles(df.where("g = 'x'"), ["g"], "v").count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_quantised_search(spark, tmp_path, monkeypatch, metric):
+    """Recall with few rows measured again, exactness with all; bad rows, ties, additions, rounds, loading."""
+    rng = np.random.default_rng(12)
+    v = np.float32(rng.normal(size=(30, 16))[rng.integers(0, 30, 900)] + 0.3 * rng.normal(size=(900, 16)))
+    v[20:25] = v[10]
+    v[3, 1] = np.nan
+    base = vecs(spark, list(enumerate(v)))
+    q = base.where("id % 40 = 3 OR id = 10")
+    index = pq.PqIndex.build(base.where("id < 600"), metric, str(tmp_path / "p"), parts=8, words=64).add(base.where("id >= 600"))
+    truth = exact.knn_exact(q, base, 7, metric)
+    assert told(index.search(q, 7, 900)) == told(truth)
+    assert fusion.recall_at_k(index.search(q, 7, 60), truth, q, 7, True).first()["recall"] >= 0.9
+    assert {r[0] for r in index.rows.select(F.octet_length("code")).distinct().collect()} == {8} and index.rows.count() == 899
+    monkeypatch.setattr(pq, "BROADCAST_BYTES", 8 * 64 * 8 * 5)
+    assert told(pq.PqIndex.load(spark, str(tmp_path / "p")).search(q, 7, 900)) == told(truth)
+    assert index.search(q, 0).count() == 0 and index.search(q.where("id < 0")).count() == 0
+    with pytest.raises(ValueError):
+        pq.PqIndex.build(base, metric, parts=5)
