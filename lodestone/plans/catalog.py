@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sql as fx
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, pq, selection
-from ..sources import shards
-from ..storage import stored
+from ..sources import resumable, shards
+from ..storage import new_path, stored
 
 UP, LOW = tx.UPPER, tx.LOWER
 #: The queries of searches: each row whose id is divisible by this.
@@ -663,6 +664,48 @@ def pq_whole(spark, d):
     return _said(index.search(_asked(spark, d), 10, index.rows.count()), "dist")
 
 
+def sql_tokenize(spark, d):
+    """SQL text over a table function: how often each document has each of its tokens."""
+    fx.register(spark)
+    return spark.sql("SELECT doc_id, token, count(*) AS n, min(position) AS first FROM {docs}, LATERAL tokenize(text) GROUP BY doc_id, token", docs=_docs(spark, d))
+
+
+def sql_terms(spark, d):
+    fx.register(spark)
+    return spark.sql("SELECT doc_id, cast(size(text_tokens(text)) AS bigint) AS n_tokens, cast(size(text_terms(text)) AS bigint) AS n_kept, md5(array_join(text_tokens(text), ' ')) AS digest FROM {docs}", docs=_docs(spark, d))
+
+
+def sql_knn(spark, d):
+    """SQL text that measures and ranks the candidates of a wider search again."""
+    fx.register(spark)
+    e = _base(spark, d)
+    found = exact.knn_exact(_asked(spark, d), e, 30, "l2").select("query_id", "neighbor_id")
+    return spark.sql(
+        """WITH d AS (SELECT query_id, neighbor_id, vec_l2(q.vector, n.vector) AS dist FROM {found} JOIN {e} q ON q.id = query_id JOIN {e} n ON n.id = neighbor_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM d)
+        SELECT query_id, rank, neighbor_id, round(dist, 6) + 0D AS dist FROM r WHERE rank <= 10""",
+        found=found, e=e,
+    )
+
+
+#: Documents a chunk of the resumable run.
+CHUNK = 400
+
+
+def term_vectors(rows):
+    """(doc_id, place, x) of rows(id, text): each document's terms, hashed to 16 places, as a unit vector."""
+    at = F.conv(F.substring(F.md5("term"), 1, 1), 16, 10).cast("int")
+    n = rows.select(F.col("id").alias("doc_id"), F.explode(tx.tokenize(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc_id", at.alias("place")).agg(F.count("*").cast("double").alias("n"))
+    length = n.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
+    return n.join(length, "doc_id").select("doc_id", "place", (F.col("n") / F.col("l")).alias("x"))
+
+
+def resumable_vectors(spark, d):
+    """Vectors of all documents in numbered chunks with a log."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    return _said(resumable.resumable(rows, new_path(spark, "resumable"), term_vectors, max(CHUNK, rows.count() // 8)), "x")
+
+
 def queries() -> dict:
     return {
         "knn_cosine": _knn("cosine"),
@@ -751,6 +794,10 @@ def queries() -> dict:
         "ivf_trained_whole": ivf_trained_whole,
         "ivf_trained_gate": ivf_trained_gate,
         "ivf_recall": ivf_recall,
+        "resumable_vectors": resumable_vectors,
+        "sql_tokenize": sql_tokenize,
+        "sql_terms": sql_terms,
+        "sql_knn": sql_knn,
         "pq_search": pq_search,
         "pq_gate": pq_gate,
         "pq_whole": pq_whole,
@@ -924,6 +971,13 @@ def oracle_sql() -> dict[str, str]:
         "ivf_trained_gate": "SELECT true AS reached",
         "pq_gate": "SELECT true AS reached",
         "pq_whole": ip,
+        "resumable_vectors": (
+            f"WITH n AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 1))::INT AS place, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM documents) GROUP BY ALL) "
+            "SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) + 0e0 AS x FROM n"
+        ),
+        "sql_tokenize": f"SELECT doc_id, token, count(*) AS n, min(p - 1)::INT AS first FROM (SELECT doc_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS p FROM (SELECT doc_id, {_tokens_sql('text', False)} AS t FROM documents)) GROUP BY ALL",
+        "sql_terms": f"SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda t: t NOT IN ({_STOP}))) AS n_kept, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens_sql('text', False)} AS t FROM documents)",
+        "sql_knn": l2,
         "ivf_pruned": _ivf_pruned_sql(),
         "ivf_pruned_gate": "SELECT true AS reached",
     }

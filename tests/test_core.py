@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.functions import text, vectors
+from lodestone.functions import sql, text, vectors
 from lodestone.operators import bm25, exact, fusion, hnsw, ivf
-from lodestone.sources import shards
+from lodestone.sources import resumable, shards
 from lodestone.streaming import append
 
 SF = "/root/testdata/sf0.001"
@@ -430,3 +430,46 @@ def test_rounds_of_queries(spark, metric):
     sent = spark.sparkContext.broadcast((np.arange(3), np.float64(v[:3]), np.full(3, 0.5)))
     plan = exact.top_k(exact._scanned(base, sent, 16, 7, metric), ["query_id"], ["dist"], 7)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") > plan.index("Window") and plan.count("Join") == 0
+
+
+def test_sql_functions(spark):
+    """As the columns of the same names, for nulls and zeros too."""
+    sql.register(spark)
+    sql.register(spark)
+    rows = spark.createDataFrame([(1, [3.0, 4.0], [1.0, -1.0], "The Fox's DÉN 42"), (2, [0.0, 0.0], [2.0, 1.0], ""), (3, None, [1.0, 1.0], None)], "id long, a array<double>, b array<double>, text string")
+    got = spark.sql("SELECT id, vec_dot(a, b) AS dot, vec_l2(a, b) AS l2, vec_ip(a, b) AS ip, vec_normalize(a) AS u, text_tokens(text) AS t, text_terms(text) AS s FROM {r}", r=rows)
+    a, b, t = F.col("a"), F.col("b"), F.col("text")
+    want = rows.select("id", vectors.dot(a, b).alias("dot"), vectors.l2_sq(a, b).alias("l2"), vectors.distance("ip", a, b).alias("ip"), vectors.normalize(a).alias("u"), text.tokenize(t, False).alias("t"), text.tokenize(t).alias("s"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    told = spark.sql("SELECT id, position, token FROM {r}, LATERAL tokenize(text)", r=rows).collect()
+    assert sorted(map(tuple, told)) == [(1, i, w) for i, w in enumerate(["the", "fox", "s", "dÉn", "42"])]
+
+
+def test_resumable_work(spark, tmp_path):
+    """A run that fails half-way goes on: what is committed is not done again, what isn't is; the result is that of one run."""
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(60)] + [(None, "none")], "id long, text string")
+    work = lambda df: df.select("id", F.upper("text").alias("up"))
+    path = str(tmp_path / "r")
+    calls = []
+
+    def fails(df):
+        calls.append(1)
+        bad = len(calls) == 4  # the first call asks for the schema, then a call a chunk
+        return work(df).withColumn("up", F.when(F.lit(bad), F.raise_error(F.lit("stopped"))).otherwise(F.col("up")))
+
+    with pytest.raises(Exception, match="stopped"):
+        resumable.resumable(rows, path, fails, 10).collect()
+    assert resumable.committed(spark, path) == {0, 1}
+    calls.clear()
+
+    def counted(df):
+        calls.append(1)
+        return work(df)
+
+    got = resumable.resumable(rows, path, counted, 10)
+    assert len(calls) == 1 + 7 - 2 and sorted(map(str, got.collect())) == sorted(map(str, work(rows).collect()))
+    calls.clear()
+    assert resumable.resumable(rows, path, counted, 10).count() == 61 and len(calls) == 1
+    with pytest.raises(ValueError, match="not those"):
+        resumable.resumable(rows.where("id < 9"), path, work, 10)
+    assert resumable.resumable(rows.where("id > 99"), str(tmp_path / "e"), work).count() == 0
