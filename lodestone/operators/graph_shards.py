@@ -69,10 +69,11 @@ class HnswShards:
 
     @property
     def index(self) -> HnswIndex:
-        return HnswIndex(self._nodes(), self.params, self.manifest.count())
+        begins = [r["lo"] for r in self.manifest.orderBy("shard").collect()]  # a row a shard
+        return HnswIndex(self._nodes(), self.params, len(begins), begins[1:])
 
-    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None, exact_below: int = 0) -> DataFrame:
-        return self.index.search(queries, k, ef, where, allowed, exact_below)
+    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None, exact_below: int = 0, mask: DataFrame | None = None) -> DataFrame:
+        return self.index.search(queries, k, ef, where, allowed, exact_below, mask)
 
     def add(self, rows: DataFrame) -> HnswShards:
         """The next version, with rows(id, vector) in it."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
 from ..storage import stored
+from . import masks
 from .exact import FINITE, nearest_rows, rows_of, sound
 from .fusion import merge_shards
 
@@ -162,6 +163,8 @@ class HnswIndex:
     nodes: DataFrame
     params: HnswParams
     n_shards: int
+    #: Where the ranges of ids begin, but for the first; None: a shard holds the ids that hash to it.
+    begins: list[int] | None = None
 
     @property
     def links(self) -> DataFrame:
@@ -205,17 +208,20 @@ class HnswIndex:
 
     def add(self, rows: DataFrame) -> HnswIndex:
         """The index with rows(id, vector) inserted into the graphs of their shards; other shards pass as they are."""
+        if self.begins is not None:
+            raise ValueError("shards over ranges are added to by their own index")
         new = self._placed(rows, self.n_shards, self.params)
         grown = self.nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(self._grown(self.params), NODES)
-        return HnswIndex(stored(grown, "graph"), self.params, self.n_shards)
+        return HnswIndex(stored(grown, "graph"), self.params, self.n_shards, self.begins)
 
-    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None, exact_below: int = 0) -> DataFrame:
-        """Each shard is searched with the whole k and ef; the results are merged. where is a condition on id, allowed a table of ids.
+    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, where: Column | None = None, allowed: DataFrame | None = None, exact_below: int = 0, mask: DataFrame | None = None) -> DataFrame:
+        """Each shard is searched with the whole k and ef; the results are merged. where is a condition on id, allowed a table of ids, mask one of bits (masks.of).
+        Ids must pass all that are given. The words of a mask go to the tasks of the shards they reach; allowed is joined with all nodes.
 
         A filtered shard with at most exact_below allowed rows is scanned instead of its graph being walked; 0: never. Queries are
         grouped with the shards by a table of shard numbers, so none is broadcast; a group holds one shard
         and about QUERIES_A_GROUP queries."""
-        params, filtered = self.params, where is not None or allowed is not None
+        params, filtered = self.params, where is not None or allowed is not None or mask is not None
         metric = check_metric(params.metric)
         nodes = self.nodes.withColumn("allowed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
         if allowed is not None:
@@ -231,11 +237,24 @@ class HnswIndex:
         groups = max(1, -(-n // QUERIES_A_GROUP), idle)
         nodes = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+        masked = mask is not None
+        if masked:
+            words = masks.by_hash(mask, self.n_shards) if self.begins is None else masks.by_range(mask, self.begins)
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part")
+            # rows without a query's id are words
+            asked = asked.unionByName(words.select(F.col("shard").alias("at"), every, "word", "bits"), allowMissingColumns=True)
 
         def run(own, queries_):
             import pyarrow as pa
 
             names = ["query_id", "neighbor_id", "dist"]
+            if masked:
+                import pyarrow.compute as pc
+
+                is_word = pc.is_null(queries_["query_id"])
+                words, queries_ = queries_.filter(is_word), queries_.filter(pc.invert(is_word))
+                held = masks.holds(words["word"].to_numpy(), words["bits"].to_numpy(), own["id"].to_numpy()) & own["allowed"].to_numpy()
+                own = own.set_column(own.column_names.index("allowed"), "allowed", pa.array(held))
             mask = own["allowed"].to_numpy() if filtered else None
             if not own.num_rows or not queries_.num_rows or (mask is not None and not mask.any()):
                 return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
