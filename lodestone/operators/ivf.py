@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,16 +166,34 @@ class IvfIndex:
 
     @property
     def cells(self) -> DataFrame:
-        return self.spark.read.schema("id long, vector array<float>, cell long, folder int").parquet(f"{self.path}/rows")
+        """All rows: those of add, and those of batches of a stream."""
+        held = self.spark.read.schema("id long, vector array<float>, cell long, folder int").parquet(f"{self.path}/rows")
+        streamed = self.streamed()
+        return held if streamed is None else held.unionByName(streamed.select(held.columns))
+
+    def streamed(self) -> DataFrame | None:
+        """The rows of batches, with run and batch; None where there are none."""
+        try:
+            return self.spark.read.schema("id long, vector array<float>, cell long, run string, batch long, folder int").parquet(f"{self.path}/streamed")
+        except AnalysisException:
+            return None
 
     def add(self, rows: DataFrame) -> IvfIndex:
         """Rows go to the cells that are there, as new files; a job that fails commits none. Large cells go over several files."""
+        self._dealt(rows).write.mode("append").partitionBy("folder").parquet(f"{self.path}/rows")
+        return self
+
+    def add_batch(self, rows: DataFrame, run: str, batch: int) -> IvfIndex:
+        """As add, for a batch of a stream: a batch that comes again takes the place of what it left."""
+        self._dealt(rows).write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/streamed/run={run}/batch={batch}")
+        return self
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
         placed = stored(assign(rows, self.cents), "placed")
         sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / 100_000).alias("files"))  # a row a cell
         dealt = placed.join(F.broadcast(sizes), "cell") if self.cents.count() * 16 <= BROADCAST_BYTES else placed.join(sizes, "cell")
         dealt = dealt.select("id", "vector", "cell", F.pmod(F.xxhash64("cell"), F.lit(FOLDERS)).cast("int").alias("folder"), F.pmod(F.xxhash64("id"), F.col("files")).alias("file"))
-        dealt.repartition("folder", "file").sortWithinPartitions("folder", "cell").drop("file").write.mode("append").partitionBy("folder").parquet(f"{self.path}/rows")
-        return self
+        return dealt.repartition("folder", "file").sortWithinPartitions("folder", "cell").drop("file")
 
     def pruned(self, probes: DataFrame) -> DataFrame:
         """The rows of the cells of probes(query_id, cell)."""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import sql as fx
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, pq, selection
-from ..sources import resumable, shards
+from ..operators import bm25, exact, fusion, graph_shards, hnsw, inverted, ivf, masks, pq, selection
+from ..sources import npy, resumable, shards
 from ..storage import new_path, stored
+from ..streaming import vectors as streamed
 
 UP, LOW = tx.UPPER, tx.LOWER
 #: The queries of searches: each row whose id is divisible by this.
@@ -507,6 +508,78 @@ def hnsw_range_exact(spark, d):
     return _said(_ranges(spark, d).search(_asked(spark, d), 10, where=F.lit(True), exact_below=1_000_000_000), "dist")
 
 
+def _masked(spark, d, **more):
+    """Range shards, filtered by a bit map of the mask's ids."""
+    return _ranges(spark, d).search(_asked(spark, d), 10, 100, mask=masks.of(_labelled(spark, d)), **more)
+
+
+def hnsw_bitmap_filter(spark, d):
+    truth = exact.knn_exact(_asked(spark, d), _base(spark, d), 10, "ip", allowed=_labelled(spark, d))
+    return _said(fusion.with_recall(_masked(spark, d), truth), "dist")
+
+
+def hnsw_bitmap_gate(spark, d):
+    """The recall, and that the joined filter finds the same."""
+    q, b, keep = _asked(spark, d), _base(spark, d), _labelled(spark, d)
+    index = _ranges(spark, d)
+    found = stored(index.search(q, 10, 100, mask=masks.of(keep)), "masked")
+    joined = stored(index.search(q, 10, 100, allowed=keep), "joined")
+    differ = found.exceptAll(joined).unionByName(joined.exceptAll(found)).agg(F.count("*").alias("n_differ"))
+    recall = fusion.recall_at_k(found, exact.knn_exact(q, b, 10, "ip", allowed=keep), q, 10, True)
+    return _reached(recall, 0.9).crossJoin(F.broadcast(differ))  # one row each
+
+
+def hnsw_bitmap_exact(spark, d):
+    """Each shard scans what its words allow: the merged answer is exact."""
+    return _said(_masked(spark, d, exact_below=1_000_000_000), "dist")
+
+
+def mask_algebra(spark, d):
+    """Sets of ids by words: of labels' good rows and even rows of the vectors, the common ones, all, and the rest of the first."""
+    a = stored(masks.of(_labelled(spark, d)), "mask")
+    b = stored(masks.of(_base(spark, d).where("id % 2 = 0")), "mask")
+    sets = {"good": a, "even": b, "both": masks.both(a, b), "union": masks.union(a, b), "without": masks.without(a, b)}
+    out = None
+    for name, mask in sets.items():
+        ids = masks.ids_of(mask).agg(F.count("*").alias("n_ids"), F.coalesce(F.sum("id"), F.lit(0)).alias("sum_ids"))
+        one = masks.size(mask).crossJoin(ids).select(F.lit(name).alias("name"), "n", "n_ids", "sum_ids")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def npy_round_trip(spark, d):
+    """All vectors written as array files and read back."""
+    npy.register(spark)
+    at = new_path(spark, "arrays")
+    _base(spark, d).select("id", "vector").write.format("npy").mode("append").save(at)
+    back = spark.read.format("npy").load(at)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return _said(back.select("id", F.size("vector").alias("dim"), F.array_max("vector").cast("double").alias("most"), total.alias("total")), "most", "total")
+
+
+def _streamed(spark, d):
+    """An index of the rows of small labels; all rows come by a stream then, in batches and twice."""
+    b = _base(spark, d).select("id", "vector", "label")
+    index = ivf.IvfIndex.build(b.where("label < 5").select("id", "vector"), "ip", nlist=16, rounds=3)
+    at = new_path(spark, "feed")
+    for part in (b.where("label % 2 = 0"), b.where("label >= 3"), b):  # rows that were there, that come again, and that are new
+        part.select("id", "vector").write.mode("append").parquet(at)
+    feed = spark.readStream.schema("id long, vector array<float>").option("maxFilesPerTrigger", 2).parquet(at)
+    query = streamed.append_vectors(feed, index, new_path(spark, "progress"))
+    query.awaitTermination()
+    return index
+
+
+def ivf_streamed(spark, d):
+    """With all cells read: each row is there once."""
+    return _said(_streamed(spark, d).search(_asked(spark, d), 10, 16), "dist")
+
+
+def ivf_streamed_rows(spark, d):
+    """How often each row is in the index."""
+    return _streamed(spark, d).cells.groupBy("id").agg(F.count("*").alias("n"))
+
+
 def hnsw_total_info(spark, d):
     return _graph(spark, d, 4).total_info()
 
@@ -803,6 +876,13 @@ def queries() -> dict:
         "pq_whole": pq_whole,
         "ivf_pruned": ivf_pruned,
         "ivf_pruned_gate": ivf_pruned_gate,
+        "ivf_streamed": ivf_streamed,
+        "ivf_streamed_rows": ivf_streamed_rows,
+        "hnsw_bitmap_filter": hnsw_bitmap_filter,
+        "hnsw_bitmap_gate": hnsw_bitmap_gate,
+        "hnsw_bitmap_exact": hnsw_bitmap_exact,
+        "mask_algebra": mask_algebra,
+        "npy_round_trip": npy_round_trip,
     }
 
 
@@ -980,4 +1060,17 @@ def oracle_sql() -> dict[str, str]:
         "sql_knn": l2,
         "ivf_pruned": _ivf_pruned_sql(),
         "ivf_pruned_gate": "SELECT true AS reached",
+        "ivf_streamed": ip,
+        "ivf_streamed_rows": "SELECT vec_id AS id, 1::BIGINT AS n FROM embeddings",
+        "hnsw_bitmap_gate": "SELECT true AS reached, 0::BIGINT AS n_differ",
+        "hnsw_bitmap_exact": _knn_sql("ip", 10, "neighbor_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
+        "mask_algebra": (
+            "WITH g AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), e AS (SELECT DISTINCT vec_id AS id FROM embeddings WHERE vec_id % 2 = 0), "
+            "s AS (SELECT 'good' AS name, id FROM g UNION ALL SELECT 'even', id FROM e UNION ALL SELECT 'both', id FROM g WHERE id IN (SELECT id FROM e) "
+            "UNION ALL SELECT 'union', id FROM (SELECT id FROM g UNION SELECT id FROM e) UNION ALL SELECT 'without', id FROM g WHERE id NOT IN (SELECT id FROM e)) "
+            "SELECT name, count(*) AS n, count(*) AS n_ids, sum(id)::BIGINT AS sum_ids FROM s GROUP BY name"
+        ),
+        "npy_round_trip": (
+            "SELECT vec_id AS id, len(embedding)::INT AS dim, round(list_max(embedding)::DOUBLE, 6) + 0e0 AS most, round(list_reduce(list_prepend(0e0, embedding::DOUBLE[]), lambda s, x: s + x), 6) + 0e0 AS total FROM embeddings"
+        ),
     }
