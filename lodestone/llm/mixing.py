@@ -6,7 +6,7 @@ again by weight. A source's repetition rate is target / size: each of its docume
 and once more if a seeded hash of its id falls below the fraction.
 
 Cases: null text has size 0; sources without words get target 0; documents without id are drawn by their text; repeated rows
-are drawn alike; an empty table gives an empty result; other columns, whatever their names, pass through mix().
+are drawn alike; sources that tie for a limit follow in the order of their names; texts of any length are counted whole; an empty table gives an empty result; other columns, whatever their names, pass through mix().
 """
 
 from __future__ import annotations

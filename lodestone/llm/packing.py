@@ -11,7 +11,8 @@ hi go to sequences from `base`, k in each, from `offset` on. Pieces get their ra
 by task first, and by running sums over the tasks' counts.
 
 Cases: null text counts as empty: its one token is the end id; null ids stay null; repeated rows are packed each;
-texts longer than a sequence are cut; an empty table gives no sequences; other columns are ignored.
+texts longer than a sequence are cut; pieces of one length tie: which of them goes where is no part of the result's promise, the number of sequences is; an empty
+table gives no sequences; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ Expectation-maximisation over these counts estimates, for either class, how ofte
 the posterior probability of good quality for each pattern.
 
 Cases: null text counts as empty; empty texts have no words and fail the base rule; a repeated row gets the same
-verdict as the first; on an empty table nothing is fitted and nothing returned.
+verdict as the first; texts of any length are read whole; equal posteriors get equal verdicts, as a verdict follows from the pattern alone; the rows' own
+columns are carried in one struct, so their names meet none of the features'; on an empty table nothing is fitted and nothing returned.
 """
 
 from __future__ import annotations
