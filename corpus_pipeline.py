@@ -1,4 +1,6 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, pseudonyms, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicate removal, pseudonyms, mixing, packing.
+
+In every stage texts are treated whole, however long, and an empty table gives an empty result."""
 
 from __future__ import annotations
 
