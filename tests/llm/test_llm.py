@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import automaton, components, jaccard, licenses, mixing, packing, pfor, pii, quality, secrets, tokens, vptree, warc
@@ -172,6 +173,26 @@ def test_searched_links_are_a_forest(spark, monkeypatch, block):
     assert len(links) <= (2 if block == 4096 else 60) * len(members)
 
 
+def test_searched_sets_stay_off_the_driver(spark, monkeypatch):
+    """Many unconnected classes that share one long list are more than a chunk: all links are found, and no set is collected or sent."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng, rows, members = np.random.default_rng(9), [], []
+    for i in range(120):
+        x = np.append(rng.integers(0, 2**63, 99), 7).astype(np.uint64)
+        twin = x.copy()
+        twin[:3] = rng.integers(0, 2**63, 3).astype(np.uint64)
+        for k, y in enumerate([x, twin] if i % 4 == 0 else [x]):
+            rows.append((2 * i + k, bytearray(np.unique(y).tobytes())))
+            members.append((1 if i % 3 else 2, 2 * i + k, 100, 2 * i + k))
+    sent, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: sent.extend(df.columns) or collect(df))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: sent.append("broadcast"))
+    links = jaccard._searched(spark.createDataFrame(members, "cluster long, node long, n int, comp long"), spark.createDataFrame(rows, "node long, set binary"))
+    assert not {"set", "broadcast"} & set(sent)
+    found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in links.collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(0, 120, 4)}
+
+
 def test_components_of_few_links(spark, monkeypatch):
     """Few links take one task, not rounds of joins; more of them are contracted in rounds. Both find the same."""
     rng, calls = random.Random(11), []
