@@ -12,8 +12,8 @@ BLOCK = "dim int, block long, ids binary, vectors binary"
 
 
 def packed(rows: DataFrame, blocks: int) -> DataFrame:
-    """rows(id, vector), dealt by a hash of the id to so many blocks of each dimension: (dim, block, ids, vectors), as bytes."""
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    """rows(id, vector), dealt by a hash of the id to so many blocks of each dimension: (dim, block, ids, vectors), as bytes of 32-bit floats."""
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
     rows = rows.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)))
 
     def join(group):
@@ -27,7 +27,7 @@ def packed(rows: DataFrame, blocks: int) -> DataFrame:
 
 def unpacked(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(vectors, np.float64).reshape(len(own), -1)
+    return own, np.frombuffer(vectors, np.float32).reshape(len(own), -1).astype(np.float64)
 
 
 def met(base: DataFrame, n_base: int, asked: DataFrame, n_asked: int, run: Callable, schema: str) -> DataFrame:

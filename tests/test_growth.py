@@ -66,3 +66,28 @@ def test_shards_of_several_graphs(spark, monkeypatch, tmp_path):
     index.save(str(tmp_path / "g"))
     again = hnsw.HnswIndex.load(spark, str(tmp_path / "g"))
     assert told(again.search(q, 10, mask=masks.of(keep), exact_below=10_000)) == told(exact.knn_exact(q, b, 10, "ip", allowed=keep))
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_columns_measure_only_candidates(spark, metric):
+    """The query's function measures a bounded number of pairs by columns, and finds the same with copies, bad rows and far vectors."""
+    rows = vectors(spark, 1000).withColumn("vector", F.transform("vector", lambda x: (x + 1000).cast("float")))
+    rows = rows.withColumn("id", F.when(F.col("id") != 9, F.col("id"))).unionByName(rows.withColumn("id", F.col("id") + 5000))
+    q = rows.where("id % 100 = 1")
+    found = exact.knn_expr(q, rows, 6, metric)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert told(found) == told(exact.knn_exact(q, rows, 6, metric))
+    assert exact.knn_expr(q, rows, 0, metric).count() == 0 and exact.knn_expr(q, rows.limit(0), 6, metric).count() == 0
+
+
+def test_blocks_grow_before_their_number(spark):
+    """Four times the rows make at most four times the pairs of blocks that are shuffled, until blocks are as large as they may be."""
+    few = exact._blocks(spark, exact.BLOCK_ROWS * 4)
+    assert few == 4 and exact._blocks(spark, exact.BLOCK_ROWS * 16) == 4
+    assert exact._blocks(spark, exact.BLOCK_ROWS * exact.LARGE * 19) == 19 and exact._blocks(spark, 0) == exact._blocks(spark, 1) == 1
+
+
+def test_kth_at_most():
+    d = np.random.default_rng(2).normal(size=(20, 1003))
+    for m in (1, 7, 250, 1003):
+        assert (exact.kth_at_most(d, m) >= np.sort(d, axis=1)[:, m - 1]).all()
