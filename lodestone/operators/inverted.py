@@ -2,7 +2,7 @@
 
 Documents are dealt to ranges of about RANGE by a hash of their ids; a block holds the documents of one range that have a term: ids, frequencies
 and lengths as arrays. Beside them stand the block's count and its frontier, the (frequency, length) pairs that no other pair of the block beats in
-both: whatever k1, b and the mean length are, no document of the block weighs more than the best of its frontier. Blocks lie in buckets of terms, sorted by
+both: whatever k1, b and the mean length are, no document of the block weighs more than the best of its frontier. Blocks lie in buckets of terms, each task's sorted by
 term, so that a search reads the row groups of its terms alone, first without the arrays. The sum of a query's block maxima bounds the score of every
 document in a range. A search scores the ranges with the greatest bounds first; then only those whose bound reaches the k-th score found: the
 other blocks are never read.
@@ -24,8 +24,8 @@ from ..storage import drop, new_path, stored
 from .bm25 import Bm25Index, idf, tf_weight
 from .exact import BROADCAST_BYTES, top_k
 
-#: So many documents a range, ranges a slab (a task's unit), and postings a file of blocks, about.
-RANGE, SLAB, FILE = 128, 16, 4_000_000
+#: So many documents a range, about, and ranges a slab (a task's unit).
+RANGE, SLAB = 128, 16
 #: Buckets of terms, and ranges that are scored first for a query.
 BUCKETS, FIRST = 32, 8
 #: So many terms a scan is told at most.
@@ -111,8 +111,8 @@ class InvertedIndex:
         kind = docs.schema["doc_id"].dataType.simpleString()
         lists = rows.groupBy(F.floor(F.col("range") / SLAB).alias("slab")).applyInArrow(_blocked, StructType.fromDDL(f"term string, range long, {BEST}, ids array<{kind}>, tfs array<int>, lens array<int>"))
         blocks = lists.select(bucket_of(F.col("term")).alias("bucket"), "term", F.lit(segment).alias("segment"), "range", F.size("ids").alias("n"), "best", "ids", "tfs", "lens")
-        files = max(1, -(-(total or 0) // (FILE * BUCKETS)))  # a bucket goes over several, so that a frequent term's blocks are no task's own
-        blocks = blocks.repartition(BUCKETS * files, "bucket", F.pmod(F.col("range"), F.lit(files))).sortWithinPartitions("bucket", "term", "range")
+        # where slabs are made: blocks are more than the postings they were made of, and aren't shuffled
+        blocks = blocks.sortWithinPartitions("bucket", "term", "range")
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/part={segment}")
         drop(forward)
         sums = self.spark.createDataFrame([(segment, n, total or 0, docs.schema["doc_id"].dataType.simpleString())], "segment int, n_docs long, total long, id_type string")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import exact, fusion, graph_shards, hnsw, masks, pq
+from lodestone.operators import exact, fusion, graph_shards, hnsw, inverted, masks, pq
 from lodestone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,12 @@ def test_range_shards_grow_before_their_number(spark, monkeypatch):
     monkeypatch.setattr(graph_shards, "SHARD_ROWS", 100)
     catalog._ranges(spark, SF)
     assert said == [700, 113, 50]
+
+
+def test_blocks_of_postings_are_written_where_they_are_made(spark, monkeypatch):
+    """Building deals documents once; their blocks, which are larger, are not shuffled again, and each file is sorted by term."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} rare{i}") for i in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "repartition", lambda *a: pytest.fail("blocks are shuffled"))
+    index = inverted.InvertedIndex.build(docs)
+    rows = index.blocks.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"), "term").orderBy("f", "at").collect()
+    assert all(a["term"] <= b["term"] for a, b in zip(rows, rows[1:]) if a["f"] == b["f"]) and len(rows) >= 312
