@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from contextlib import contextmanager
 
 import numpy as np
 
-from ..storage import drop, new_path, release, shared_dir, stored
+from ..storage import batches_of, drop, new_path, release, shared_dir, stored
 
 __all__ = ["batches_of", "drop", "give_back", "new_path", "open_fs", "release", "shared_dir", "stored", "text_buffer", "word_hashes", "mix", "LOWER", "SPACES"]
 
@@ -24,18 +23,6 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
-@contextmanager
-def batches_of(spark, rows: int):
-    """Python workers of the jobs that run meanwhile get at most so many rows at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def give_back() -> None:
     """Returns the memory that a reused Python worker holds on to: encoders of earlier steps, and what allocators keep."""
     import pyarrow as pa

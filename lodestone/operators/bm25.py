@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import tokenize
-from ..storage import stored
+from ..storage import batches_of, stored
 from .exact import BROADCAST_BYTES, top_k
 
 
@@ -33,6 +33,24 @@ def tf_weight(tf, doc_len, avg_len, k1: float, b: float):
 FORWARD = "doc_len long, terms array<struct<term: string, tf: long>>"
 #: So many scores of documents by queries are held at a time.
 SCORES = 1 << 22
+#: So many rows a worker gets at a time; and so many tokens or terms, and pairs of a term and a query that asks for it, are worked on at a time, or those of one document.
+ROWS, TERMS, PAIRS = 1000, 1 << 18, 1 << 19
+
+
+def _runs(sizes: np.ndarray, most: int, rows: int):
+    """(start, end) of runs of rows, of at most so many rows each, whose sizes add up to at most so much; a larger row is a run of its own."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield at, to
+        at = to
+
+
+def _parts(batch, most: int, rows: int):
+    """Slices of a batch, by the lengths of the lists in its last column."""
+    sizes = batch.column(batch.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False)
+    return (batch.slice(a, b - a) for a, b in _runs(sizes.astype(np.int64), most, rows))
 
 
 def _counted(batches):
@@ -40,7 +58,7 @@ def _counted(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+        for part in _parts(batch, TERMS, ROWS):
             tokens = part.column(1)
             lengths = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             words = tokens.flatten().dictionary_encode()
@@ -72,7 +90,8 @@ class Bm25Index:
     @classmethod
     def build(cls, docs: DataFrame, k1: float = 1.2, b: float = 0.75, remove_stopwords: bool = True) -> Bm25Index:
         cls(docs, k1, b)  # parameters are checked before anything is written
-        return cls(stored(cls.forward(docs, remove_stopwords), "bm25"), k1, b, remove_stopwords)
+        with batches_of(docs.sparkSession, ROWS):
+            return cls(stored(cls.forward(docs, remove_stopwords), "bm25"), k1, b, remove_stopwords)
 
     def append(self, docs: DataFrame) -> Bm25Index:
         more = Bm25Index.build(docs, self.k1, self.b, self.remove_stopwords)
@@ -117,18 +136,21 @@ class Bm25Index:
         return self.docs if allowed is None else self.docs.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def search(self, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-        """(query_id, rank, doc_id, score) for queries(query_id, text); allowed restricts documents, not statistics. Queries without an id take no part."""
+        """(query_id, rank, doc_id, score) for queries(query_id, text); allowed restricts documents, not statistics. Queries without an id take no part.
+
+        What documents are scored for in the tasks is written, so that workers get few rows at a time whatever the session's setting when the result is read."""
         terms = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit("")), self.remove_stopwords))).alias("term")).distinct()
         n, size = terms.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
         small = n * 64 + (size or 0) <= BROADCAST_BYTES
+        best = lambda scores: top_k(scores, ["query_id"], [F.round("score", 9).desc(), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
         if small:
-            scores = self._scored(terms, k, allowed)
-        else:
-            scores = self._weighted(terms, False, allowed).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
-        return top_k(scores, ["query_id"], [F.round("score", 9).desc(), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
+            with batches_of(self.docs.sparkSession, ROWS):
+                return stored(best(self._scored(terms, k, allowed)), "scored")
+        return best(self._weighted(terms, False, allowed).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")))
 
     def _scored(self, terms: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
-        """(query_id, doc_id, score) of at least the k best of each batch of documents, for terms that have been measured as few."""
+        """(query_id, doc_id, score) of at least the k best of each task's documents, for terms that have been measured as few. A task's k-th score so far
+        bounds what it passes on of later documents."""
         schema = StructType([StructField("query_id", terms.schema["query_id"].dataType), self.docs.schema["doc_id"], StructField("score", StructType.fromDDL("s double")["s"].dataType)])
         df = {r["term"]: r["df"] for r in self._frequencies(terms, True).collect()}
         n_docs, avg_len = self.collection().first()
@@ -151,25 +173,31 @@ class Bm25Index:
 
             words, weight, ids, who, starts = sent.value
             known, names = pa.array(words, pa.string()), pa.array(ids)
-            step = max(1, SCORES // len(ids))
+            bound = np.zeros(len(ids))
             for whole in batches:
-                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                    lists = batch.column(2)
+                for batch in _parts(whole, TERMS, max(1, SCORES // len(ids))):
+                    lists, n = batch.column(2), batch.num_rows
                     flat = lists.flatten()
                     at = pc.index_in(flat.field("term"), value_set=known)
                     hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
                     if not len(hit):
                         continue
                     term = at.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64)
-                    doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))[hit]
+                    doc = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))[hit]
                     w = weight[term] * tf_weight(flat.field("tf").to_numpy()[hit], batch.column(1).to_numpy()[doc], avg_len, k1, b)
                     many = starts[term + 1] - starts[term]
-                    q = who[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)]
-                    scores = np.bincount(q * batch.num_rows + np.repeat(doc, many), np.repeat(w, many), len(ids) * batch.num_rows).reshape(len(ids), -1)
-                    m = min(k, batch.num_rows)
+                    scores = np.empty((len(ids), n))
+                    for lo, hi in _runs(np.bincount(doc, many, n).astype(np.int64), PAIRS, n):
+                        own = slice(*np.searchsorted(doc, (lo, hi)))
+                        m = many[own]
+                        q = who[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - starts[term[own]], m)]
+                        scores[:, lo:hi] = np.bincount(q * (hi - lo) + np.repeat(doc[own] - lo, m), np.repeat(w[own], m), len(ids) * (hi - lo)).reshape(len(ids), -1)
+                    m = min(k, n)
+                    least = np.maximum(np.partition(scores, -m, axis=1)[:, -m], bound)
+                    if m == k:
+                        bound = least
                     # what rounding to nine digits can't tell from the k-th goes on too
-                    least = np.partition(scores, -m, axis=1)[:, -m] - 1e-8
-                    q, d = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                    q, d = np.nonzero((scores >= least[:, None] - 1e-8) & (scores > 0))
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(d)), pa.array(scores[q, d])], ["query_id", "doc_id", "score"])
 
         return self._allowed(allowed).select("doc_id", "doc_len", "terms").mapInArrow(scan, schema)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import tokenize
-from ..storage import drop, new_path, stored
-from .bm25 import Bm25Index, idf, tf_weight
+from ..storage import batches_of, drop, new_path, stored
+from .bm25 import ROWS, Bm25Index, idf, tf_weight
 from .exact import BROADCAST_BYTES, top_k
 
 #: So many documents a range, about, and ranges a slab (a task's unit).
@@ -104,7 +104,8 @@ class InvertedIndex:
         return self
 
     def _write(self, docs: DataFrame, segment: int) -> None:
-        forward = stored(Bm25Index.forward(docs, self.remove_stopwords), "forward")
+        with batches_of(docs.sparkSession, ROWS):
+            forward = stored(Bm25Index.forward(docs, self.remove_stopwords), "forward")
         n, total = forward.agg(F.count("*"), F.sum("doc_len")).first()
         ranges = max(1, -(-n // RANGE))
         rows = forward.select("doc_id", "doc_len", "terms", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(ranges)).alias("range"))

@@ -1,4 +1,4 @@
-"""Tables written to the folder that all executors share, to cut lineage and to be read more than once."""
+"""Tables written to the folder that all executors share, to cut lineage and to be read more than once; and the size of the batches that workers get."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import posixpath
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Python workers of the jobs that run meanwhile get at most so many rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes stored tables that nothing will read again, so that they take no room beside later ones."""
     for df in tables:

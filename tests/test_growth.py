@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import exact, fusion, graph_shards, hnsw, inverted, masks, pq
+from lodestone.operators import bm25, exact, fusion, graph_shards, hnsw, inverted, masks, pq
 from lodestone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +132,48 @@ def test_blocks_of_postings_are_written_where_they_are_made(spark, monkeypatch):
     index = inverted.InvertedIndex.build(docs)
     rows = index.blocks.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"), "term").orderBy("f", "at").collect()
     assert all(a["term"] <= b["term"] for a, b in zip(rows, rows[1:]) if a["f"] == b["f"]) and len(rows) >= 312
+
+
+def test_scoring_holds_few_pairs_at_a_time(spark, monkeypatch):
+    """A batch of many documents whose terms many queries ask for is worked on in parts, and later parts pass on only what beats the k-th so far."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, common = 3000, " ".join(f"c{j}" for j in range(20))
+    docs = spark.createDataFrame([(i, f"{common} w{i % 13} " + "x " * (i * 7 % 499)) for i in range(n)], "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(i, f"{common} w{i}") for i in range(100)], "query_id long, text string")
+    index, scans, given = bm25.Bm25Index.build(docs), [], []
+    of, write = type(docs).mapInArrow, bm25.stored
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: scans.append(f) or of(self, f, schema))
+    monkeypatch.setattr(bm25, "stored", lambda df, name: given.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or write(df, name))
+    found = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in index.search(q, 5).collect())
+    got = found()
+    assert given == [str(bm25.ROWS)] and len(got) == 500
+    batch = index.docs.toArrow().combine_chunks().select(["doc_id", "doc_len", "terms"]).to_batches()[0]
+    tracemalloc.start()
+    passed = sum(b.num_rows for b in scans[0]([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    # the same documents again, all of them worse: nothing is passed on
+    worse = batch.set_column(1, "doc_len", pa.array(np.full(n, 10_000)))
+    assert sum(b.num_rows for b in scans[0]([batch, worse])) == passed
+    for name, most in (("TERMS", 200), ("PAIRS", 900)):
+        monkeypatch.setattr(bm25, name, most)
+        assert found() == got
+
+
+def test_counting_holds_few_tokens_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, words = 2000, 1000
+    tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, n * words + 1, words), pa.int32()), pa.array([f"w{i % 97}" for i in range(n * words)]))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), tokens], ["doc_id", "tokens"])
+    tracemalloc.start()
+    made = list(bm25._counted([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in made) == n and {x for b in made for x in b.column(1).to_pylist()} == {words}
+    assert [*bm25._runs(np.array([3, 0, 9, 1, 1, 0]), 4, 10)] == [(0, 2), (2, 3), (3, 6)] and [*bm25._runs(np.zeros(5), 4, 2)] == [(0, 2), (2, 4), (4, 5)]
